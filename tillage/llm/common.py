@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,5 +49,16 @@ def stable_hash(*cols: str, seed: int = 0) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
 
 
+def filter_texts(docs: DataFrame, accept: Callable[[str | None], bool], text: str = "text") -> DataFrame:
+    """The rows whose text is accepted, with all their columns, whatever these are called."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(accept(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))

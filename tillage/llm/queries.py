@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.llm import rans, simhash
+from tillage.llm import langid, quality, rans, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,7 +31,12 @@ def op8_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_rans_token_files, op8_simhash_byte_index)}
+    return {f.__name__: f for f in (
+        op1_language_id,
+        op2_quality_cnn,
+        op3_rans_token_files,
+        op8_simhash_byte_index,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
