@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.llm import langid, quality, rans, simhash, toxicity
+from tillage.llm import langid, mixing, quality, rans, simhash, spiece, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op8_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.encode_and_check(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id,
@@ -41,6 +49,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_rans_token_files,
         op5_toxicity_chain,
         op8_simhash_byte_index,
+        op9_sentencepiece_trie,
+        op10_source_mix,
     )}
 
 
