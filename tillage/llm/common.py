@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,9 +44,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def stable_hash(*cols: str, seed: int = 0) -> Column:
-    """A 64-bit hash that reruns and other partitionings repeat."""
-    return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed: int, salts: int = 16) -> DataFrame:
+    """At most per_group rows of each group, the first by a hash of key, repeatable.
+
+    A group is cut into salts first, each of which gives its share, so that no
+    task gathers a group however large it is.
+    """
+    salts = max(1, min(salts, per_group))
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    order = Window.partitionBy(group, "_salt").orderBy("_hash", key)
+    return (
+        rows.withColumn("_hash", h)
+        .withColumn("_salt", F.pmod(F.shiftright("_hash", 7), F.lit(salts)))
+        .withColumn("_rank", F.row_number().over(order))
+        .filter(F.col("_rank") <= per_group // salts)
+        .drop("_salt", "_rank")
+    )
 
 
 def filter_texts(docs: DataFrame, accept: Callable[[str | None], bool], text: str = "text") -> DataFrame:

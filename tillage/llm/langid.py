@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import filter_texts, held_out, stable_hash
+from tillage.llm.common import bounded_sample, filter_texts, held_out
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -94,13 +94,10 @@ def document_frequencies(docs: DataFrame, text: str = "text", buckets: int = BUC
 
 
 def _sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int, max_docs: int, buckets: int) -> list:
-    """Sparse counts of the sampled rows: at most per_lang of a language, rarer ranks last, max_docs in all."""
-    order = Window.partitionBy(lang).orderBy("_h", key)
+    """Sparse counts of the sampled rows: at most per_lang of a language, max_docs in all."""
     picked = (
-        docs.select(key, lang, stable_hash(key, seed=11).alias("_h"))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= per_lang)
-        .orderBy("_rank", "_h", lang)
+        bounded_sample(docs.select(key, lang), lang, key, per_lang, seed=11)
+        .orderBy("_hash", key, lang)
         .limit(max_docs)
         .select(F.col(key).alias("_key"))
         .distinct()

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import filter_texts, held_out, sigmoid, stable_hash
+from tillage.llm.common import bounded_sample, filter_texts, held_out, sigmoid
 
 WIDTH = 8
 STEP = 4
@@ -156,8 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int
     shares = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
     n0, n1 = shares.get(0, 0), shares.get(1, 0)
     prior = (n1 + 1) / (n0 + n1 + 2)
-    order = Window.partitionBy("_y").orderBy(stable_hash("_key", seed=3), "_key")
-    picked = marks.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class)
+    picked = bounded_sample(marks, "_y", "_key", per_class, seed=3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import held_out, sigmoid, stable_hash
+from tillage.llm.common import bounded_sample, held_out, sigmoid
 
 #: Seed words of the kinds of toxicity that come before the last category.
 SEEDS = {
@@ -184,8 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         .limit(n_words)
     )
     words = [LENGTH, *sorted({r["word"] for r in telling.select("word").collect()})]
-    order = Window.partitionBy("_y").orderBy(stable_hash("_key", seed=5), "_key")
-    picked = marks.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).select("_key")
+    picked = bounded_sample(marks, "_y", "_key", per_class, seed=5).select("_key")
     wanted = set(words) | {w for s in seeds.values() for w in s}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
