@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.llm import langid, mixing, quality, rans, simhash, spiece, toxicity
+from tillage.llm import langid, licenses, mixing, quality, rans, simhash, spiece, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_quality_cnn,
         op3_rans_token_files,
         op5_toxicity_chain,
+        op7_license_index,
         op8_simhash_byte_index,
         op9_sentencepiece_trie,
         op10_source_mix,
