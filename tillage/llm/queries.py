@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.llm import langid, licenses, mixing, quality, rans, simhash, spiece, toxicity
+from tillage.llm import flac, langid, licenses, mixing, quality, rans, simhash, spiece, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_language_id,
         op2_quality_cnn,
         op3_rans_token_files,
+        op4_flac_media,
         op5_toxicity_chain,
         op7_license_index,
         op8_simhash_byte_index,
