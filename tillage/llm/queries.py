@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.llm import flac, langid, licenses, mixing, quality, rans, simhash, spiece, toxicity
+from tillage.llm import flac, langid, licenses, mixing, quality, rangejoin, rans, simhash, spiece, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_rans_token_files,
         op4_flac_media,
         op5_toxicity_chain,
+        op6_embedding_range_join,
         op7_license_index,
         op8_simhash_byte_index,
         op9_sentencepiece_trie,
@@ -64,5 +69,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.ok AND b.ok
+   AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(node, other) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT r.node, p.b FROM reach r JOIN pairs p ON r.other = p.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM pairs p WHERE p.a = v.vec_id) AS n_links,
+       m.component_id, m.component_id = v.vec_id AS kept
+FROM v JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) m ON m.node = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_embedding_range_join": OP6_SQL}
