@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillage.plans import corpus, references, search, worklog
+
+_ALL = [pair for module in (corpus, references, search, worklog) for pair in module.QUERIES]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {query.__name__: query for query, _ in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are folds and parsers that tests hold against brute force."""
+    return {query.__name__: sql for query, sql in _ALL if sql}
