@@ -11,8 +11,7 @@ kinds of toxicity that seed words name: a labelled training document has a kind
 if it is toxic and holds one of the kind's seeds. The last category is toxicity
 itself, learned from the labels alone.
 
-Words are counted by label over all labelled training documents; the models are
-fitted on a sample of at most `per_class` documents of each label.
+All this is fitted on a sample of at most `per_class` labelled documents of each label.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm.common import bounded_sample, held_out, sigmoid
+from tillage.llm.common import bounded_sample, held_out, sigmoid, written
 
 #: Seed words of the kinds of toxicity that come before the last category.
 SEEDS = {
@@ -143,7 +142,7 @@ def fit_chain(words: list[str], x: np.ndarray, targets: dict[str, np.ndarray], s
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", seeds: dict[str, tuple[str, ...]] = SEEDS, n_words: int = WORDS, per_class: int = 1500) -> ToxicityChain:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", seeds: dict[str, tuple[str, ...]] = SEEDS, n_words: int = WORDS, per_class: int = 3200) -> ToxicityChain:
     """A chain learned from labelled documents that aren't held out.
 
     Labels that are null or neither 0 nor 1 don't count; of several labels of one
@@ -154,7 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(label).cast("int").alias("_y"))
     )
-    rows = docs.join(marks, docs[key] == F.col("_key")).select("_key", "_y", F.col(text).alias("_text"))
+    overall = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
+    picked = bounded_sample(marks, "_y", "_key", per_class, seed=5).select("_key", "_y")
+    rows = (
+        docs.join(F.broadcast(picked), docs[key] == F.col("_key"))
+        .groupBy(F.col("_key").cast("bigint").alias("_key"), "_y")
+        .agg(F.min(docs[text]).alias("_text"))
+    )
+    rows = written(rows, "toxicity-sample")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +190,6 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         .limit(n_words)
     )
     words = [LENGTH, *sorted({r["word"] for r in telling.select("word").collect()})]
-    picked = bounded_sample(marks, "_y", "_key", per_class, seed=5).select("_key")
     wanted = set(words) | {w for s in seeds.values() for w in s}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             cols = [b.column("k"), b.column("y"), pa.array(found, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64())), pa.array(lengths, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=["k", "y", "words", "counts", "length"])
 
-    chosen = rows.join(F.broadcast(picked), "_key").groupBy(F.col("_key").cast("bigint").alias("k"), F.col("_y").alias("y")).agg(F.min("_text").alias("t"))
+    chosen = rows.select(F.col("_key").alias("k"), F.col("_y").alias("y"), F.col("_text").alias("t"))
     picked_rows = chosen.mapInArrow(pick, "k bigint, y int, words array<string>, counts array<double>, length double").collect()
     sample = sorted((r.k, r.y, r.words, r.counts, r.length) for r in picked_rows)
     place = {w: i for i, w in enumerate(words)}
@@ -210,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 x[i, place[w]] = v
     toxic = np.array([r[1] for r in sample], np.float64)
     targets = {name: np.array([r[1] and bool(set(s) & set(r[2])) for r in sample], np.float64) for name, s in seeds.items()}
-    overall = (n1 + 1) / (n0 + n1 + 2)
+    overall = (overall.get(1, 0) + 1) / (sum(overall.values()) + 2)
     shares = {name: max(overall * (y.sum() + 1) / (toxic.sum() + 1), 1e-4) for name, y in targets.items()}
     return fit_chain(words, x, targets | {LAST: toxic}, shares | {LAST: overall})
 
