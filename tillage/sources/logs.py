@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # The fields of an item and of a frontier entry.
-JOB = StructType.fromDDL(
+JOB = (
     "id string, kind string, url string, key string, step string, status string, title string, speaker string, date string, campus string, "
     "series string, audio_url string, page_path string, audio_path string, transcript_path string, alt_urls array<string>, "
     "scripture_refs array<string>, error string, updated string"
 )
-CATALOG = StructType.fromDDL("url string, state string, source string, note string, updated string")
+CATALOG = "url string, state string, source string, note string, updated string"
 
 
-def read_log(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """The log's records that have a key, with seq, their place: the file's name and the line's offset order them.
 
     The text source splits a large log over tasks, and Spark tells a line's place by a number that grows within a

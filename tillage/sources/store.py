@@ -39,19 +39,16 @@ class PassageStore:
 
     def replace_sources(self, source_ids: DataFrame, staging: str) -> None:
         """Drop all passages of the given sources, in every collection. Only the partitions that hold one are rewritten, by
-        way of a staging folder, as a partition can't be read and overwritten at once."""
-        hit = self.table().join(source_ids.select("source_id").distinct(), "source_id", "left_semi").select("collection").distinct()
+        way of a staging folder, as a partition can't be read and overwritten at once; one that is left with nothing keeps
+        an empty file."""
+        gone = source_ids.select("source_id").distinct()
+        hit = self.table().join(gone, "source_id", "left_semi").select("collection").distinct()
         touched = [r["collection"] for r in hit.collect()]  # collections are few
-        if not touched:
-            return
-        left = self.table().filter(F.col("collection").isin(touched)).join(source_ids.select("source_id").distinct(), "source_id", "left_anti")
-        left.write.partitionBy("collection").mode("overwrite").parquet(staging)
-        kept = self.spark.read.schema(SCHEMA).parquet(staging) if left.limit(1).count() else self.spark.createDataFrame([], SCHEMA)
-        whole = self.table().filter(~F.col("collection").isin(touched)).limit(1).count() == 0
-        if whole and not kept.limit(1).count():
-            kept.write.mode("overwrite").parquet(self.path)
-            return
-        kept.write.partitionBy("collection").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        for i, collection in enumerate(touched):
+            rows = self.table().filter(F.col("collection") == collection).join(gone, "source_id", "left_anti").drop("collection")
+            rows.write.mode("overwrite").parquet(f"{staging}/{i}")
+            kept = self.spark.read.schema(rows.schema).parquet(f"{staging}/{i}")
+            kept.write.mode("overwrite").parquet(f"{self.path}/collection={collection}")
 
     def scan(self, collection: str, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """A collection's passages; filter and columns reach the Parquet scan."""
