@@ -122,25 +122,25 @@ def _crc(*parts: bytes) -> int:
     return value
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all rows of tokens (ids: binary of little-endian uint32). Each task adds up its own first."""
+def count_ids(tokens: DataFrame, width: str) -> DataFrame:
+    """(id, n) over all rows of tokens (ids: little-endian, of the width in bytes). Each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                found = np.bincount(np.frombuffer(x.as_buffer() or b"", "<u4"), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            ids = np.concatenate([np.frombuffer(x.as_buffer() or b"", width) for x in b.column("ids")])
+            if len(ids) and int(ids.max()) >= len(total):
+                total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
+            total += np.bincount(ids, minlength=len(total))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
     return tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def slot_table(tokens: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+def slot_table(tokens: DataFrame, width: str, bits: int = TABLE_BITS) -> np.ndarray:
     """The shared table. Its size is bound by the vocabulary, and more than 2**bits ids are refused."""
-    rows = count_ids(tokens).limit((1 << bits) + 1).toPandas()
+    rows = count_ids(tokens, width).limit((1 << bits) + 1).toPandas()
     if not len(rows):
         return np.array([1 << bits])
     counts = np.zeros(int(rows["id"].max()) + 1, np.int64)
@@ -148,7 +148,7 @@ def slot_table(tokens: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
     return frequency_slots(counts, bits)
 
 
-def encode_blocks(tokens: DataFrame, slots: np.ndarray, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+def encode_blocks(tokens: DataFrame, slots: np.ndarray, width: str, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Block rows (see BLOCK) of tokens (doc_id, ids binary), documents in ascending doc_id order.
 
     Rows are dealt out by ranges of doc_id, so a shard is bounded whatever the
@@ -184,7 +184,7 @@ def encode_blocks(tokens: DataFrame, slots: np.ndarray, shards: int | None = Non
 
         for b in batches:
             for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids")):
-                data = np.frombuffer(ids.as_buffer() or b"", "<u4")
+                data = np.frombuffer(ids.as_buffer() or b"", width)
                 docs.append(doc)
                 lengths.append(len(data))
                 parts.append(data)
@@ -242,14 +242,14 @@ def global_starts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
-def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, text: str = "text") -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: str, text: str = "text") -> tuple[DataFrame, np.ndarray]:
     """Tokenize docs, write their block files and return them as read back, with the table.
 
-    tokenize makes a function from a list of texts to a list of bytes (ids as
-    little-endian uint32) once for each Python worker. A null text counts as
+    tokenize makes, once for each Python worker, a function from an Arrow array of texts to
+    a list of bytes: ids of the numpy type in width (<u2 or <u4). A null text counts as
     empty; every document ends with end_id. Further columns are ignored.
     """
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], width).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenize()
@@ -258,12 +258,12 @@ def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, text: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    tokens = written(picked.mapInArrow(run, "doc_id bigint, ids binary"), "tokens", compression="zstd")
-    slots = slot_table(tokens)
-    return written(encode_blocks(tokens, slots), "token-files", compression="uncompressed"), slots
+    tokens = written(picked.mapInArrow(run, "doc_id bigint, ids binary"), "tokens")
+    slots = slot_table(tokens, width)
+    return written(encode_blocks(tokens, slots, width), "token-files", compression="uncompressed"), slots
 
 
-def word_tokenizer(path: str, cache: int = 1_500_000) -> Callable:
+def word_tokenizer(path: str, cache: int = 500_000) -> Callable:
     """A maker of encoders for a tokenizers file that works word by word (see WordEncoder)."""
 
     def make() -> Callable:
@@ -281,6 +281,7 @@ def token_file_digest(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     (nulls first, repeats in the order of their ids' bytes), n_tokens includes
     the end id, and ids_crc32 is of the ids as little-endian uint32. An empty table gives no rows.
     """
-    blocks, slots = write_token_files(docs, word_tokenizer(path), end_id)
+    make = word_tokenizer(path)
+    blocks, slots = write_token_files(docs, make, end_id, make().dtype.str)
     found = decode_blocks(blocks, slots, lambda ids: [zlib.crc32(ids.astype("<u4").tobytes())], "ids_crc32 bigint")
     return global_starts(found, blocks).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -9,7 +9,6 @@ and the ids of a word are those of its pre-tokens.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 
 import numpy as np
@@ -18,13 +17,20 @@ import numpy as np
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+#: Marks that may end a word and are one pre-token together.
+_MARKS = ".,;:!?|-#%&*$()"
+#: Letters whose lower case depends on the word or has several characters.
+_CASE_ODD = frozenset("\u03a3\u0130")
+
+
 def _byte_alphabet() -> dict[int, str]:
     hidden = [b for b in range(256) if b not in set(_SHOWN)]
     return {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordEncoder:
-    """Call it with an Arrow array of texts: a list of ids as little-endian uint32 bytes.
+    """Call it with an Arrow array of texts: a list of ids as little-endian bytes, two for each
+    id where the vocabulary allows it and else four (`dtype`).
 
     Words seen are kept, up to `limit`, after which the store starts afresh, so
     its memory is bounded and results don't depend on it.
@@ -39,7 +45,7 @@ class WordEncoder:
             cls._made[path, limit] = cls(path, limit)
         return cls._made[path, limit]
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -57,30 +63,34 @@ class WordEncoder:
         vocab = self.whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.suffix)]] = True
+        self.dtype = np.dtype("<u2" if max(self.whole.get_vocab().values()) < 1 << 16 else "<u4")
         self.special = [x["content"].encode() for x in spec["added_tokens"]]
         self.alphabet = _byte_alphabet()
         self.limit = limit
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _pretokens(self, word: bytes) -> list[str] | None:
-        """A word's pre-tokens after normalization, or None if a special token is in it."""
-        if word.isalpha():
-            return [word.decode().lower()]
-        if word[:-1].isalpha() and word[-1:] in b".,;:!?|-":
-            return [word[:-1].decode().lower(), word[-1:].decode()]
-        if any(s in word for s in self.special):
+    def _pretokens(self, word: bytes) -> tuple[str, ...] | list[str] | None:
+        """A word's pre-tokens after normalization, or None where the library takes the whole word: special tokens, odd spaces and controls.
+
+        Letters with marks after them are the plain case; the file's own pattern cuts all others.
+        """
+        text = word.decode("utf-8", "replace")
+        if text.isascii() or (unicodedata.is_normalized("NFC", text) and not _CASE_ODD.intersection(text)):
+            lower = text.lower()
+            if lower.isalpha():
+                return (lower,)
+            head = lower.rstrip(_MARKS)
+            if head.isalpha():
+                return head, lower[len(head) :]
+        if not text.isprintable() or any(s in word for s in self.special):
             return None
-        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
-        return self.find(re.sub(r"\s+", " ", "".join(c.lower() for c in text)))
+        return self.find("".join(c.lower() for c in unicodedata.normalize("NFC", text)))
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            self.parts.clear()
         cut = {w: self._pretokens(w) for w in new}
         fresh = list({p for x in cut.values() if x for p in x}.difference(self.parts))
-        shown = [p.encode().decode("latin-1").translate(self.alphabet) for p in fresh]
+        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet) for p in fresh]
         lines = [" ".join(shown[i : i + 400]) for i in range(0, len(shown), 400)]
         fast = getattr(self.words_only, "encode_batch_fast", self.words_only.encode_batch)
         found = [e.ids for e in fast(lines, add_special_tokens=False)]
@@ -88,27 +98,30 @@ class WordEncoder:
         stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
         if len(stops) != len(fresh):
             raise ValueError("word ends don't match the words")
-        raw, at = ids.tobytes(), 0
-        for p, stop in zip(fresh, (stops * 4).tolist()):
+        raw, at = ids.astype(self.dtype).tobytes(), 0
+        for p, stop in zip(fresh, (stops * self.dtype.itemsize).tolist()):
             self.parts[p] = raw[at:stop]
             at = stop
         get = self.parts.__getitem__
         for w, x in cut.items():
             if x is None:
-                self.words[w] = np.array(self.whole.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                self.words[w] = np.array(self.whole.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
             else:
                 self.words[w] = b"".join(map(get, x))
 
-    def __call__(self, texts) -> list[bytes]:
+    def __call__(self, texts, at_once: int = 128) -> list[bytes]:
         out = []
-        for t in texts.to_pylist():
-            if not t:
-                out.append(b"")
-                continue
-            words = t.encode().lower().split() if t.isascii() else t.encode().split()
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            except KeyError:
-                self._learn({w for w in words if w not in self.words})
-                out.append(b"".join(map(self.words.__getitem__, words)))
+        for start in range(0, len(texts), at_once):
+            cut = []
+            for t in texts[start : start + at_once].to_pylist():
+                cut.append((t.encode().lower() if t.isascii() else t.encode()).split() if t else [])
+            new = {w for words in cut for w in words if w not in self.words}
+            if len(self.words) + len(new) > self.limit:
+                self.words.clear()
+                self.parts.clear()
+                new = {w for words in cut for w in words}
+            if new:
+                self._learn(new)
+            get = self.words.__getitem__
+            out += [b"".join(map(get, words)) for words in cut]
         return out
