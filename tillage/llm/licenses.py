@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,11 @@ def inverse_frequencies(scanned: DataFrame) -> dict[str, float]:
     return {r["w"]: math.log((1 + n) / (1 + r["count"])) for r in rows}
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row also where use refers to it for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _places(words: Column, phrase: list[str]) -> Column:
     """Places, from 0, where a phrase's words stand together."""
     return F.filter(
@@ -105,21 +111,22 @@ def licence_matches(scanned: DataFrame, idf: dict[str, float], templates: dict[s
             postings.setdefault(w, []).append((label, place))
     known = sorted(set(postings) & set(idf), key=lambda w: (-idf[w], w))
     words = F.col("words")
+    if not known:
+        return F.array().cast("array<struct<t:string,at:int,share:double>>")
+    index = F.create_map(*[c for w in known for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in postings[w]]))])
     # the words of a file that are in the index, by falling IDF; ties by word
     rare = F.slice(F.filter(_strings(known), lambda w: F.array_contains("seen", w)), 1, rare_words)
-    index = F.create_map(*[c for w in known for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in postings[w]]))]) if known else None
-    if index is None:
-        return F.array().cast("array<struct<t:string,at:int,share:double>>")
-    here = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: F.array_contains(rare, x["w"]))
+    here = _let(rare, lambda rare: F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: F.array_contains(rare, x["w"])))
     voted = F.flatten(F.transform(here, lambda x: F.transform(index[x["w"]], lambda y: F.struct(y["t"].alias("t"), (x["p"] - y["q"]).alias("at"), x["w"].alias("w")))))
-    ordered = F.array_sort(F.array_distinct(voted))
-    starts = F.transform(
-        F.filter(
-            F.transform(ordered, lambda x, i: F.struct(x["t"].alias("t"), x["at"].alias("at"), i.alias("i"))),
-            lambda x: (x["i"] >= votes - 1) & (F.get(ordered, x["i"] - (votes - 1))["t"] == x["t"]) & (F.get(ordered, x["i"] - (votes - 1))["at"] == x["at"]),
-        ),
-        lambda x: F.struct(x["t"].alias("t"), x["at"].alias("at")),
-    )
+
+    def enough(ordered: Column) -> Column:
+        """Starts with as many votes: sorted, a vote and the one `votes` - 1 before it are for the same start."""
+        before = lambda x: F.get(ordered, x["i"] - (votes - 1))
+        numbered = F.transform(ordered, lambda x, i: F.struct(x["t"].alias("t"), x["at"].alias("at"), i.alias("i")))
+        met = F.filter(numbered, lambda x: (x["i"] >= votes - 1) & (before(x)["t"] == x["t"]) & (before(x)["at"] == x["at"]))
+        return F.array_distinct(F.transform(met, lambda x: F.struct(x["t"].alias("t"), x["at"].alias("at"))))
+
+    starts = _let(F.array_sort(F.array_distinct(voted)), enough)
     bodies = F.create_map(*[c for t, (body, _) in sorted(templates.items()) for c in (F.lit(t), _strings(words_of(body)))])
     keys = F.create_map(*[c for t, (_, k) in sorted(templates.items()) for c in (F.lit(t), _strings(words_of(k)))])
 
@@ -129,7 +136,7 @@ def licence_matches(scanned: DataFrame, idf: dict[str, float], templates: dict[s
 
     places = F.create_map(*[c for t, (body, k) in sorted(templates.items()) for c in (F.lit(t), F.lit(key_place(body, k)))])
     verified = F.filter(
-        F.array_distinct(starts),
+        starts,
         lambda x: (x["at"] + places[x["t"]] >= 0) & (F.slice(words, F.greatest(x["at"] + places[x["t"]], F.lit(0)) + 1, F.size(keys[x["t"]])) == keys[x["t"]]),
     )
 
@@ -147,7 +154,7 @@ def scan_licences(docs: DataFrame, text: str = "text", phrases: dict[str, str] =
     smallest and largest of them (null if none). labels adds the templates' labels to
     base_labels; both are distinct, sorted and joined by commas, empty if there is
     none. score is the largest share of a template's words in place, 0.5 at least where
-    a phrase was found and else 0. spans lists the templates' matches. A null or
+    a phrase was found and else 0. spans lists the templates' matches as label:place, joined by commas. A null or
     empty text has no words; repeated rows get equal results; other columns are ignored.
     """
     scanned = written(scan_words(docs, text, phrases, templates), "licence-words")
@@ -171,5 +178,5 @@ def scan_licences(docs: DataFrame, text: str = "text", phrases: dict[str, str] =
         F.array_join(F.array_sort(F.array_distinct(own)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.transform("spans", lambda x: x["t"])))), ",").alias("labels"),
         F.greatest(F.coalesce(F.array_max(F.transform("spans", lambda x: x["share"])), F.lit(0.0)), F.when(n > 0, 0.5).otherwise(0.0)).alias("score"),
-        F.transform("spans", lambda x: F.concat_ws(":", x["t"], x["at"].cast("string"))).alias("spans"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["t"], x["at"].cast("string"))), ",").alias("spans"),
     )

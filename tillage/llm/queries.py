@@ -91,5 +91,32 @@ FROM v JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) m
 """
 
 
+def _op7_sql() -> str:
+    words = licenses.words_of
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    places = ", ".join(f"('{t}', {i}, '{w}')" for t, (body, _) in licenses.TEMPLATES.items() for i, w in enumerate(words(body)))
+    bodies = ", ".join(f"('{t}', {quoted(words(body))}, {quoted(words(key))})" for t, (body, key) in licenses.TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', {quoted(words(p))})" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH place(label, q, word) AS (VALUES {places}), body(label, b, k) AS (VALUES {bodies}), phrase(label, k) AS (VALUES {phrases}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+base AS (SELECT pos.doc_id, p AS st, label FROM pos JOIN phrase ON word = k[1] JOIN d ON d.doc_id = pos.doc_id WHERE list_slice(w, p + 1, p + len(k)) = k),
+lic AS (SELECT * FROM pos WHERE word IN (SELECT word FROM place)),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM lic GROUP BY word),
+rare AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS r FROM (SELECT DISTINCT doc_id, word FROM lic) JOIN df USING (word)) WHERE r <= {licenses.RARE_WORDS}),
+start AS (SELECT doc_id, label, p - q AS st FROM lic JOIN rare USING (doc_id, word) JOIN place USING (word) GROUP BY ALL HAVING count(DISTINCT word) >= {licenses.VOTES}),
+kp AS (SELECT label, b, k, list_filter(range(len(b)), lambda i: list_slice(b, i + 1, i + len(k)) = k)[1] AS kq FROM body),
+span AS (SELECT s.doc_id, s.label, s.st, len(list_filter(range(len(b)), lambda i: st + i >= 0 AND w[st + i + 1] = b[i + 1])) / len(b) AS share
+  FROM start s JOIN kp USING (label) JOIN d ON d.doc_id = s.doc_id WHERE st + kq >= 0 AND list_slice(w, st + kq + 1, st + kq + len(k)) = k),
+bs AS (SELECT doc_id, count(*) AS n, min(st) AS a, max(st) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY doc_id),
+ss AS (SELECT doc_id, max(share) AS share, string_agg(label || ':' || st, ',' ORDER BY label, st) AS s FROM span GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM span) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(bs.l, '') AS base_labels, coalesce(al.l, '') AS labels,
+  CAST(greatest(coalesce(share, 0), CASE WHEN n > 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS score, coalesce(s, '') AS spans
+FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN ss USING (doc_id) LEFT JOIN al USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_range_join": OP6_SQL}
+    return {"op6_embedding_range_join": OP6_SQL, "op7_license_index": _op7_sql()}
