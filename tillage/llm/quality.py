@@ -33,6 +33,7 @@ PLACES = (CHUNK - WIDTH) // STEP + 1
 #: Bytes scored at a time, which bounds the memory of a very long text.
 PIECE = STRIDE * 2048
 THRESHOLD = 0.3
+UPDATES = 700
 
 
 def _byte_kinds() -> np.ndarray:
@@ -94,8 +95,9 @@ class QualityModel:
         return score
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 10, batch: int = 48, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> QualityModel:
-    """Train on each document's chunks (rows of CHUNK bytes) and its label."""
+def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int | None = None, batch: int = 48, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> QualityModel:
+    """Train on each document's chunks (rows of CHUNK bytes) and its label, for some UPDATES steps at least."""
+    epochs = epochs or max(10, -(-UPDATES * batch // len(docs)))
     rng, kinds = np.random.default_rng(seed), KINDS.shape[1]
     p = {
         "w": rng.normal(0, 0.35, (WIDTH * kinds, FILTERS)).astype(np.float32),
