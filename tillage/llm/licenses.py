@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-The index holds the words of short licence templates with their places. Each file
-looks up its highest-IDF licence words (IDF over all files scanned); a word at place p
-of the file and q of a template votes for the template starting at p - q. Where
-enough different words vote for one start, the template's mandatory key phrase is
-compared word by word at its place, and the template's label is given. Phrases
+The index holds, of each licence template, the highest-IDF words of its mandatory key
+phrase (IDF over all files scanned) with their places. A file looks up those that it
+has; a word at place p of the file and q of a template votes for the template
+starting at p - q. Where enough different words vote for one start, the key phrase is
+compared word by word at its place, and the template's label is given. As the words
+looked up are the key phrase's own, no match is lost to a limit. Phrases
 that are labels by themselves (`PHRASES`) are found wherever their words stand together.
 
 A first pass keeps, for each file, its number of words and its licence words; only
@@ -48,8 +49,8 @@ TEMPLATES = {
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words looked up in each file, and different words that must vote for one start.
-RARE_WORDS = 8
+#: Rare words looked up for each template, and different words that must vote for one start.
+RARE_WORDS = 3
 VOTES = 2
 
 
@@ -106,16 +107,17 @@ def _places(words: Column, phrase: list[str]) -> Column:
 def licence_matches(scanned: DataFrame, idf: dict[str, float], templates: dict[str, tuple[str, str]] = TEMPLATES, rare_words: int = RARE_WORDS, votes: int = VOTES) -> Column:
     """The column of verified matches: array of (label, start, share of the template's words in place)."""
     postings: dict[str, list[tuple[str, int]]] = {}
-    for label, (body, _) in sorted(templates.items()):
+    for label, (body, key) in sorted(templates.items()):
+        rarest = sorted(set(words_of(key)) & set(idf), key=lambda w: (-idf[w], w))[:rare_words]
         for place, w in enumerate(words_of(body)):
-            postings.setdefault(w, []).append((label, place))
-    known = sorted(set(postings) & set(idf), key=lambda w: (-idf[w], w))
+            if w in rarest:
+                postings.setdefault(w, []).append((label, place))
+    known = sorted(postings, key=lambda w: (-idf[w], w))
     words = F.col("words")
     if not known:
         return F.array().cast("array<struct<t:string,at:int,share:double>>")
     index = F.create_map(*[c for w in known for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in postings[w]]))])
-    # the words of a file that are in the index, by falling IDF; ties by word
-    rare = F.slice(F.filter(_strings(known), lambda w: F.array_contains("seen", w)), 1, rare_words)
+    rare = F.filter(_strings(known), lambda w: F.array_contains("seen", w))
     here = _let(rare, lambda rare: F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: F.array_contains(rare, x["w"])))
     voted = F.flatten(F.transform(here, lambda x: F.transform(index[x["w"]], lambda y: F.struct(y["t"].alias("t"), (x["p"] - y["q"]).alias("at"), x["w"].alias("w")))))
 

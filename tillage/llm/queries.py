@@ -104,8 +104,8 @@ pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
 base AS (SELECT pos.doc_id, p AS st, label FROM pos JOIN phrase ON word = k[1] JOIN d ON d.doc_id = pos.doc_id WHERE list_slice(w, p + 1, p + len(k)) = k),
 lic AS (SELECT * FROM pos WHERE word IN (SELECT word FROM place)),
 df AS (SELECT word, count(DISTINCT doc_id) AS n FROM lic GROUP BY word),
-rare AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS r FROM (SELECT DISTINCT doc_id, word FROM lic) JOIN df USING (word)) WHERE r <= {licenses.RARE_WORDS}),
-start AS (SELECT doc_id, label, p - q AS st FROM lic JOIN rare USING (doc_id, word) JOIN place USING (word) GROUP BY ALL HAVING count(DISTINCT word) >= {licenses.VOTES}),
+rare AS (SELECT label, word FROM (SELECT label, word, row_number() OVER (PARTITION BY label ORDER BY n, word) AS r FROM (SELECT DISTINCT label, unnest(k) AS word FROM body) JOIN df USING (word)) WHERE r <= {licenses.RARE_WORDS}),
+start AS (SELECT doc_id, label, p - q AS st FROM lic JOIN place USING (word) JOIN rare USING (label, word) GROUP BY ALL HAVING count(DISTINCT word) >= {licenses.VOTES}),
 kp AS (SELECT label, b, k, list_filter(range(len(b)), lambda i: list_slice(b, i + 1, i + len(k)) = k)[1] AS kq FROM body),
 span AS (SELECT s.doc_id, s.label, s.st, len(list_filter(range(len(b)), lambda i: st + i >= 0 AND w[st + i + 1] = b[i + 1])) / len(b) AS share
   FROM start s JOIN kp USING (label) JOIN d ON d.doc_id = s.doc_id WHERE st + kq >= 0 AND list_slice(w, st + kq + 1, st + kq + len(k)) = k),
