@@ -169,7 +169,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, rows_per_pivot:
     precision. Vectors that are null, empty or zero, hold null or non-finite components, or have
     no label link with nothing, copies included. component_id is the smallest vec_id reachable by links,
     kept whether that is the row's own. A row with a null vec_id links with nothing and has a null component_id.
-    Each row is one vector, also where a vec_id repeats. Further columns are ignored; an empty table gives no rows.
+    Rows that repeat a vec_id with the same label and vector are copies and link with each other; with other vectors they are
+    one node of the links, whose numbers add up. Further columns are ignored; an empty table gives no rows.
     """
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("ok", usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
@@ -178,7 +179,6 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, rows_per_pivot:
         rows.filter("ok").groupBy("label", "same").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")),
         "vector-classes",
     )
-    # ids of classes are unique unless a vec_id repeats with different vectors; those count as one document's
     counts, links = range_links(classes.select("class_id", "label", "dim", "copies", "embedding"), cosine, rows_per_pivot, block_rows)
     components = connected_components(links)
     of_class = (
