@@ -70,6 +70,10 @@ def test_mix_documents(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_layout():
+    assert [mixing.shards_for(n) for n in (0, 1, 16 << 23, (16 << 23) + 1, 10**18)] == [16, 16, 16, 32, 1 << 16]
+
+
 def test_splitting_tree(spark):
     drawn = spark.createDataFrame([(p, i) for p, n in ((0, 40), (1, 3), (2, 17)) for i in range(n)], "place int, seq int")
     got = mixing.shard_quotas(drawn, 8).collect()

@@ -10,7 +10,7 @@ hypergeometric split, and hands both halves down. A shard takes the next blocks
 source's permuted order, so shards are disjoint, and shuffles its documents by a hash.
 
 In the last pass a source gives the blocks that fit and trims one more to its documents.
-Source, block and shard tables have a fixed number of rows or one for each source.
+Source, block and shard tables have a bounded number of rows or one for each source.
 """
 
 from __future__ import annotations
@@ -22,12 +22,27 @@ from tillage.llm.common import written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: Shards and blocks of a small corpus. A large one has a shard for each SHARD_WORDS words, in powers of two up to
+#: MOST_SHARDS, and BLOCKS_PER_SHARD blocks for each.
 SHARDS = 16
 BLOCKS = 4096
+SHARD_WORDS = 1 << 23
+MOST_SHARDS = 1 << 16
+BLOCKS_PER_SHARD = 16
 SEED = 2024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def shards_for(words: int) -> int:
+    """A power of two: as many shards as hold SHARD_WORDS words each, within SHARDS and MOST_SHARDS."""
+    return min(MOST_SHARDS, max(SHARDS, 1 << max(0, (-(-words // SHARD_WORDS) - 1).bit_length())))
+
+
+def _layout(sized: DataFrame, shards: int | None, blocks: int | None) -> tuple[int, int]:
+    shards = shards or shards_for(sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    return shards, blocks or max(BLOCKS, BLOCKS_PER_SHARD * shards)
+
+
 def word_count(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -177,7 +192,7 @@ def _decided(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], seed
     return at.withColumn("shards", shards)
 
 
-def mix(docs: DataFrame, text: str = "text", seed: int = SEED, **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", seed: int = SEED, shards: int | None = None, blocks: int | None = None, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken, shards) of each row of docs.
 
     size is the row's words (a null text has none), taken is size times the copies
@@ -186,14 +201,16 @@ def mix(docs: DataFrame, text: str = "text", seed: int = SEED, **options) -> Dat
     any other. Other columns are ignored. Reruns and other partitionings agree.
     """
     sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size")), "sized")
-    found = _decided(sized, mixing_plan(sized, seed=seed, **options), seed)
+    shards, blocks = _layout(sized, shards, blocks)
+    found = _decided(sized, mixing_plan(sized, seed=seed, shards=shards, blocks=blocks, **options), seed)
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", seed: int = SEED, shards: int = SHARDS, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, text: str = "text", seed: int = SEED, shards: int | None = None, blocks: int | None = None, **options) -> DataFrame:
     """docs' rows as the mix takes them, repeats included: dealt by shard and shuffled within it. Columns stay."""
     sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size")), "sized")
-    plan = mixing_plan(sized, seed=seed, shards=shards, **options)
+    shards, blocks = _layout(sized, shards, blocks)
+    plan = mixing_plan(sized, seed=seed, shards=shards, blocks=blocks, **options)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"))
     copies = _decided(rows, plan, seed).select("row", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.col("row.doc_id"), "copy", F.lit(seed + 2))
