@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
 A text is cut into marked words: each starts with its spaces, shown as the mark
-U+2581, and no piece crosses such a start. The distinct words of a batch are
+U+2581, and no piece crosses such a start. The distinct new words of some texts are
 sorted, which lays their trie out in depth-first order, and the forward pass
 walks it: at each character place it settles the best last piece of the prefix
 that ends there, and the next word takes over all places that it shares with the
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: Words and seams that a Python worker keeps at most.
+WORDS = 200_000
+SEAMS = 150_000
+#: Texts handled at a time within a batch, which bounds the memory of long ones.
+ROWS = 500
 _cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
 
@@ -46,11 +52,12 @@ class PieceModel:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
         ranked = sorted(self.ids, key=lambda p: (-self.score[p], self.ids[p]))
         self.rank = {p: r for r, p in enumerate(ranked)}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.usable: set[str] = set()
+        self.reach: dict[str, int] = {}  # the longest piece that ends in two characters
         self.control = [sp.is_control(i) for i in range(n)]
 
     def merges(self, word: str) -> list[str]:
@@ -102,13 +109,19 @@ class PieceModel:
                 bound, a = ra, self._split(a)[1]
             else:
                 bound, b = rb + 1, self._split(b)[0]
-        if len(self.fits) > 300_000:
+        if len(self.fits) >= SEAMS:
             self.fits.clear()
         self.fits[left, right] = ok
         return ok
 
-    def _makeable(self, piece: str) -> bool:
-        return len(piece) == 1 or self._split(piece) is not None
+    def _reachable(self) -> set[str]:
+        """The pieces that can be in a result: of a BPE model those that merges can make."""
+        if not self.usable:
+            self.usable = {p for p in self.ids if self.kind != "bpe" or len(p) == 1 or self._split(p)}
+            for p in self.usable:
+                if len(p) > 1:
+                    self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+        return self.usable
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """The ids of each word of a sorted list, reusing the forward pass of shared prefixes."""
@@ -116,7 +129,8 @@ class PieceModel:
         best: list[float] = [0.0]
         before = ""
         bpe = self.kind == "bpe"
-        ids, longest = self.ids, self.longest
+        usable, seen, reach = self._reachable(), self.fits.get, self.reach
+        unknown = min(self.score.values(), default=0.0) - 10.0
         for word in words:
             if bpe and word.startswith(MARK * 2):
                 yield self._as_ids(self.merges(word))
@@ -126,22 +140,28 @@ class PieceModel:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                found, score = word[end - 1], None
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece not in ids:
-                        continue
-                    if bpe:
-                        if self._makeable(piece) and (not start or self._known(last[start], piece)):
-                            found = piece
-                            break
+                far = reach.get(word[end - 2 : end], 1) if end > 1 else 1
+                first = end - far if end > far else 0
+                if bpe:
+                    for start in range(first, end):
+                        piece = word[start:end]
+                        if piece in usable:
+                            if not start:
+                                break
+                            stays = seen((last[start], piece))
+                            if stays or stays is None and self._stays(last[start], piece):
+                                break
                     else:
-                        s = best[start] + self.score[piece]
-                        if score is None or s > score:
-                            found, score = piece, s
-                if not bpe:
-                    best.append(best[end - 1] - 10.0 + min(self.score.values()) if score is None else score)
+                        piece = word[end - 1]
+                    last.append(piece)
+                    continue
+                found, score = word[end - 1], best[end - 1] + unknown
+                for start in range(first, end):
+                    piece = word[start:end]
+                    if piece in usable and (best[start] + self.score[piece] > score or found not in usable):
+                        found, score = piece, best[start] + self.score[piece]
                 last.append(found)
+                best.append(score)
             before = word
             parts, end = [], len(word)
             while end:
@@ -149,10 +169,6 @@ class PieceModel:
                 end -= len(last[end])
             yield self._as_ids(parts[::-1])
 
-    def _known(self, left: str, right: str) -> bool:
-        """_stays, where a character that is no piece never merges."""
-        return left not in self.ids or self._stays(left, right)
-
     def _as_ids(self, parts: list[str]) -> list[int]:
         out = []
         for p in parts:
@@ -179,39 +195,51 @@ class PieceModel:
 
 
 class Encoder:
-    """Encodes batches of texts; words once encoded are kept up to a limit, then the store starts afresh."""
+    """Encodes batches of texts. Words once encoded are kept, in two stores of up to `limit` words each: when the newer one is
+    full the older one goes, so words that keep coming back stay. Results don't depend on the limit."""
 
     _made: dict[tuple, Encoder] = {}
 
     @classmethod
-    def shared(cls, path: str, kind: str, limit: int = 400_000) -> Encoder:
+    def shared(cls, path: str, kind: str, limit: int = WORDS) -> Encoder:
         if (path, kind, limit) not in cls._made:
             cls._made[path, kind, limit] = cls(PieceModel(path, kind), limit)
         return cls._made[path, kind, limit]
 
-    def __init__(self, model: PieceModel, limit: int = 400_000):
+    def __init__(self, model: PieceModel, limit: int = WORDS):
         self.model, self.limit = model, limit
         self.dtype = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _missing(self, cut: list[list[str]]) -> set[str]:
+        """The words in neither store; those in the older one move up."""
+        new = set().union(*cut).difference(self.words)
+        back = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in back)
+        return new - back
 
     @staticmethod
     def marked(text: str) -> list[str]:
-        """The marked words of a text, which starts with a mark of its own."""
+        """The words of a text, which starts with a mark of its own; a word's only mark is left out."""
         if MARK in text or "  " in text or text[:1] == " " or text[-1:] == " ":
-            return _cut(MARK + text.replace(" ", MARK))
-        return [MARK + w for w in text.split(" ")]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.marked(t) if t else [] for t in texts]
-        new = {w for x in cut for w in x if w not in self.words}
-        if len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            new = {w for x in cut for w in x}
-        order = sorted(new)
-        for w, ids in zip(order, self.model.encode_sorted(order)):
-            self.words[w] = np.array(ids, self.dtype).tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+            return [w if w[1:2] == MARK else w[1:] for w in _cut(MARK + text.replace(" ", MARK))]
+        return text.split(" ")
+
+    def __call__(self, texts: list[str | None], at_once: int = 128) -> list[bytes]:
+        out = []
+        for start in range(0, len(texts), at_once):
+            cut = [self.marked(t) if t else [] for t in texts[start : start + at_once]]
+            new = self._missing(cut)
+            if len(self.words) + len(new) > self.limit:
+                self.older, self.words = self.words, {}
+                new = self._missing(cut)
+            order = sorted(new)
+            for w, ids in zip(order, self.model.encode_sorted([w if w[:1] == MARK else MARK + w for w in order])):
+                self.words[w] = array(self.dtype.char, ids).tobytes()
+            get = self.words.__getitem__
+            out += [b"".join(map(get, x)) for x in cut]
+        return out
 
 
 def encode(docs: DataFrame, path: str, kind: str = "bpe", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -219,11 +247,11 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder.shared(path, kind)
-        for b in batches:
-            found = [np.frombuffer(x, coder.dtype) for x in coder(b.column(b.num_columns - 1).to_pylist())]
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, coder.dtype)]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*keep, "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                found = [np.frombuffer(x, coder.dtype) for x in coder(b.column(b.num_columns - 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(found)], names=[*keep, "ids"])
 
     picked = docs.select(*keep, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep)
@@ -255,14 +283,20 @@ def encode_and_check(docs: DataFrame, path: str, kind: str = "bpe", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder.shared(path, kind)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            found = [np.frombuffer(x, coder.dtype).astype("<u4") for x in coder(texts)]
-            same = [coder.model.decode(x.tolist()) == (t or "") for x, t in zip(found, texts)]
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, "<u4")]).astype(np.int32)))
-            cols = [b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()), ids, pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_crc32", "ids", "round_trip"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                texts = b.column("text").to_pylist()
+                found = [np.frombuffer(x, coder.dtype) for x in coder(texts)]
+                same = [coder.model.decode(x.tolist()) == (t or "") for x, t in zip(found, texts)]
+                sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
+                cols = [b.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(sums, pa.int64()), _lists(found), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_crc32", "ids", "round_trip"])
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>, round_trip boolean")
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, "<u2")]).astype(np.int32)))
