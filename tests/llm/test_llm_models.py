@@ -48,6 +48,19 @@ def test_language_ignores_labels_and_nothing_to_learn(spark, docs):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    """Five large languages and a rare one: each has its share of the total, and what few leave goes to the rest."""
+    sizes = {"a": 9000, "b": 8000, "c": 7000, "d": 6000, "e": 5000, "rare": 1000, "tiny": 30}
+    rows, at = [], 0
+    for name, n in sizes.items():
+        rows += [(at + i, f"{name} {name}", name) for i in range(n)]
+        at += n
+    sample = langid._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 800, 4000, 1 << 10)
+    got = {name: sum(r[1] == name for r in sample) for name in sizes}
+    assert len(sample) == 4000 and got.pop("tiny") >= 28
+    assert min(got.values()) >= 660 and max(got.values()) - min(got.values()) <= 1
+
+
 def test_ngrams_in_pieces(monkeypatch):
     text = "Straße à la carte, naïve façade. " * 50
     whole = langid.ngram_counts(text)

@@ -4,7 +4,7 @@ Lower-cased texts give hashed n-grams of one to three characters, counted over
 the whole text. Document frequencies are counted over all training rows. The
 weights are trained by follow-the-regularised-leader with elastic-net penalties
 on a sample of at most `max_docs` labelled rows, at most `per_lang` of each
-language, chosen by hash; a temperature is then fitted to a fifth of the sample
+language, chosen by hash and dealt to the languages in turns; a temperature is then fitted to a fifth of the sample
 that training leaves out.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillage.llm.common import bounded_sample, filter_texts, held_out
@@ -94,10 +94,16 @@ def document_frequencies(docs: DataFrame, text: str = "text", buckets: int = BUC
 
 
 def _sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int, max_docs: int, buckets: int) -> list:
-    """Sparse counts of the sampled rows: at most per_lang of a language, max_docs in all."""
+    """Sparse counts of the sampled rows: at most per_lang of a language, max_docs in all.
+
+    The total is dealt in turns, a row of each language at a time, so a language
+    keeps its share whatever its size, and what small ones leave goes to the rest.
+    """
+    turn = F.row_number().over(Window.partitionBy(lang).orderBy("_hash", key))
     picked = (
         bounded_sample(docs.select(key, lang), lang, key, per_lang, seed=11)
-        .orderBy("_hash", key, lang)
+        .withColumn("_turn", turn)
+        .orderBy("_turn", "_hash", key, lang)
         .limit(max_docs)
         .select(F.col(key).alias("_key"))
         .distinct()
