@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.llm import langid, mixing, quality, simhash, spiece
+from tillage.llm import langid, mixing, nearsets, quality, simhash, spiece
 from tillage.llm.common import written
 
 
@@ -26,10 +26,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates by op8's rule."""
     return simhash.simhash_keep(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are similar by 0.8 or more."""
+    return nearsets.near_keep(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each copy, shuffled within their shard."""
     return mixing.mixed_documents(docs)
@@ -44,6 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language_id", language_id),
     ("quality_classifier", quality_classifier),
     ("simhash_dedup", simhash_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
     ("sentencepiece_encode", sentencepiece_encode),
 ]

@@ -8,7 +8,7 @@ import xxhash
 from compare import rows, tables
 from pyspark.sql import functions as F
 
-from tillage.llm import queries, rangejoin, simhash
+from tillage.llm import nearsets, queries, rangejoin, simhash
 from tillage.llm.components import connected_components
 
 
@@ -119,3 +119,41 @@ def test_near_vectors_brute(spark, per_pivot, block):
 def test_range_join_sql(spark, sf_dir):
     got = queries.op6_embedding_range_join(spark, sf_dir).toPandas()
     assert rows(got) == rows(tables(sf_dir).sql(queries.OP6_SQL).df())
+
+
+def test_near_sets_brute(spark, monkeypatch):
+    """The pipeline's near-duplicates against all pairs: real documents, chains, a hot cluster, a common line."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearsets, "SAMPLE_DOCS", 100)
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(400)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    base, line = [word() for _ in range(120)], [word() for _ in range(30)]
+    more = []
+    for i in range(60):  # copies of one text, one to three words changed
+        copy = list(base)
+        for at in rnd.sample(range(120), rnd.randrange(1, 4)):
+            copy[at] = word()
+        more.append(" ".join(copy))
+    for i in range(20):  # a chain: each moves on by eight words
+        more.append(" ".join(f"c{k}" for k in range(8 * i, 8 * i + 120)))
+    more += [" ".join(line + [word() for _ in range(rnd.randrange(4, 40))]) for _ in range(40)]
+    more += ["", "  ", "A b", "a B", "a b c d e", "a b c d e f", None]
+    order = rnd.sample(range(len(more)), len(more))
+    texts |= {50_000 + k: t for k, t in zip(order, more)}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := (t or "").encode().lower().split())}
+    ids, pairs = sorted(grams), []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(grams[a] & grams[b])
+            if both and both >= 0.8 * (len(grams[a]) + len(grams[b]) - both) - 1e-9:
+                pairs.append((a, b))
+    groups = plain_components(texts, pairs)
+    rows_in = [*texts.items(), (None, more[0]), (None, None)]
+    table = spark.createDataFrame(rows_in, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    got = [r.doc_id for r in stages["near_dedup"](spark, table, "").collect()]
+    assert sorted(i for i in got if i is not None) == sorted(i for i in texts if groups[i] == i) and got.count(None) == 2
+    assert len(pairs) > 60 and len(set(groups.values())) < len(texts) - 60

@@ -1,0 +1,234 @@
+"""Near-duplicates by the exact Jaccard similarity of five-word shingles, 4/5 or more.
+
+Two sets so similar share at least four fifths of the larger one's shingles, so under
+any order that all documents share, the first n // 5 + 1 of a document's n shingles
+meet one of the other's. The order puts rare shingles first: how common one is comes
+from a bounded sample of documents, which decides only how many candidates there are,
+never which pairs are found. Sketches rule out most candidates without an error, and
+what is left is verified on the shingles themselves.
+
+Within the documents that meet on a shingle, all are first compared with the one that
+meets most others. What these links don't join already is then compared pair by pair,
+so a large cluster of copies around one text costs its size and not the square of it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tillage.llm.common import written
+from tillage.llm.components import connected_components
+
+WORDS = 5
+SEED = 5
+#: Documents that tell which shingles are common, and the common shingles that are told apart.
+SAMPLE_DOCS = 4096
+COMMON = 100_000
+#: Documents whose shingles leave a task as one batch.
+BATCH_DOCS = 256
+#: Bits of a sketch; in each, a set's shingles are counted modulo 2.
+SKETCH_BITS = 1024
+
+
+def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
+    """The distinct shingles of a text; words are those of simhash.fingerprint, fewer than a shingle are one."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(tokens) <= words:
+        return {b" ".join(tokens)} if tokens else set()
+    return set(map(b" ".join, zip(*(tokens[i:] for i in range(words)))))
+
+
+def similar(x: set[bytes], y: set[bytes]) -> bool:
+    both = len(x & y)
+    return both > 0 and 5 * both >= 4 * (len(x) + len(y) - both)
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    found = shingles(text)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)).view(np.int64)
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; documents of the sample) of the shingles that several documents of a sample have."""
+    picked = texts.select(F.col("id").alias("_id")).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE_DOCS).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), BATCH_DOCS):
+                toks = [_hashes(t) for t in b.column("text").slice(at, BATCH_DOCS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks))], names=["tok"])
+
+    sample = texts.join(F.broadcast(picked), texts["id"] == picked["_id"], "left_semi")
+    often = sample.mapInArrow(run, "tok bigint").groupBy("tok").count().filter("count > 1")
+    rows = often.orderBy(F.desc("count"), "tok").limit(COMMON).toPandas().sort_values("tok")
+    return rows["tok"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+
+
+def postings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(tok, id, n): the first n // 5 + 1 shingles of each document, n being how many it has."""
+    keys, counts = common
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        often = np.zeros(len(h), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            often = np.where(keys[at] == h, counts[at], 0)
+        return h[np.lexsort((h, often))[: len(h) // 5 + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), BATCH_DOCS):
+                part = b.slice(at, BATCH_DOCS)
+                h = [_hashes(t) for t in part.column("text").to_pylist()]
+                n = np.array([len(x) for x in h], np.int32)
+                first = [prefix(x) for x in h]
+                each = [len(x) for x in first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first)), pa.array(np.repeat(np.asarray(part.column("id")), each)), pa.array(np.repeat(n, each))], names=["tok", "id", "n"]
+                )
+
+    return texts.mapInArrow(run, "tok bigint, id bigint, n int")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, bounds of the runs of an equal first column) of rows sorted by it; no run is cut."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        now = [np.asarray(c) for c in b.columns]
+        held = now if held is None else [np.concatenate(c) for c in zip(held, now)]
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield _bounded([c[:last] for c in held])
+                held = [c[last:] for c in held]
+    if held is not None and len(held[0]):
+        yield _bounded(held)
+
+
+def _bounded(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    return columns, np.concatenate(([0], np.flatnonzero(np.diff(columns[0])) + 1, [len(columns[0])]))
+
+
+def _by_tok(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tok").sortWithinPartitions("tok", "id")
+
+
+def meetings(posted: DataFrame) -> DataFrame:
+    """The postings whose shingle another one has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, bounds in _runs(batches):
+            sizes = np.diff(bounds)
+            kept = np.repeat(sizes > 1, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["tok", "id", "n"])
+
+    return _by_tok(posted).mapInArrow(run, "tok bigint, id bigint, n int")
+
+
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): each document with the one of its shingle that meets most others."""
+    sizes = met.groupBy("tok").agg(F.count("*").alias("size"))
+    weights = met.join(sizes, "tok").groupBy("id").agg(F.sum("size").alias("w"))
+    hubs = met.join(weights, "id").groupBy("tok").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), F.col("n").alias("hn"))).alias("h"))
+    pairs = met.join(hubs, "tok").select("id", "n", (-F.col("h.minus")).alias("hub"), "h.hn")
+    pairs = pairs.filter("id <> hub and 5 * least(n, hn) >= 4 * greatest(n, hn)")
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def apart_pairs(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """(a, b): documents that meet on a shingle, whose sizes allow the similarity and that joined leaves apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, ids, n, label), bounds in _runs(batches):
+            n, a, b, held = n.astype(np.int64), [], [], 0
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if (label[lo:hi] == label[lo]).all():
+                    continue
+                for i in range(lo, hi - 1):
+                    m = n[i + 1 : hi]
+                    where = i + 1 + np.flatnonzero((label[i + 1 : hi] != label[i]) & (5 * np.minimum(m, n[i]) >= 4 * np.maximum(m, n[i])))
+                    a.append(np.full(len(where), ids[i]))
+                    b.append(ids[where])
+                    held += len(where)
+                    if held > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                        a, b, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    labelled = met.join(joined, met["id"] == joined["node"], "left").select("tok", "id", "n", F.coalesce("component", "id").alias("label"))
+    return _by_tok(labelled).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, bits): the parities of each document's shingles. Sketches differ in no more bits than sets in shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [_hashes(t) for t in b.column("text").to_pylist()]
+            bits = [np.packbits(np.bincount(x & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1 == 1).tobytes() for x in h]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in h], pa.int32()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, bits binary")
+
+
+def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs that sketches don't rule out: sets of s shingles together that differ in d are similar if 9 d <= s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(len(b), -1) for c in ("s", "t"))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(9 * apart <= np.asarray(b.column("n"))))
+
+    left = sketched.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("s"))
+    right = sketched.select(F.col("id").alias("b"), F.col("n").alias("k"), F.col("bits").alias("t"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", (F.col("m") + F.col("k")).alias("n"), "s", "t")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs whose texts are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, x = None, set()
+        for b in batches:
+            ok = []
+            for i, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "s", "t"))):
+                if i != known:
+                    known, x = i, shingles(s)
+                ok.append(similar(x, shingles(t)))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = written(possible(pairs, sketched), "possible-pairs")
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    chosen = written(texts.join(nodes, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
+    both = pairs.join(chosen.select(F.col("id").alias("b"), F.col("text").alias("t")), "b").join(chosen.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, component): for each doc_id with a near-duplicate, the smallest id reachable over such pairs."""
+    texts = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).alias("text"))
+    met = written(meetings(postings(texts, common_shingles(texts))), "meetings")
+    meeting = texts.join(met.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sketched = written(sketches(meeting), "sketches")
+    hubs = written(hub_pairs(met), "hub-pairs")
+    links = written(verified(hubs, texts, sketched), "hub-links")
+    rest = written(apart_pairs(met, connected_components(links)).join(hubs, ["a", "b"], "left_anti"), "apart-pairs")
+    return connected_components(links.unionByName(verified(rest, texts, sketched)))
+
+
+def near_keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those that have a near-duplicate chain to a smaller doc_id. Columns stay as they are.
+
+    Texts without a word are near to none, and rows without a doc_id all stay.
+    """
+    gone = near_components(docs, text).filter("node <> component").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
