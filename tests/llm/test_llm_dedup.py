@@ -100,8 +100,10 @@ def brute_vectors(data, cosine=0.93):
     return sorted((d[0], n[i], c[d[0]], c[d[0]] == d[0]) for i, d in enumerate(data) if d[0] is not None)
 
 
-@pytest.mark.parametrize("per_pivot,block", [(10_000, 2048), (15, 8)])
-def test_near_vectors_brute(spark, per_pivot, block):
+@pytest.mark.parametrize("share,least,block", [(rangejoin.PIVOT_SHARE, rangejoin.LEAST_PIVOTS, rangejoin.BLOCK_ROWS), (1.5, 4, 8), (0.0, 1, 64)])
+def test_near_vectors_brute(spark, monkeypatch, share, least, block):
+    monkeypatch.setattr(rangejoin, "TASK_ROWS", 20 if share else 20_000)
+    monkeypatch.setattr(rangejoin, "TASK_PIVOTS", 1)
     rng = np.random.default_rng(8)
     data = []
     for label in (0, 1):
@@ -111,11 +113,27 @@ def test_near_vectors_brute(spark, per_pivot, block):
     n = len(data)
     data += [(n, 0, data[0][2]), (n + 1, 0, [0.0] * 6), (n + 2, 0, None), (n + 3, None, data[0][2]), (n + 4, 0, [float("nan"), 1.0, 1.0, 1.0, 1.0, 1.0]), (n + 5, 0, [None, 1.0]), (n + 6, 0, []), (n + 7, 0, [float("inf")] * 6), (n + 8, 1, data[0][2]), (n + 9, 0, [1.0, 2.0])]
     df = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>").withColumn("kept", F.lit("x"))
-    got = sorted(tuple(r) for r in rangejoin.near_vectors(df, rows_per_pivot=per_pivot, block_rows=block).collect())
+    got = sorted(tuple(r) for r in rangejoin.near_vectors(df, share=share, least=least, block_rows=block).collect())
     assert got == brute_vectors(data)
     assert rangejoin.near_vectors(df.limit(0)).count() == 0
 
 
+def test_every_label_has_pivots(spark, sf_dir):
+    """Also small labels are cut into cells, homes are whole, and clustered vectors are replicated to few of the cells."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("class_id"), "label", F.lit(64).alias("dim"), F.lit(1).cast("bigint").alias("copies"), "embedding")
+    members = rangejoin.cell_members(e)
+    assert members.filter("is_home").count() == e.count()
+    cells = {r.label: r.n for r in members.groupBy("label").agg(F.count_distinct("cell").alias("n")).collect()}
+    sizes = {r.label: r["count"] for r in e.groupBy("label").count().collect()}
+    assert all(cells[label] >= min(3, n) for label, n in sizes.items()) and len(cells) == len(sizes)
+    rng = np.random.default_rng(2)
+    centres = np.eye(16)[:8]
+    rows_in = [(i, 1, 16, 1, (centres[i % 8] + rng.normal(0, 0.02, 16)).tolist()) for i in range(400)]
+    made = spark.createDataFrame(rows_in, "class_id long, label int, dim int, copies long, embedding array<double>")
+    members = rangejoin.cell_members(made, least=12)
+    assert members.filter("is_home").count() == 400 and members.count() < 5 * 400
+
+
 def test_range_join_sql(spark, sf_dir):
     got = queries.op6_embedding_range_join(spark, sf_dir).toPandas()
     assert rows(got) == rows(tables(sf_dir).sql(queries.OP6_SQL).df())

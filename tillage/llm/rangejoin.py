@@ -1,16 +1,17 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Vectors are scaled to length one, where a cosine of c is a distance of
-sqrt(2 - 2c) = r. A label with many vectors gets pivots; a vector's home is the cell
-of its nearest pivot. By the triangle inequality, a neighbour within r of x that lives
-in cell j is no nearer to its own pivot's rivals: d(x, pj) - d(x, home) <= 2r, and
-d(x, pj) <= r + the cell's radius. x is replicated to the cells for which both hold, so
+sqrt(2 - 2c) = r. Every label has pivots, more of them the more vectors it has; a vector's home is the cell
+of its nearest pivot. Let y, within r of x, live in the cell of pivot j. By the triangle inequality
+d(x, j) - d(x, home) <= 2r and d(x, j) <= r + the cell's radius; and as y lies on the other side of the plane
+between the two pivots, x is no farther than r from that plane:
+(d(x, j)^2 - d(x, home)^2) / (2 d(home, j)) <= r. x is replicated to the cells for which all three hold, so
 all neighbours of a vector are in its home cell, and cells join independently.
 
-Equal vectors are one class with a number of copies. A cell is cut into blocks of
-bounded size, each pair of which is one task's matrix product, so a hot cell
-spreads over tasks. A block pair gives a count for each vector and a spanning forest of
-its links, never the pairs.
+Pivots meet the vectors in tasks of bounded size and never pass through the driver. Equal vectors are one class with a
+number of copies. A cell is cut into blocks of bounded size, each pair of which is one task's matrix product, so a
+hot cell spreads over tasks. A block pair gives a count for each vector and a spanning forest of its links, never the
+pairs.
 """
 
 from __future__ import annotations
@@ -19,20 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm.common import bounded_sample, written
+from tillage.llm.common import written
 from tillage.llm.components import connected_components
 
 COSINE = 0.93
-#: Vectors of a label for which it gets one more pivot, and the pivots of all labels together at most.
-ROWS_PER_PIVOT = 4000
-MOST_PIVOTS = 2048
-#: Vectors of a block.
-BLOCK_ROWS = 2048
+#: A label of n vectors has sqrt(n) x PIVOT_SHARE pivots, LEAST_PIVOTS at least (or all its vectors, if they are fewer).
+PIVOT_SHARE = 1 / 16
+LEAST_PIVOTS = 4
+#: Vectors that meet their label's pivots in one task, or TASK_PIVOTS for each pivot if that is more.
+TASK_ROWS = 20_000
+TASK_PIVOTS = 16
+#: Vectors of a block, and numbers in them at most (long vectors make smaller blocks).
+BLOCK_ROWS = 8192
+BLOCK_NUMBERS = 1 << 22
 #: Slack for rounding in distances; what is linked is decided by the cosine itself.
-SLACK = 1e-9
+SLACK = 1e-6
 
 
 def usable(vector: str) -> Column:
@@ -49,73 +54,81 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose_pivots(classes: DataFrame, rows_per_pivot: int = ROWS_PER_PIVOT, most: int = MOST_PIVOTS) -> dict[tuple, np.ndarray]:
-    """Unit pivots of each (label, size) that has more than rows_per_pivot classes; `most` in all.
+def with_pivots(classes: DataFrame, share: float = PIVOT_SHARE, least: int = LEAST_PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """(classes, pivots). classes has label, dim and part, to which its rows are dealt; pivots has p_label, p_dim, p_part, place and
+    pivot, each pivot in every part of its label. A label's pivots are those of its vectors with the smallest hashes."""
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("k", F.least(F.col("n"), F.greatest(F.lit(least), F.ceil(F.sqrt("n") * share))))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / F.greatest(F.lit(TASK_ROWS), F.col("k") * TASK_PIVOTS)).cast("int"))
+    at = classes.join(sizes, ["label", "dim"])
+    hashed = at.withColumn("h", F.xxhash64("class_id", F.lit(23)))
+    near = hashed.filter(F.col("h") / float(1 << 64) + 0.5 < (F.col("k") * 2 + 64) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy("h", "class_id"))
+    pivots = near.withColumn("place", rank).filter("place <= k")
+    pivots = pivots.select(F.col("label").alias("p_label"), F.col("dim").alias("p_dim"), F.col("place").alias("place"), F.col("embedding").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p_part"))
+    return at.withColumn("part", F.pmod(F.xxhash64("class_id", F.lit(29)), F.col("parts")).cast("int")).drop("n", "k", "parts"), pivots
+
+
+def _cells(classes: DataFrame, pivots: DataFrame, r: float) -> DataFrame:
+    """classes with home (the place of the nearest pivot), to_home (its distance), and for the cells that may need
+    a replica cells and to_cells, their distances."""
+    names = ["label", "dim", "class_id", "copies", "embedding"]
+    kinds = ", ".join(f"`{n}` {classes.schema[n].dataType.simpleString()}" for n in names)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(names).combine_chunks()
+        order = np.argsort(np.asarray(right.column("place")))
+        p = _units(right.column("pivot").combine_chunks().take(pa.array(order)))
+        homes, to_home, counts, cells, far = [], [], [], [], []
+        for at in range(0, len(left), 512):
+            x = _units(left.column("embedding").slice(at, 512).combine_chunks())
+            d2 = np.maximum(2 - 2 * (x @ p.T), 0)
+            home = d2.argmin(1)
+            d, own2 = np.sqrt(d2), d2[np.arange(len(x)), home]
+            own = np.sqrt(own2)
+            apart = np.sqrt(np.maximum(2 - 2 * (p[home] @ p.T), 0))
+            plane = (d2 - own2[:, None]) / np.maximum(2 * apart, 1e-9)
+            need = (d - own[:, None] <= 2 * r + SLACK) & ((plane <= r + SLACK) | (apart <= 1e-4))
+            homes.append(home)
+            to_home.append(own)
+            counts.append(need.sum(1))
+            cells.append(np.nonzero(need)[1])
+            far.append(d[need])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
+        made = {
+            "home": pa.array(np.concatenate(homes).astype(np.int32)),
+            "to_home": pa.array(np.concatenate(to_home)),
+            "cells": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cells).astype(np.int32))),
+            "to_cells": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(far))),
+        }
+        for name, column in made.items():
+            left = left.append_column(name, column)
+        return left
+
+    return classes.groupBy("label", "dim", "part").cogroup(pivots.groupBy("p_label", "p_dim", "p_part")).applyInArrow(run, f"{kinds}, home int, to_home double, cells array<int>, to_cells array<double>")
+
+
+def cell_members(classes: DataFrame, cosine: float = COSINE, share: float = PIVOT_SHARE, least: int = LEAST_PIVOTS) -> DataFrame:
+    """(label, dim, cell, class_id, copies, embedding, is_home): each class in its home cell and, as a replica, in the
+    cells that may hold a neighbour of it."""
+    r = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    homes = written(_cells(*with_pivots(classes, share, least), r), "homes")
+    radius = homes.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.max("to_home").alias("radius"))
+    member = homes.select("label", "dim", "class_id", "copies", "embedding", "home", F.explode(F.arrays_zip("cells", "to_cells")).alias("c"))
+    member = member.withColumn("cell", F.col("c.cells")).join(radius, ["label", "dim", "cell"]).filter(F.col("c.to_cells") <= F.col("radius") + r + SLACK)
+    return written(member.select("label", "dim", "cell", "class_id", "copies", "embedding", (F.col("cell") == F.col("home")).alias("is_home")), "members")
 
-    The driver gets at most `most` groups' sizes and vectors; further groups, the smaller ones, have one cell each.
-    """
-    large = classes.groupBy("label", "dim").count().filter(F.col("count") > rows_per_pivot).orderBy(F.desc("count"), "label", "dim").limit(most // 2).collect()
-    total = sum(r["count"] for r in large)
-    if not large:
-        return {}
-    per = max(rows_per_pivot, -(-total // (most // 2)))
-    wanted = {(r["label"], r["dim"]): max(2, r["count"] // per) for r in large}
-    keyed = classes.filter(F.struct("label", "dim").isin([F.struct(F.lit(a).cast(classes.schema["label"].dataType), F.lit(d)) for a, d in wanted]))
-    sample = bounded_sample(keyed.withColumn("_group", F.struct("label", "dim")), "_group", "class_id", 16 * max(1, -(-max(wanted.values()) // 16)), seed=23)
-    found: dict[tuple, list] = {}
-    for r in sample.orderBy("_hash", "class_id").select("label", "dim", "embedding").limit(4 * most).collect():
-        found.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
-    out = {}
-    for key, vectors in found.items():
-        out[key] = _units(pa.array(vectors[: wanted[key]], pa.list_(pa.float64())))
-    return out
-
-
-def _cells(classes: DataFrame, pivots: dict[tuple, np.ndarray], r: float) -> DataFrame:
-    """(label, dim, cell, class_id, copies, embedding, home, near): homes only, with distances to the cells that may need a replica."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            labels, dims = b.column("label").to_pylist(), b.column("dim").to_pylist()
-            homes, others, far, radius = [0] * len(labels), [[0]] * len(labels), [[0.0]] * len(labels), [0.0] * len(labels)
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(labels, dims)):
-                if key in pivots:
-                    groups.setdefault(key, []).append(i)
-            for key, rows in groups.items():
-                x, p = _units(b.column("embedding").take(pa.array(rows))), pivots[key]
-                d = np.sqrt(np.maximum(2 - 2 * (x @ p.T), 0))
-                nearest = d.argmin(1)
-                least = d[np.arange(len(rows)), nearest]
-                near = d - least[:, None] <= 2 * r + SLACK
-                for i, h, m, row, ds in zip(rows, nearest.tolist(), least.tolist(), near, d):
-                    cells = np.flatnonzero(row)
-                    homes[i], radius[i], others[i], far[i] = h, m, cells.tolist(), ds[cells].tolist()
-            cols = [*b.columns, pa.array(homes, pa.int32()), pa.array(radius, pa.float64()), pa.array(others, pa.list_(pa.int32())), pa.array(far, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "home", "to_home", "cells", "to_cells"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, f"{kinds}, home int, to_home double, cells array<int>, to_cells array<double>")
-
-
-def range_links(classes: DataFrame, cosine: float = COSINE, rows_per_pivot: int = ROWS_PER_PIVOT, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+
+def range_links(classes: DataFrame, cosine: float = COSINE, share: float = PIVOT_SHARE, least: int = LEAST_PIVOTS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(counts, links) of classes (class_id, label, dim, copies, embedding).
 
     counts: class_id and n, the vectors other than its own copies that a class links with, in parts that add
     up. links: a and b, enough to join all classes that a chain of links joins.
     """
-    r = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    pivots = choose_pivots(classes, rows_per_pivot)
-    homes = written(_cells(classes, pivots, r), "homes")
-    member = homes.select("label", "dim", "class_id", "copies", "embedding", "home", F.explode(F.arrays_zip("cells", "to_cells")).alias("c"))
-    if pivots:  # cells of groups without pivots have radius 0 and are their own only cell
-        radius = homes.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.max("to_home").alias("radius"))
-        member = member.withColumn("cell", F.col("c.cells")).join(radius, ["label", "dim", "cell"]).filter(F.col("c.to_cells") <= F.col("radius") + r + SLACK)
-    else:
-        member = member.withColumn("cell", F.col("c.cells"))
-    member = written(member.select("label", "dim", "cell", "class_id", "copies", "embedding", (F.col("cell") == F.col("home")).alias("is_home")), "members")
+    member = cell_members(classes, cosine, share, least)
+    block = F.least(F.lit(block_rows), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dim"))))
     sizes = member.groupBy("label", "dim", "cell").agg(F.count_if("is_home").alias("h"), F.count("*").alias("m"))
-    sizes = sizes.select("label", "dim", "cell", F.ceil(F.col("h") / block_rows).cast("int").alias("nh"), F.ceil(F.col("m") / block_rows).cast("int").alias("nm")).filter("nh > 0")
+    sizes = sizes.select("label", "dim", "cell", F.ceil(F.col("h") / block).cast("int").alias("nh"), F.ceil(F.col("m") / block).cast("int").alias("nm")).filter("nh > 0")
     at = member.join(sizes, ["label", "dim", "cell"]).withColumn("x", F.xxhash64("class_id"))
     left = at.filter("is_home").withColumn("i", F.pmod("x", F.col("nh")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)))
     right = at.withColumn("j", F.pmod("x", F.col("nm")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)))
@@ -162,24 +175,25 @@ def range_links(classes: DataFrame, cosine: float = COSINE, rows_per_pivot: int
     return counts, found.filter("other IS NOT NULL").select(F.col("class_id").alias("a"), F.col("other").alias("b"))
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE, rows_per_pivot: int = ROWS_PER_PIVOT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE, share: float = PIVOT_SHARE, least: int = LEAST_PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of embeddings.
 
     Vectors of one label (not null) and one size link at a cosine of `cosine` or more, in double
-    precision. Vectors that are null, empty or zero, hold null or non-finite components, or have
+    precision; a cosine that is just `cosine` links. Vectors that are null, empty or zero, hold null or non-finite components, or have
     no label link with nothing, copies included. component_id is the smallest vec_id reachable by links,
     kept whether that is the row's own. A row with a null vec_id links with nothing and has a null component_id.
     Rows that repeat a vec_id with the same label and vector are copies and link with each other; with other vectors they are
     one node of the links, whose numbers add up. Further columns are ignored; an empty table gives no rows.
     """
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label"), F.col("embedding"))
     rows = rows.withColumn("ok", usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    rows = written(rows.withColumn("same", F.when(F.col("ok"), F.sha2(F.to_json(F.struct(F.transform("embedding", lambda x: x + 0.0).alias("e"))), 256))), "vectors")
+    numbers = F.transform("embedding", lambda x: x.cast("double") + 0.0)
+    rows = written(rows.withColumn("same", F.when(F.col("ok"), F.sha2(F.to_json(F.struct(numbers.alias("e"))), 256))), "vectors")
     classes = written(
         rows.filter("ok").groupBy("label", "same").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")),
         "vector-classes",
     )
-    counts, links = range_links(classes.select("class_id", "label", "dim", "copies", "embedding"), cosine, rows_per_pivot, block_rows)
+    counts, links = range_links(classes.select("class_id", "label", "dim", "copies", "embedding"), cosine, share, least, block_rows)
     components = connected_components(links)
     of_class = (
         classes.select("label", "same", "class_id", "copies")
