@@ -24,8 +24,7 @@ def test_stages(spark):
             gone = before.join(docs, "doc_id", "left_anti").join(labels, "doc_id")
             assert gone.filter("quality = 1").count() <= 0.02 * labels.count() < gone.filter("quality = 0").count() + 10
         if name == "simhash_dedup":
-            groups = simhash.simhash_groups(before)
-            assert docs.count() == groups.select("component_id").distinct().count()
+            assert docs.count() == simhash.near_components(before).select("component").distinct().count()
             assert docs.groupBy("doc_id").count().filter("count > 1").count() == 0
         if name == "mix_sources":
             assert docs.join(before, "doc_id", "left_anti").count() == 0
