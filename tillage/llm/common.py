@@ -44,22 +44,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed: int, salts: int = 16) -> DataFrame:
-    """At most per_group rows of each group, the first by a hash of key, repeatable.
+#: Groups of a sample whose sizes are looked up; the sizes of further, smaller ones don't matter for their result.
+MOST_GROUPS = 10_000
 
-    A group is cut into salts first, each of which gives its share, so that no
-    task gathers a group however large it is.
+
+def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed: int) -> DataFrame:
+    """rows with _hash, at most per_group distinct ones of each group: those with the smallest hashes of key, repeatable.
+
+    Groups are counted first. Of a large one only the rows whose hash lies in a share that holds about twice
+    per_group rows are ranked, so no task gathers a group however large it is. Rows that are equal count once.
     """
-    salts = max(1, min(salts, per_group))
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    order = Window.partitionBy(group, "_salt").orderBy("_hash", key)
-    return (
-        rows.withColumn("_hash", h)
-        .withColumn("_salt", F.pmod(F.shiftright("_hash", 7), F.lit(salts)))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= per_group // salts)
-        .drop("_salt", "_rank")
-    )
+    hashed = rows.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), "_group").limit(MOST_GROUPS)
+    share = F.coalesce((2.0 * per_group + 64) / F.col("_size"), F.lit(1.0))
+    near = hashed.join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_group")), "left").filter(F.col("_hash") / float(1 << 64) + 0.5 < share)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_hash", key))
+    return near.drop("_group", "_size").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= per_group).drop("_rank")
 
 
 def filter_texts(docs: DataFrame, accept: Callable[[str | None], bool], text: str = "text") -> DataFrame:

@@ -99,13 +99,13 @@ def _sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int, max_
     The total is dealt in turns, a row of each language at a time, so a language
     keeps its share whatever its size, and what small ones leave goes to the rest.
     """
-    turn = F.row_number().over(Window.partitionBy(lang).orderBy("_hash", key))
+    turn = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
     picked = (
-        bounded_sample(docs.select(key, lang), lang, key, per_lang, seed=11)
+        bounded_sample(docs.select(F.col(key).alias("_id"), F.col(lang).alias("_lang")), "_lang", "_id", per_lang, seed=11)
         .withColumn("_turn", turn)
-        .orderBy("_turn", "_hash", key, lang)
+        .orderBy("_turn", "_hash", "_id", "_lang")
         .limit(max_docs)
-        .select(F.col(key).alias("_key"))
+        .select("_id")
         .distinct()
     )
 
@@ -124,8 +124,8 @@ def _sample(docs: DataFrame, text: str, lang: str, key: str, per_lang: int, max_
                 names=["k", "lang", "which", "tf"],
             )
 
-    chosen = docs.join(F.broadcast(picked), docs[key] == picked["_key"], "left_semi")
-    chosen = chosen.groupBy(F.col(key).cast("bigint").alias("k")).agg(F.min(F.struct(F.col(lang).alias("l"), F.col(text).alias("t"))).alias("r"))
+    texts = docs.select(F.col(key).alias("_id"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    chosen = texts.join(F.broadcast(picked), "_id", "left_semi").groupBy(F.col("_id").cast("bigint").alias("k")).agg(F.min(F.struct("l", "t")).alias("r"))
     chosen = chosen.select("k", "r.l", "r.t")
     rows = chosen.mapInArrow(run, "k bigint, lang string, which binary, tf binary").collect()
     found = [(r.k, r.lang, np.frombuffer(r.which, "<i4"), np.frombuffer(r.tf, "<i8")) for r in rows]
@@ -222,8 +222,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row: trained on the rows not held out.
 
     lang_pred is a language learned, or `und` (score 0) where the text is null
-    or has no letter or no row has a language to learn from. Repeated rows get
-    equal results; columns other than doc_id, text and lang are ignored.
+    or has no letter or no row has a language to learn from. Of languages that are equally
+    likely the first by code point is told. Repeated rows get equal results (of
+    a doc_id that repeats with different texts, training takes the least language and
+    text); columns other than doc_id, text and lang are ignored, and an empty table gives no rows.
     """
     model = train(docs, train_on=~held_out(), **options)
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -3,13 +3,13 @@
 The categories form a chain. Each has a logistic model over the words (and beginnings
 of words) of the whole text that tell most about toxicity, and over the probabilities of all earlier
 categories. Those probabilities come, in training, from models that did not see
-the document (out-of-fold), so a later model meets earlier answers as good as it
-will meet when scoring.
+the document (out-of-fold): a fold's documents take part neither in the choice of the words nor in the fit
+of the model that answers for them. So a later model meets earlier answers as good as it will meet when scoring.
 
-The labels mark only whether a document is toxic. The earlier categories are the
-kinds of toxicity that seed words name: a labelled training document has a kind
-if it is toxic and holds one of the kind's seeds. The last category is toxicity
-itself, learned from the labels alone.
+The labels mark only whether a document is toxic. The earlier categories are found in the data: the
+toxic training documents are grouped by the telling words they hold (k-means on directions), so that
+documents that abuse in the same words, and so in one language, are one kind. The last
+category is toxicity itself, learned from the labels alone.
 
 All this is fitted on a sample of at most `per_class` labelled documents of each label.
 """
@@ -23,16 +23,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillage.llm.common import bounded_sample, held_out, sigmoid, written
 
-#: Seed words of the kinds of toxicity that come before the last category.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum"),
-    "contempt": ("stupid", "pathetic", "worthless", "disgusting", "trash"),
-}
+#: Kinds of toxicity that are found in the data, and the last category.
+KINDS = 3
 LAST = "toxic"
 #: Words and beginnings of words that the models look at, at most, and how much one must tell (a squared z score).
 WORDS = 256
@@ -125,72 +122,115 @@ class ToxicityChain:
         return score
 
 
-def fit_chain(words: list[str], x: np.ndarray, targets: dict[str, np.ndarray], shares: dict[str, float], folds: int = FOLDS) -> ToxicityChain:
-    """Fit the chain on rows of values of LENGTH and words; targets in chain order, fold of row i is i mod folds.
+def kinds_of(x: np.ndarray, kinds: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """The kind (0 to kinds - 1) of each row of word values, by k-means on the rows' directions.
 
+    The first centre is the commonest direction, each further one the row farthest from those chosen; ties go to
+    the first row. Rows without a word are of the last kind. Kinds are numbered by size.
+    """
+    norm = np.sqrt((x * x).sum(1))
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    live = np.flatnonzero(norm > 0)
+    out = np.full(len(x), kinds - 1)
+    if not len(live):
+        return out
+    u = unit[live]
+    mean = u.sum(0)
+    centres = [mean / np.linalg.norm(mean)]
+    while len(centres) < kinds:
+        centres.append(u[int(np.argmin(np.max(u @ np.array(centres).T, axis=1)))])
+    c = np.array(centres)
+    for _ in range(rounds):
+        of = (u @ c.T).argmax(1)
+        sums = np.stack([u[of == k].sum(0) if (of == k).any() else c[k] for k in range(kinds)])
+        c = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    by_size = np.argsort(-np.bincount(of, minlength=kinds), kind="stable")
+    out[live] = np.argsort(by_size)[of]
+    return out
+
+
+def fit_chain(words: list[str], x: np.ndarray, targets: dict[str, np.ndarray], shares: dict[str, float], fold: np.ndarray, chosen: list[np.ndarray]) -> ToxicityChain:
+    """Fit the chain on rows of values of LENGTH and words; targets in chain order, fold the number of each row's fold.
+
+    chosen holds, for each fold, the columns that documents of the other folds choose, and last those that all choose.
     shares gives each category's share among all documents, to which its intercept is moved.
     """
-    chain = ToxicityChain(words, list(targets))
-    fold = np.arange(len(x)) % folds
+    chain = ToxicityChain([words[c] for c in chosen[-1]], list(targets))
+    answers = np.zeros((len(x), 0))
     for name, y in targets.items():
-        unseen, shift = np.zeros(len(x)), np.r_[np.zeros(x.shape[1]), np.log(shares[name] / (1 - shares[name]))]
-        for k in range(folds):
-            w = fit_logistic(x[fold != k], y[fold != k]) + shift
-            unseen[fold == k] = sigmoid(x[fold == k] @ w[:-1] + w[-1])
-        chain.weights.append(fit_logistic(x, y) + shift)
-        x = np.hstack([x, unseen[:, None]])
+        shift = np.log(shares[name] / (1 - shares[name]))
+        unseen = np.zeros(len(x))
+        for k in range(len(chosen) - 1):
+            inputs = np.hstack([x[:, chosen[k]], answers])
+            w = fit_logistic(inputs[fold != k], y[fold != k])
+            unseen[fold == k] = sigmoid(inputs[fold == k] @ w[:-1] + w[-1] + shift)
+        w = fit_logistic(np.hstack([x[:, chosen[-1]], answers]), y)
+        w[-1] += shift
+        chain.weights.append(w)
+        answers = np.hstack([answers, unseen[:, None]])
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", seeds: dict[str, tuple[str, ...]] = SEEDS, n_words: int = WORDS, per_class: int = 3200) -> ToxicityChain:
+def _telling(counts: DataFrame, n0: Column, n1: Column, n_words: int) -> DataFrame:
+    """The at most n_words words of counts that tell most, n0 and n1 being the documents of both labels that hold each."""
+    total0, total1 = (F.col(c) for c in ("t0", "t1"))
+    p1, p0 = (n1 + 0.5) / (total1 + 1), (n0 + 0.5) / (total0 + 1)
+    tells = F.pow(p1 - p0, 2) / (p1 * (1 - p1) / (total1 + 1) + p0 * (1 - p0) / (total0 + 1))
+    return counts.filter(n0 + n1 >= 3).withColumn("tells", tells).filter((F.col("tells") >= TELLS) & (p1 / p0 >= LIFT)).orderBy(F.desc("tells"), "word").limit(n_words)
+
+
+def telling_words(rows: DataFrame, n_words: int, folds: int) -> list[list[str]]:
+    """For each fold the words that tell most in the other folds, and last those of all rows (k, y, fold, t).
+
+    Words are counted as documents that hold them, by label and fold. The driver gets n_words words a list.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[tuple[str, int], list[int]] = {}
+            for y, f, t in zip(*(b.column(c).to_pylist() for c in ("y", "fold", "t"))):
+                for w in words_of(t):
+                    seen.setdefault((w, f), [0, 0])[y] += 1  # documents, not places
+            cols = [pa.array([w for w, _ in seen], pa.string()), pa.array([f for _, f in seen], pa.int32())]
+            cols += [pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=["word", "fold", "n0", "n1"])
+
+    sizes = {(r["y"], r["fold"]): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
+    each = rows.select("y", "fold", "t").mapInArrow(split, "word string, fold int, n0 bigint, n1 bigint")
+    sums = [F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(folds + 1) for c in ("n0", "n1")]
+    counts = written(each.groupBy("word").agg(*sums), "toxicity-words")
+    lists = None
+    for k in range(folds + 1):
+        total = {y: sum(n for (z, f), n in sizes.items() if z == y and f != k) for y in (0, 1)}
+        top = _telling(counts.withColumns({"t0": F.lit(total[0]), "t1": F.lit(total[1])}), F.col(f"n0_{k}"), F.col(f"n1_{k}"), n_words).select(F.lit(k).alias("k"), "word")
+        lists = top if lists is None else lists.unionByName(top)
+    found = lists.collect()
+    return [sorted({r["word"] for r in found if r["k"] == k}) for k in range(folds + 1)]
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", kinds: int = KINDS, n_words: int = WORDS, per_class: int = 3200, folds: int = FOLDS) -> ToxicityChain:
     """A chain learned from labelled documents that aren't held out.
 
     Labels that are null or neither 0 nor 1 don't count; of several labels of one
-    document the largest does. Without labels the chain is empty.
+    document the largest does, of several texts the least. Without labels the chain is empty. Columns other than
+    key, text and label are ignored, whatever they are called.
     """
     marks = (
-        labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
-        .groupBy(F.col(key).alias("_key"))
-        .agg(F.max(label).cast("int").alias("_y"))
+        labels.select(F.col(key).alias("_id"), F.col(label).alias("_mark"))
+        .filter(F.col("_mark").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
+        .groupBy("_id")
+        .agg(F.max("_mark").cast("int").alias("_y"))
     )
     overall = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
-    picked = bounded_sample(marks, "_y", "_key", per_class, seed=5).select("_key", "_y")
-    rows = (
-        docs.join(F.broadcast(picked), docs[key] == F.col("_key"))
-        .groupBy(F.col("_key").cast("bigint").alias("_key"), "_y")
-        .agg(F.min(docs[text]).alias("_text"))
-    )
-    rows = written(rows, "toxicity-sample")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str, list[int]] = {}
-            for y, t in zip(b.column("_y").to_pylist(), b.column("_text").to_pylist()):
-                for w in words_of(t):
-                    seen.setdefault(w, [0, 0])[y] += 1  # documents, not places
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seen, pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
-                names=["word", "n0", "n1"],
-            )
-
-    sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if n0 + n1 == 0:
+    picked = bounded_sample(marks, "_y", "_id", per_class, seed=5)
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    rows = texts.join(F.broadcast(picked), "_id").groupBy(F.col("_id").cast("bigint").alias("k"), F.col("_y").alias("y")).agg(F.min("_text").alias("t"))
+    rows = written(rows.withColumn("fold", F.pmod(F.xxhash64("k", F.lit(17)), F.lit(folds)).cast("int")), "toxicity-sample")
+    lists = telling_words(rows, n_words, folds)
+    if not rows.head(1):
         return ToxicityChain([], [])
-    p1, p0 = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
-    telling = (
-        rows.select("_y", "_text")
-        .mapInArrow(split, "word string, n0 bigint, n1 bigint")
-        .groupBy("word")
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .filter("n0 + n1 >= 3")
-        .withColumn("tells", F.pow(p1 - p0, 2) / (p1 * (1 - p1) / (n1 + 1) + p0 * (1 - p0) / (n0 + 1)))
-        .filter((F.col("tells") >= TELLS) & (p1 / p0 >= LIFT))
-        .orderBy(F.desc("tells"), "word")
-        .limit(n_words)
-    )
-    words = [LENGTH, *sorted({r["word"] for r in telling.select("word").collect()})]
-    wanted = set(words) | {w for s in seeds.values() for w in s}
+    words = [LENGTH, *sorted(set().union(*lists))]
+    wanted = set(words)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,34 +240,37 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 found.append(sorted(wanted.intersection(counts)))
                 values.append(strength([counts[w] for w in found[-1]]).tolist())
                 lengths.append(length_value(counts))
-            cols = [b.column("k"), b.column("y"), pa.array(found, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64())), pa.array(lengths, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "y", "words", "counts", "length"])
+            cols = [b.column("k"), b.column("y"), b.column("fold"), pa.array(found, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float64())), pa.array(lengths, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "y", "fold", "words", "counts", "length"])
 
-    chosen = rows.select(F.col("_key").alias("k"), F.col("_y").alias("y"), F.col("_text").alias("t"))
-    picked_rows = chosen.mapInArrow(pick, "k bigint, y int, words array<string>, counts array<double>, length double").collect()
-    sample = sorted((r.k, r.y, r.words, r.counts, r.length) for r in picked_rows)
+    picked_rows = rows.select("k", "y", "fold", "t").mapInArrow(pick, "k bigint, y int, fold int, words array<string>, counts array<double>, length double").collect()
+    sample = sorted((r.k, r.y, r.fold, r.words, r.counts, r.length) for r in picked_rows)
     place = {w: i for i, w in enumerate(words)}
     x = np.zeros((len(sample), len(words)), np.float32)
-    for i, (_, _, found, values, length) in enumerate(sample):
+    for i, (_, _, _, found, values, length) in enumerate(sample):
         x[i, 0] = length
-        for w, v in zip(found, values):
-            if w in place:
-                x[i, place[w]] = v
+        x[i, [place[w] for w in found]] = values
     toxic = np.array([r[1] for r in sample], np.float64)
-    targets = {name: np.array([r[1] and bool(set(s) & set(r[2])) for r in sample], np.float64) for name, s in seeds.items()}
+    fold = np.array([r[2] for r in sample])
+    chosen = [np.array([0, *(place[w] for w in ws)]) for ws in lists]
+    kind = np.full(len(sample), -1)
+    kind[toxic > 0] = kinds_of(x[toxic > 0][:, chosen[-1][1:]].astype(np.float64), kinds)
+    targets = {f"kind_{k + 1}": (kind == k).astype(np.float64) for k in range(kinds)}
     overall = (overall.get(1, 0) + 1) / (sum(overall.values()) + 2)
     shares = {name: max(overall * (y.sum() + 1) / (toxic.sum() + 1), 1e-4) for name, y in targets.items()}
-    return fit_chain(words, x, targets | {LAST: toxic}, shares | {LAST: overall})
+    shares = {name: min(share, 1 - 1e-4) for name, share in shares.items()}
+    return fit_chain(words, x, targets | {LAST: toxic}, shares | {LAST: overall}, fold, chosen)
 
 
-def classify(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] = SEEDS, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """(doc_id, held_out, p_<category> for each in chain order, toxic_pred) for each row.
+def classify(docs: DataFrame, labels: DataFrame, kinds: int = KINDS, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """(doc_id, held_out, p_<category> for each in chain order, toxic_pred) for each row of docs.
 
-    Whole texts are scored from their words alone. A null text has no words and is scored like an empty one.
-    Without labels every probability is 0. Columns other than doc_id and the text are ignored.
+    Whole texts are scored from their words alone. A null text has no words and is scored like an empty one; repeated
+    rows get equal results; a probability equal to the threshold counts as toxic. Without labels every probability is
+    0. Columns other than doc_id and the text are ignored, and an empty table gives no rows.
     """
-    chain = train(docs, labels, text=text, seeds=seeds)
-    names = [*seeds, LAST]
+    chain = train(docs, labels, text=text, kinds=kinds)
+    names = [*(f"kind_{k + 1}" for k in range(kinds)), LAST]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = chain.scorer()
