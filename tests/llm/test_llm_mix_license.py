@@ -71,24 +71,55 @@ def test_mix_documents(spark):
 
 
 def test_layout():
-    assert [mixing.shards_for(n) for n in (0, 1, 16 << 23, (16 << 23) + 1, 10**18)] == [16, 16, 16, 32, 1 << 16]
+    assert [mixing.shards_for(n) for n in (0, 1, 16 << 23, (16 << 23) + 1, 1 << 60)] == [16, 16, 16, 32, 1 << 37]
 
 
-def test_splitting_tree(spark):
+@pytest.mark.parametrize("children", [2, 16])
+def test_splitting_tree(spark, monkeypatch, children):
+    monkeypatch.setattr(mixing, "CHILDREN", children)
+    monkeypatch.setattr(mixing, "BIN_ROWS", 7)
     drawn = spark.createDataFrame([(p, i) for p, n in ((0, 40), (1, 3), (2, 17)) for i in range(n)], "place int, seq int")
     got = mixing.shard_quotas(drawn, 8).collect()
     for p, n in ((0, 40), (1, 3), (2, 17)):
         mine = sorted((r.shard, r.first, r.quota) for r in got if r.place == p)
-        assert sum(q for _, _, q in mine) == n and [f for _, f, _ in mine] == [sum(q for _, _, q in mine[:i]) for i in range(8)]
+        assert sum(q for _, _, q in mine) == n and [f for _, f, _ in mine] == [sum(q for _, _, q in mine[:i]) for i in range(len(mine))]
     total = [sum(r.quota for r in got if r.shard == s) for s in range(8)]
-    assert sum(total) == 60 and max(total) - min(total) <= 1
-    # over many seeds the mean of a split is that of the multivariate hypergeometric distribution
-    first = [sum(r.quota for r in mixing.shard_quotas(drawn, 2, seed=s).collect() if r.shard == 0 and r.place == 0) for s in range(12)]
-    assert 17 < sum(first) / len(first) < 23
+    assert sum(total) == 60 and max(total) - min(total) <= 3
     with pytest.raises(ValueError):
         mixing.shard_quotas(drawn, 6)
 
 
+def test_splits_are_hypergeometric(spark):
+    """Over many nodes with the same quotas, a child's share of a source has the mean and variance of the distribution."""
+    tree = spark.createDataFrame([(node, p, n) for node in range(4000) for p, n in ((0, 12), (1, 8))], "node long, place int, n long")
+    got = mixing.split_quotas(tree, 2, 0, 1, 3).filter("place = 0 and node % 2 = 0").collect()
+    x = [r.n for r in got] + [0] * (4000 - len(got))
+    mean, var = sum(x) / 4000, sum(v * v for v in x) / 4000 - (sum(x) / 4000) ** 2
+    assert abs(mean - 6) < 0.08 and abs(var - 10 * 0.6 * 0.4 * 10 / 19) < 0.12
+
+
+def test_running_sums(spark):
+    rows = [(i % 3, (i * 7919) % 97 * (1 << 57) - (1 << 63), i, i % 5) for i in range(300)]
+    got = mixing.running(spark.createDataFrame(rows, "g int, h long, id int, v long"), ["g"], "h", ["id"], F.col("v"), 11).collect()
+    for r in got:
+        assert r._before == sum(v for g, h, i, v in rows if g == r.g and (h, i) < (r.h, r.id))
+
+
+def test_many_blocks_and_sources(spark):
+    """A million drawn blocks of 10,000 sources are planned in well under a minute each."""
+    import time
+
+    n = 1 << 20
+    blocks = spark.range(n).select((F.col("id") % 10_000).cast("int").alias("place"), F.floor(F.col("id") / 10_000).cast("int").alias("block"), (F.col("id") % 7 + 1).alias("words"))
+    sizes = blocks.groupBy("place").agg(F.sum("words").alias("source_size"))
+    began = time.time()
+    drawn = mixing.written(mixing.drawn_blocks(blocks.join(sizes, "place").withColumn("target", F.col("source_size") * 0.75), bins=n // mixing.BIN_ROWS), "drawn-test")
+    wanted = drawn.join(blocks, ["place", "block"]).agg(F.sum(F.coalesce("takes", "words"))).first()[0]
+    assert abs(wanted - 0.75 * sizes.agg(F.sum("source_size")).first()[0]) < 1
+    quotas = mixing.shard_quotas(drawn, 1 << 10)
+    assert quotas.agg(F.sum("quota")).first()[0] == drawn.count() and time.time() - began < 100
+
+
 def base_of(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(TO_LOWER))
     at = []

@@ -1,41 +1,44 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree, in Spark SQL.
 
-Documents are dealt into blocks by a hash, a bounded number of blocks for the whole
-corpus (`blocks`), so everything that is planned is planned on small tables: sources,
+Documents are dealt into blocks by a hash (16 a shard), so everything that is planned is planned on small tables: sources,
 blocks and shards. A source's blocks stand in a permuted order, anew for each pass over
 the source; its target says how many blocks it gives, passes included. A tree then
-splits these exact quotas among the shards: a node draws half of its blocks
-without replacement (one hashed number a draw), which is a multivariate
-hypergeometric split, and hands both halves down. A shard takes the next blocks of each
+splits these exact quotas among the shards. A node of the tree puts its blocks into an order by a hash of its own and cuts it into
+equal runs, one for each child: a child's quotas are how many blocks of each source its run holds, which is a multivariate
+hypergeometric draw, and the children divide theirs in turn. A shard takes the next blocks of each
 source's permuted order, so shards are disjoint, and shuffles its documents by a hash.
 
-In the last pass a source gives the blocks that fit and trims one more to its documents.
-Source, block and shard tables have a bounded number of rows or one for each source.
+In the last pass a source gives blocks in permuted order as long as they fit whole and trims one more to its documents.
+Orders and running sums are made in two steps, bins of a hash first and then the rows of a bin, so that no task sorts all blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillage.llm.common import written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-#: Shards and blocks of a small corpus. A large one has a shard for each SHARD_WORDS words, in powers of two up to
-#: MOST_SHARDS, and BLOCKS_PER_SHARD blocks for each.
+#: Shards and blocks of a small corpus. A large one has a shard for each SHARD_WORDS words, in powers of two, and
+#: BLOCKS_PER_SHARD blocks for each.
 SHARDS = 16
 BLOCKS = 4096
 SHARD_WORDS = 1 << 23
-MOST_SHARDS = 1 << 16
 BLOCKS_PER_SHARD = 16
+#: Children of a node of the tree (a power of two), and rows that share a bin of a hash, about.
+CHILDREN = 16
+BIN_ROWS = 512
+#: How often the last pass of a source is filled up with blocks that fit.
+FILLS = 2
 SEED = 2024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shards_for(words: int) -> int:
-    """A power of two: as many shards as hold SHARD_WORDS words each, within SHARDS and MOST_SHARDS."""
-    return min(MOST_SHARDS, max(SHARDS, 1 << max(0, (-(-words // SHARD_WORDS) - 1).bit_length())))
+    """A power of two, SHARDS at least: as many shards as hold SHARD_WORDS words each."""
+    return max(SHARDS, 1 << max(0, (-(-words // SHARD_WORDS) - 1).bit_length()))
 
 
 def _layout(sized: DataFrame, shards: int | None, blocks: int | None) -> tuple[int, int]:
@@ -43,6 +46,20 @@ def _layout(sized: DataFrame, shards: int | None, blocks: int | None) -> tuple[i
     return shards, blocks or max(BLOCKS, BLOCKS_PER_SHARD * shards)
 
 
+def running(rows: DataFrame, group: list[str], order: str, ties: list[str], value: Column, bins: int) -> DataFrame:
+    """rows with _before, the sum of value over the rows of their group that come earlier by order (a hash, a bigint) and ties.
+
+    bins is about the number of bins that the hashes of all groups are cut into; a group's sums over whole bins
+    and a bin's own rows are then two small windows.
+    """
+    binned = rows.withColumns({"_bin": F.floor((F.col(order) / float(1 << 64) + 0.5) * bins), "_value": value})
+    at = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    base = binned.groupBy(*group, "_bin").agg(F.sum("_value").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(at), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(*group, "_bin").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = binned.withColumn("_inside", F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return inside.join(base, [*group, "_bin"]).withColumn("_before", F.col("_base") + F.col("_inside")).drop("_bin", "_value", "_base", "_inside")
+
+
 def word_count(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -80,41 +97,56 @@ def _block(seed: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("n_blocks")).cast("int")
 
 
-def drawn_blocks(blocks: DataFrame, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
+def drawn_blocks(blocks: DataFrame, most: int = MOST_REPEATS, seed: int = SEED, bins: int = 8) -> DataFrame:
     """(place, pass, block, seq, takes): the blocks that each source gives, in permuted order.
 
-    blocks has place, block, words, source_size and target, and is bounded. A source
-    gives all its blocks in each whole pass that its target holds; in the last pass
-    it gives, in permuted order, each block that still fits, and trims the first
-    that didn't: takes is null for a whole block and else the words still wanted.
+    blocks has place, block, words, source_size and target. A source
+    gives all its blocks in each whole pass that its target holds. In the last pass
+    it gives blocks in permuted order as long as their words fit, then, FILLS times in all, of the others those that are no larger than
+    what is left; the smallest that is larger is trimmed: takes is null for a whole block and else the words still wanted.
     """
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size") + 1e-9))).otherwise(0).cast("int")
-    item = F.struct(F.xxhash64("place", "passes", "block", F.lit(seed)).alias("h"), "block", "words")
-    last = (
-        blocks.withColumn("passes", passes)
-        .withColumn("wanted", F.col("target") - F.col("passes") * F.col("source_size"))
-        .filter("wanted > 1e-6 * target")
-        .groupBy("place", "passes", "wanted")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .withColumn("fit", F.expr("""aggregate(items, named_struct('left', wanted, 'took', array_repeat(true, 0)), (a, x) ->
-            named_struct('left', a.left - IF(x.words <= a.left, x.words, 0), 'took', concat(a.took, array(x.words <= a.left))))"""))
-        .withColumn("spare", F.array_position("fit.took", F.lit(False)))
-        .select("place", F.col("passes").alias("pass"), "spare", F.col("fit.left").alias("left"), F.posexplode(F.arrays_zip("items", F.col("fit.took").alias("took"))).alias("i", "z"))
-        .select("place", "pass", F.col("z.items.block").alias("block"), F.col("z.items.h").alias("h"), F.col("z.took").alias("whole"), F.when((F.col("i") + 1 == F.col("spare")) & (F.col("left") > 1e-6), F.col("left")).alias("takes"))
-        .filter(F.col("whole") | F.col("takes").isNotNull())
-        .select("place", "pass", "block", "h", F.when(~F.col("whole"), F.col("takes")).alias("takes"))
-    )
-    whole = (
-        blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-        .filter(F.col("pass") < passes)
-        .select("place", "pass", "block", F.xxhash64("place", "pass", "block", F.lit(seed)).alias("h"), F.lit(None).cast("double").alias("takes"))
-    )
-    order = Window.partitionBy("place").orderBy("pass", "h", "block")
-    return whole.unionByName(last).withColumn("seq", F.row_number().over(order) - 1).drop("h")
+    every = blocks.withColumn("passes", passes).withColumn("wanted", F.col("target") - F.col("passes") * F.col("source_size"))
+    hashed = lambda rows: rows.withColumn("h", F.xxhash64("place", "pass", "block", F.lit(seed)))
+    rest = hashed(every.filter("wanted > 1e-6 * target and words > 0").withColumn("pass", F.col("passes"))).withColumn("left", F.col("wanted").cast("double"))
+    rest = rest.select("place", "pass", "block", "h", "words", "left")
+    taken = None
+    for _ in range(FILLS):
+        fits = running(rest.filter("words <= left"), ["place"], "h", ["block"], F.col("words"), bins)
+        fits = written(fits.filter(F.col("_before") + F.col("words") <= F.col("left")).drop("_before"), "fits")
+        taken = fits if taken is None else taken.unionByName(fits)
+        used = fits.groupBy("place").agg(F.sum("words").alias("used"))
+        rest = rest.join(fits.select("place", "block"), ["place", "block"], "left_anti").join(used, "place", "left")
+        rest = written(rest.withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).drop("used"), "rest")
+    least = rest.filter("left > 1e-6 and words > left").groupBy("place").agg(F.min(F.struct("words", "h", "block", "pass", "left")).alias("x"))
+    trimmed = least.select("place", "x.pass", "x.block", "x.h", F.col("x.left").alias("takes"))
+    last = taken.select("place", "pass", "block", "h", F.lit(None).cast("double").alias("takes")).unionByName(trimmed)
+    whole = hashed(every.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).filter("pass < passes"))
+    given = whole.select("place", "pass", "block", "h", F.lit(None).cast("double").alias("takes")).unionByName(last)
+    ordered = running(given, ["place", "pass"], "h", ["block"], F.lit(1), bins)
+    of_pass = given.groupBy("place", "pass").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("place").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
+    of_pass = of_pass.withColumn("_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return ordered.join(of_pass, ["place", "pass"]).withColumn("seq", F.col("_from") + F.col("_before")).drop("h", "_from", "_before")
+
+
+def split_quotas(tree: DataFrame, children: int, level: int, seed: int, bins: int) -> DataFrame:
+    """The quotas (node, place, n) of the next level: child c of a node is node x children + c.
+
+    Every block of a quota gets a number by a hash of node, level, source and its own place in the quota. In the order of these a
+    node's blocks are cut into runs, whose sizes differ by one block at most.
+    """
+    items = tree.select("node", "place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("j"))
+    items = items.withColumn("h", F.xxhash64("node", F.lit(level), "place", "j", F.lit(seed)))
+    totals = tree.groupBy("node").agg(F.sum("n").alias("total"))
+    ranked = running(items, ["node"], "h", ["place", "j"], F.lit(1).cast("bigint"), bins).join(totals, "node")
+    child = F.col("node") * children + F.floor(F.col("_before") * children / F.col("total"))
+    return ranked.groupBy(child.cast("bigint").alias("node"), "place").agg(F.count("*").alias("n"))
 
 
 def shard_quotas(drawn: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(place, shard, first, quota): how many of each source's drawn blocks each shard takes, and from which on.
+    """(place, shard, first, quota): how many of each source's drawn blocks each shard takes, and from which on; shards that
+    take none of a source have no row for it.
 
     shards is a power of two. The quotas of a source add up to its drawn blocks and
     shards differ by one block for each level of the tree at most.
@@ -122,33 +154,15 @@ def shard_quotas(drawn: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Da
     levels = shards.bit_length() - 1
     if 1 << levels != shards:
         raise ValueError("the number of shards is a power of two")
-    quotas = drawn.groupBy("place").agg(F.count("*").alias("n"))
-    tree = (
-        quotas.agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("q"))
-        .select(F.lit(0).alias("node"), F.transform("q", lambda x: x["place"]).alias("places"), F.transform("q", lambda x: x["n"]).alias("counts"))
-    )
-    for level in range(levels):
-        one = f"""pmod(xxhash64(node, {level}, j, {seed}), total - j + 1)"""
-        pick = f"""aggregate(a.rest, named_struct('i', 0, 'k', -1, 's', 0L), (b, c) -> named_struct(
-            'i', b.i + 1, 'k', if(b.k < 0 AND {one} < b.s + c, b.i, b.k), 's', b.s + c), b -> b.k)"""
-        draw = f"""aggregate(IF(half < 1, array(), sequence(1L, half)),
-            named_struct('rest', counts, 'took', transform(counts, c -> 0L)),
-            (a, j) -> transform(array({pick}), k -> named_struct(
-                'rest', transform(a.rest, (c, i) -> if(i = k, c - 1L, c)),
-                'took', transform(a.took, (c, i) -> if(i = k, c + 1L, c))))[0])"""
-        tree = (
-            tree.withColumn("total", F.expr("aggregate(counts, 0L, (s, c) -> s + c)"))
-            .withColumn("half", F.expr("total div 2"))
-            .withColumn("split", F.expr(draw))
-            .select("places", F.explode(F.array(
-                F.struct((F.col("node") * 2).alias("node"), F.col("split.took").alias("counts")),
-                F.struct((F.col("node") * 2 + 1).alias("node"), F.col("split.rest").alias("counts")),
-            )).alias("half_of"))
-            .select("places", "half_of.node", "half_of.counts")
-        )
-    leaf = tree.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("places", "counts")).alias("z"))
-    leaf = leaf.select("shard", F.col("z.places").alias("place"), F.col("z.counts").alias("quota"))
+    tree = written(drawn.groupBy("place").agg(F.count("*").alias("n")).select(F.lit(0).cast("bigint").alias("node"), "place", "n"), "tree")
+    bins = max(1, -(-(tree.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BIN_ROWS))
+    level, width = 0, 1
+    while width < shards:
+        children = min(CHILDREN, shards // width)
+        tree = written(split_quotas(tree, children, level, seed, max(1, bins // width)), "tree")
+        level, width = level + 1, width * children
     before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    leaf = tree.select("place", F.col("node").cast("int").alias("shard"), F.col("n").alias("quota"))
     return leaf.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
 
 
@@ -163,8 +177,8 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     at = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "place", "source_size", "target", "n_blocks")
     at = at.withColumn("block", _block(seed))
     totals = written(at.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")), "blocks")
-    drawn = written(drawn_blocks(totals, most, seed), "drawn")
-    leaf = shard_quotas(drawn, shards, seed).filter("quota > 0")
+    drawn = written(drawn_blocks(totals, most, seed, max(1, blocks // BIN_ROWS)), "drawn")
+    leaf = shard_quotas(drawn, shards, seed)
     owned = leaf.select("shard", "place", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("seq"))
     sharded = written(drawn.join(owned, ["place", "seq"]), "sharded")
     whole = sharded.filter("takes IS NULL").groupBy("place", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
@@ -178,7 +192,7 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
         .filter(F.col("before") + F.col("size") / 2 < F.col("takes"))
         .select("place", "doc_id", "trim_shard")
     )
-    return sources, written(whole, "whole-blocks"), written(trimmed, "trimmed")
+    return sources, whole, trimmed
 
 
 def _decided(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], seed: int = SEED) -> DataFrame:
@@ -198,7 +212,8 @@ def mix(docs: DataFrame, text: str = "text", seed: int = SEED, shards: int | Non
     size is the row's words (a null text has none), taken is size times the copies
     that the mix takes, and shards the shard of each copy. Rows of one source
     that repeat a doc_id are taken or left together; a null doc_id is an id like
-    any other. Other columns are ignored. Reruns and other partitionings agree.
+    any other. Equal hashes are told apart by the ids behind them, so reruns and other partitionings agree.
+    Other columns are ignored, and an empty table gives no rows.
     """
     sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size")), "sized")
     shards, blocks = _layout(sized, shards, blocks)
