@@ -199,6 +199,32 @@ def test_pieces_equal_library(library):
                 assert coder.model.decode(np.frombuffer(got, coder.dtype).tolist()) == (t or "")
 
 
+def test_long_runs_of_spaces(library):
+    import time
+
+    for text in (" " * 100_000, "a" + " " * 3001 + "b", "  x" * 20_000):
+        began = time.time()
+        coder = spiece.Encoder(spiece.PieceModel(PIECES))
+        got = np.frombuffer(coder([text])[0], coder.dtype).tolist()
+        assert time.time() - began < 5
+        assert got == library.encode(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", max_size=14), st.dictionaries(st.text("ab", min_size=2, max_size=4), st.integers(-5, 0), max_size=8))
+def test_merges_restated(word, score):
+    model = spiece.PieceModel.__new__(spiece.PieceModel)
+    model.score = score
+    parts = list(word)
+    while True:
+        known = [(score[parts[i] + parts[i + 1]], -i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in score]
+        if not known:
+            break
+        i = -max(known)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    assert model.merges(word) == parts
+
+
 def test_unigram_is_viterbi(library):
     """With kind unigram the pass finds the largest sum of scores, here by trying all cuts."""
     model = spiece.PieceModel(PIECES, "unigram")

@@ -22,6 +22,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +62,25 @@ class PieceModel:
         self.control = [sp.is_control(i) for i in range(n)]
 
     def merges(self, word: str) -> list[str]:
-        """The pieces that merging the best-scored neighbours, leftmost first, leaves of a word."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The pieces that merging the best-scored neighbours, leftmost first, leaves of a word, in n log n steps."""
+        parts: list[str | None] = list(word)
+        n, get = len(parts), self.score.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-s, i, word[i : i + 2]) for i in range(n - 1) if (s := get(word[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, union = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or parts[i] + parts[j] != union:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = union, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (s := get(union + parts[after[i]])) is not None:
+                    heappush(heap, (-s, i, union + parts[after[i]]))
+            if before[i] >= 0 and (s := get(parts[before[i]] + union)) is not None:
+                heappush(heap, (-s, before[i], parts[before[i]] + union))
+        return [p for p in parts if p is not None]
 
     def _split(self, piece: str) -> tuple[str, str] | None:
         """The two pieces whose merge, the last one, made this piece; None for a single character
