@@ -86,6 +86,53 @@ def test_flac_round_trip(raw):
             assert flac.to_pcm(x, 8)[0] == p
 
 
+def test_flac_slabs(monkeypatch):
+    """Slabs and small batches change nothing: the stream, its samples and its features are those of one pass."""
+    raw = bytes(np.random.default_rng(5).integers(32, 122, 70_000).astype(np.uint8)) + bytes(22_016)
+    whole = flac.encode_payloads([raw, raw[:64]])
+    monkeypatch.setattr(flac, "SLAB", 4 * flac.BLOCK)
+    monkeypatch.setattr(flac, "BATCH_BYTES", 5 * flac.BLOCK)
+    monkeypatch.setattr(flac, "BATCH_FRAMES", 3)
+    cut = flac.encode_payloads([raw, raw[:64]])
+    assert [d for d, _ in cut] == [d for d, _ in whole] and (cut[0][1] == whole[0][1]).all()
+    x = flac.decode_streams([d for d, _ in cut], [n for _, n in cut])[0]
+    assert flac.to_pcm(x, 8)[0] == raw
+    one, many = flac.Features(), flac.Features()
+    one.add(x)
+    for a in range(0, len(x), 1000):
+        many.add(x[a : a + 1000])
+    d = np.diff(x.astype(int))
+    assert str(one) == str(many) and f"turns={((d[1:] * d[:-1]) < 0).sum()}" in str(one)
+
+
+def test_flac_md5():
+    data, table = flac.encode_payloads([b"some payload " * 40])[0]
+    bad = bytearray(data)
+    bad[26] ^= 1  # within the MD5 of the stream info
+    with pytest.raises(flac.FlacError, match="MD5"):
+        flac.decode_streams([bytes(bad)], [table])
+
+
+def test_flac_memory_of_a_long_text():
+    """24 MB in one text: what is needed beyond it and its stream is bounded (64 MB took 316 MB)."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tillage.llm import flac
+raw = (b"The quick brown fox jumps over the lazy dog, %d times. " * 80)[:4096] * (MB << 8)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+data, table = flac.encode_payloads([raw])[0]
+b = pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([table], pa.list_(pa.int32()))], names=["media", "frame_sizes"])
+n = sum(len(x) for _, x, _, _, _ in flac._Media(b, flac.PCM_SAMPLES))
+assert n == len(raw) == MB << 20
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code.replace("MB", "24")], capture_output=True, text=True, timeout=600)
+    assert int(got.stdout.split()[-1]) < 500, got.stderr
+
+
 class Writer:
     def __init__(self):
         self.bits = ""
@@ -177,6 +224,11 @@ def test_media_on_spark(spark):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     blocks = flac.pcm_blocks(flac.encode_table(df.filter("doc_id = 8")), samples=1000).orderBy("block").collect()
     assert b"".join(r.pcm for r in blocks) == flac.payload_of(ODD[8])[1] and [r.sample_offset for r in blocks[:3]] == [0, 1000, 2000]
+    media = flac.encode_table(df.filter("doc_id = 8"))
+    pcm = flac.write_pcm(media, 1000)
+    wanted = spark.createDataFrame([(8, 990, 2010), (8, 5, 6), (8, 10**9, 10**9 + 5), (8, 4, 4)], "doc_id long, start long, stop long")
+    raw = flac.payload_of(ODD[8])[1]
+    assert {r.start: bytes(r.pcm) for r in flac.seek(pcm, wanted, 1000).collect()} == {990: raw[990:2010], 5: raw[5:6]}
     assert flac.media_digest(df.limit(0)).count() == 0
 
 
