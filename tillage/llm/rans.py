@@ -31,6 +31,8 @@ TABLE_BITS = 18
 LANES = 1024
 #: A block is closed after the document that brings it to this many ids.
 BLOCK_IDS = 1 << 18
+#: Ids of a shard, about.
+SHARD_IDS = 1 << 22
 #: Blocks that are coded side by side.
 SIDE_BY_SIDE = 4
 #: States stay in [LOW, LOW << 32).
@@ -70,26 +72,35 @@ class Coder:
         self.filler = int(np.argmax(slots))
 
     def encode(self, blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-        """(states, words) of each block. Blocks are padded to whole steps with the commonest id."""
-        lanes, steps = self.lanes, [-(-len(x) // self.lanes) for x in blocks]
-        longest, n = max(steps, default=0), len(blocks)
+        """(states, words) of each block. Blocks are padded to whole steps with the commonest id; at each step those
+        that have one are coded side by side."""
+        lanes, n = self.lanes, len(blocks)
+        steps = np.array([-(-len(x) // lanes) for x in blocks], np.int64)
+        order = np.argsort(-steps, kind="stable")
+        longest = int(steps.max(initial=0))
         ids = np.full((n, longest * lanes), self.filler, np.uint32)
-        for row, x in zip(ids, blocks):
-            row[: len(x)] = x
+        for row, k in zip(ids, order):
+            row[: len(blocks[k])] = blocks[k]
         ids = ids.reshape(n, longest, lanes)
         state = np.full((n, lanes), LOW)
         shed = np.zeros((longest, n, lanes), bool)
         words = np.zeros((longest, n, lanes), np.uint32)
+        live = 0
         for t in range(longest - 1, -1, -1):
-            step = ids[:, t]
+            while live < n and steps[order[live]] > t:
+                live += 1
+            step, now = ids[:live, t], state[:live]
             slots = self.slots[step]
-            over = state >= self.limit[step]
-            shed[t] = over
-            words[t] = state  # the low half; only where it is shed does it count
-            state = np.where(over, state >> np.uint64(32), state)
-            whole = state // slots
-            state = (whole << self.bits) + (state - whole * slots) + self.starts[step]
-        return [(state[k].astype("<u8").tobytes(), words[: steps[k], k][shed[: steps[k], k]].astype("<u4").tobytes()) for k in range(n)] if len(set(steps)) <= 1 else [self.encode([x])[0] for x in blocks]
+            over = now >= self.limit[step]
+            shed[t, :live] = over
+            words[t, :live] = now  # the low half; only where it is shed does it count
+            now = np.where(over, now >> np.uint64(32), now)
+            whole = now // slots
+            state[:live] = (whole << self.bits) + (now - whole * slots) + self.starts[step]
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * n
+        for row, k in enumerate(order):
+            out[k] = (state[row].astype("<u8").tobytes(), words[: steps[k], row][shed[: steps[k], row]].astype("<u4").tobytes())
+        return out
 
     def decode(self, coded: list[tuple[bytes, bytes, int]]) -> list[np.ndarray]:
         """The ids of each (states, words, number of ids)."""
@@ -138,25 +149,24 @@ def count_ids(tokens: DataFrame, width: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def slot_table(tokens: DataFrame, width: str, bits: int = TABLE_BITS) -> np.ndarray:
-    """The shared table. Its size is bound by the vocabulary, and more than 2**bits ids are refused."""
+def slot_table(tokens: DataFrame, width: str, bits: int = TABLE_BITS) -> tuple[np.ndarray, int]:
+    """(the shared table, how many ids there are). Its size is bound by the vocabulary, and more than 2**bits ids are refused."""
     rows = count_ids(tokens, width).limit((1 << bits) + 1).toPandas()
     if not len(rows):
-        return np.array([1 << bits])
+        return np.array([1 << bits]), 0
     counts = np.zeros(int(rows["id"].max()) + 1, np.int64)
     counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
-    return frequency_slots(counts, bits)
+    return frequency_slots(counts, bits), int(counts.sum())
 
 
-def encode_blocks(tokens: DataFrame, slots: np.ndarray, width: str, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+def encode_blocks(tokens: DataFrame, slots: np.ndarray, width: str, shards: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Block rows (see BLOCK) of tokens (doc_id, ids binary), documents in ascending doc_id order.
 
     Rows are dealt out by ranges of doc_id, so a shard is bounded whatever the
     sources' sizes; shard numbers ascend with doc_id, nulls first. Equal
     doc_ids stand in the order of their ids' bytes.
     """
-    n = shards or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = tokens.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    in_order = tokens.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -242,12 +252,12 @@ def global_starts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
-def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: str, text: str = "text") -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: str, text: str = "text", shard_ids: int = SHARD_IDS) -> tuple[DataFrame, np.ndarray]:
     """Tokenize docs, write their block files and return them as read back, with the table.
 
     tokenize makes, once for each Python worker, a function from an Arrow array of texts to
     a list of bytes: ids of the numpy type in width (<u2 or <u4). A null text counts as
-    empty; every document ends with end_id. Further columns are ignored.
+    empty; every document ends with end_id. There is a shard for each shard_ids ids. Further columns are ignored.
     """
     end = np.array([end_id], width).tobytes()
 
@@ -259,8 +269,9 @@ def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: s
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tokens = written(picked.mapInArrow(run, "doc_id bigint, ids binary"), "tokens")
-    slots = slot_table(tokens, width)
-    return written(encode_blocks(tokens, slots, width), "token-files", compression="uncompressed"), slots
+    slots, n_ids = slot_table(tokens, width)
+    shards = max(1, -(-n_ids // shard_ids))
+    return written(encode_blocks(tokens, slots, width, shards), "token-files", compression="uncompressed"), slots
 
 
 def word_tokenizer(path: str, cache: int = 500_000) -> Callable:
