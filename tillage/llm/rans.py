@@ -31,8 +31,10 @@ TABLE_BITS = 18
 LANES = 1024
 #: A block is closed after the document that brings it to this many ids.
 BLOCK_IDS = 1 << 18
-#: Ids of a shard, about.
-SHARD_IDS = 1 << 22
+#: Ids of a shard, about, as long as there are no more than SHARDS; in a larger corpus shards grow to MOST_IDS.
+SHARD_IDS = 1 << 20
+SHARDS = 4096
+MOST_IDS = 1 << 28
 #: Blocks that are coded side by side.
 SIDE_BY_SIDE = 4
 #: States stay in [LOW, LOW << 32).
@@ -149,6 +151,10 @@ def count_ids(tokens: DataFrame, width: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def shards_for(n_ids: int) -> int:
+    return max(1, -(-n_ids // MOST_IDS), min(SHARDS, -(-n_ids // SHARD_IDS)))
+
+
 def slot_table(tokens: DataFrame, width: str, bits: int = TABLE_BITS) -> tuple[np.ndarray, int]:
     """(the shared table, how many ids there are). Its size is bound by the vocabulary, and more than 2**bits ids are refused."""
     rows = count_ids(tokens, width).limit((1 << bits) + 1).toPandas()
@@ -252,12 +258,12 @@ def global_starts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
-def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: str, text: str = "text", shard_ids: int = SHARD_IDS) -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: str, text: str = "text") -> tuple[DataFrame, np.ndarray]:
     """Tokenize docs, write their block files and return them as read back, with the table.
 
     tokenize makes, once for each Python worker, a function from an Arrow array of texts to
     a list of bytes: ids of the numpy type in width (<u2 or <u4). A null text counts as
-    empty; every document ends with end_id. There is a shard for each shard_ids ids. Further columns are ignored.
+    empty; every document ends with end_id. The number of shards follows the ids. Further columns are ignored.
     """
     end = np.array([end_id], width).tobytes()
 
@@ -270,8 +276,7 @@ def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: s
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tokens = written(picked.mapInArrow(run, "doc_id bigint, ids binary"), "tokens")
     slots, n_ids = slot_table(tokens, width)
-    shards = max(1, -(-n_ids // shard_ids))
-    return written(encode_blocks(tokens, slots, width, shards), "token-files", compression="uncompressed"), slots
+    return written(encode_blocks(tokens, slots, width, shards_for(n_ids)), "token-files", compression="uncompressed"), slots
 
 
 def word_tokenizer(path: str, cache: int = 500_000) -> Callable:
