@@ -338,15 +338,30 @@ def meetings(posted: DataFrame) -> DataFrame:
 
 
 def hub_pairs(met: DataFrame) -> DataFrame:
-    """(a, b): each class with the one of its entry that meets most others."""
+    """(id, hub, w): each class with the one of each of its entries that meets most others, w being how many it meets."""
     sizes = met.groupBy("entry").agg(F.count("*").alias("size"))
     weights = met.join(sizes, "entry").groupBy("id").agg(F.sum("size").alias("w"))
     hubs = met.join(weights, "id").groupBy("entry").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), F.col("n").alias("hn"))).alias("h"))
-    pairs = met.join(hubs, "entry").select("id", "n", (-F.col("h.minus")).alias("hub"), "h.hn")
-    pairs = pairs.filter(f"id <> hub and {SIMILAR[1]} * least(n, hn) >= {SIMILAR[0]} * greatest(n, hn)")
+    pairs = met.join(hubs, "entry").select("id", "n", (-F.col("h.minus")).alias("hub"), "h.hn", "h.w")
+    return pairs.filter(f"id <> hub and {SIMILAR[1]} * least(n, hn) >= {SIMILAR[0]} * greatest(n, hn)").select("id", "hub", "w").distinct()
+
+
+def _as_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def best_hub(hubs: DataFrame) -> DataFrame:
+    """(a, b): each class with one hub, the one that meets most others."""
+    return _as_pairs(hubs.groupBy("id").agg(F.max(F.struct("w", (-F.col("hub")).alias("minus"))).alias("h")).select("id", (-F.col("h.minus")).alias("hub")))
+
+
+def other_hubs(hubs: DataFrame, joined: DataFrame) -> DataFrame:
+    """(a, b): classes and hubs that joined leaves apart."""
+    of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    both = hubs.join(of("id"), "id", "left").join(of("hub"), "hub", "left")
+    return _as_pairs(both.filter(F.coalesce("id_of", "id") != F.coalesce("hub_of", "hub")))
+
+
 def apart_pairs(met: DataFrame, joined: DataFrame) -> DataFrame:
     """(a, b): classes that meet in an entry, whose sizes allow the similarity and that joined leaves apart."""
 
@@ -413,8 +428,9 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     fingerprint of these sets: WIDE_ENTRIES entries of ENTRY_BYTES positional bytes each are an index, classes of equal
     fingerprints that meet in an entry have shared that many, their tally is taken over all WIDE_BYTES positions, their bits
     are compared and then the texts themselves, so no pair is linked falsely. At a similarity of 0.8 a pair of one size meets in an
-    entry with a probability of 0.93, at 0.82 of 0.97, at 0.85 of 0.99 and at 0.9 of 0.9995 (by simulation); what doesn't meet isn't found. In an entry all are first compared with the one that meets most others; what
-    that leaves apart is compared pair by pair, so a large cluster of copies around one text costs its size and not the square of it.
+    entry with a probability of 0.93, at 0.82 of 0.97, at 0.85 of 0.99 and at 0.9 of 0.9995 (by simulation); what doesn't meet isn't found. Each is first compared with the one that meets most others of all in its entries, then, where
+    they are still apart, with that of each entry; what this leaves apart is compared pair by pair. So a large cluster of
+    copies around one text costs its size and not the square of it, and gives a link for each of its texts.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id is not null")
     fps = written(wide_fingerprints(rows), "wide-fingerprints")
@@ -423,8 +439,10 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = rows.join(alone.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     met = written(meetings(postings(alone)), "meetings")
     hubs = written(hub_pairs(met), "hub-pairs")
-    links = written(verified(hubs, texts, alone), "hub-links")
-    rest = written(apart_pairs(met, connected_components(links)).join(hubs, ["a", "b"], "left_anti"), "apart-pairs")
+    links = written(verified(best_hub(hubs), texts, alone), "hub-links")
+    more = verified(other_hubs(hubs, connected_components(links)), texts, alone)
+    links = written(links.unionByName(more), "hub-links")
+    rest = written(apart_pairs(met, connected_components(links)).join(_as_pairs(hubs), ["a", "b"], "left_anti"), "apart-pairs")
     several = fps.groupBy("id").agg(F.count_distinct("n", "bits").alias("texts")).filter("texts > 1").select("id")
     of_doc = fps.select("id", "n", "bits").distinct().join(classes.withColumnRenamed("id", "first"), ["n", "bits"]).select("id", "first")
     own = of_doc.join(several, "id", "left_semi").select(F.col("id").alias("a"), F.col("first").alias("b"))
