@@ -74,12 +74,18 @@ def test_pretty_slug_and_size(spark):
 @pytest.mark.parametrize("url,canonical", [
     ("https://A.Example.org/messages/x/?location=wg#top", "https://a.example.org/messages/x"),
     ("http://e.org/about/core/?b=2&a=1&utm_source=z&c=", "http://e.org/core?a=1&b=2"),
+    ("HTTP://e.org/x?a=1&a-b=2", "http://e.org/x?a=1&a-b=2"), ("http://e.org/x?q=a%20b&Utm_Source=1&p=%zz", "http://e.org/x?p=%25zz&q=a+b"), ("http://e.org/x?b=2&b=1&é=*~", "http://e.org/x?b=1&b=2&%C3%A9=%2A~"),
     ("http://e.org/about", "http://e.org/about"), ("http://e.org", "http://e.org/"), ("http://e.org///", "http://e.org/"),
 ])
 def test_canonical_url(spark, url, canonical):
     assert one(spark, U.canonical_url(F.lit(url))) == canonical
 
 
+def test_site_path(spark):
+    for u, want in [("http://e.org/about/core/?a=1", "/core"), ("about/core", "/core"), ("/core/", "/core"), ("", "/"), ("http://e.org", "/")]:
+        assert one(spark, U.site_path(F.lit(u))) == want
+
+
 def test_url_classes(spark):
     listing = lambda u: one(spark, U.is_listing(F.lit(u)))
     message = lambda u: one(spark, U.is_message(F.lit(u)))

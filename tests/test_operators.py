@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tillage.functions.refs import parse_ref
-from tillage.operators import bundle, chunking, html, links, retrieval, state
+from tillage.operators import bundle, chunking, crawl, html, links, retrieval, state
 from tillage.sources import logs, store, verses
 
 
@@ -18,22 +18,64 @@ def ref(text):
     return (book, int(chapter), int(a) if a else None, int(z or a) if a else None)
 
 
-def test_sustained_golden():
+CHUNKS = "source_id long, chunk int, refs array<struct<book:string,chapter:int,vs:int,ve:int>>, primary array<struct<book:string,chapter:int,vs:int,ve:int>>"
+
+
+def sustained(spark, sources, least):
+    rows = [(s, i, refs, primary) for s, (chunks, primary) in sources.items() for i, refs in enumerate(chunks)]
+    found = {}
+    for r in links.sustained_mentions(spark.createDataFrame(rows[::-1], CHUNKS), least).orderBy("source_id", "place").collect():
+        assert r.place == len(found.setdefault(r.source_id, []))
+        found[r.source_id].append((r.book, r.chapter, r.vs, r.ve))
+    return found
+
+
+def test_sustained_golden(spark):
     primary = [ref("1 John 3:1-3")]
     chunks = [[ref("1 John 3:1")], [ref("Genesis 6")], [ref("Genesis 6:4")], [ref("1 John 3:2")]]
-    assert links.sustained(chunks, primary, 2) == [ref("Genesis 6:4")]
-    assert links.sustained(chunks[:2], primary, 2) == []
     # a cluster counts a chunk once, and a reference that doesn't count can't narrow it
-    assert links.sustained([[ref("Genesis 6"), ref("Genesis 6:4")], [ref("Genesis 6")]], [], 2) == [ref("Genesis 6")]
+    twice = [[ref("Genesis 6"), ref("Genesis 6:4")], [ref("Genesis 6")]]
+    got = sustained(spark, {1: (chunks, primary), 2: (chunks[:2], primary), 3: (twice, []), 4: ([None], None)}, 2)
+    assert got == {1: [ref("Genesis 6:4")], 3: [ref("Genesis 6")]}
+
+
+def meet(a, b):
+    return a[:2] == b[:2] and (a[2] is None or b[2] is None or (a[2] <= b[3] and b[2] <= a[3]))
+
+
+def plain_sustained(chunks, primary, least):
+    width = lambda r: 10_000 if r[2] is None else r[3] - r[2]
+    groups = []  # [stands for it, the chunks that count]
+    for n, refs in enumerate(chunks):
+        for r in (r for r in refs if not any(meet(r, p) for p in primary)):
+            mine = [g for g in groups if meet(r, g[0])][:1]
+            if not mine:
+                groups.append([r, {n}])
+            elif n not in mine[0][1]:
+                mine[0][1].add(n)
+                mine[0][0] = r if width(r) < width(mine[0][0]) else mine[0][0]
+    return [r for r, seen in groups if len(seen) >= least]
 
 
-def test_sustained_and_bridges_on_spark(spark):
-    kind = "source_id long, chunk int, refs array<struct<book:string,chapter:int,vs:int,ve:int>>, primary array<struct<book:string,chapter:int,vs:int,ve:int>>"
-    rows = [(1, 1, [ref("Genesis 6:4")], [ref("1 John 3:1-3")]), (1, 0, [ref("Genesis 6")], [ref("1 John 3:1-3")]), (2, 0, None, None)]
-    got = links.sustained_mentions(spark.createDataFrame(rows, kind), 2).collect()
-    assert [tuple(r) for r in got] == [(1, 0, "Genesis", 6, 4, 4)]
-    asides = spark.createDataFrame([(9, 0, 0, "A", 1, 1, 5), (9, 0, 1, "A", 1, 5, 6), (9, 1, 0, "B", 2, None, None)], "question long, source_rank int, place int, book string, chapter int, vs int, ve int")
-    assert sorted((r.rank, r.book) for r in links.bridges(asides).collect()) == [(0, "A"), (1, "B")]
+def random_ref(rnd):
+    a = rnd.randrange(1, 9)
+    return (rnd.choice("AB"), rnd.randrange(1, 3), None, None) if rnd.random() < 0.15 else (rnd.choice("AB"), rnd.randrange(1, 3), a, a + rnd.randrange(4))
+
+
+def test_sustained_and_bridges_brute(spark):
+    rnd = random.Random(2)
+    sources = {s: ([[random_ref(rnd) for _ in range(rnd.randrange(4))] for _ in range(8)], [random_ref(rnd) for _ in range(rnd.randrange(2))]) for s in range(40)}
+    want = {s: plain_sustained(c, p, 3) for s, (c, p) in sources.items()}
+    assert sustained(spark, sources, 3) == {s: r for s, r in want.items() if r}
+    asides = [(s // 8, s % 8, i, *r) for s, refs in want.items() for i, r in enumerate(refs)]
+    got = {}
+    for r in links.bridges(spark.createDataFrame(asides, "question int, source_rank int, place int, book string, chapter int, vs int, ve int")).orderBy("question", "rank").collect():
+        got.setdefault(r.question, []).append((r.book, r.chapter, r.vs, r.ve))
+    taken = {}
+    for q, _, _, *r in sorted(asides, key=lambda x: x[:3]):
+        if not any(meet(tuple(r), t) for t in taken.setdefault(q, [])):
+            taken[q].append(tuple(r))
+    assert got == taken
 
 
 def test_related_sources_golden(spark):
@@ -196,11 +238,41 @@ def test_attach_and_requeue(spark):
 
 
 def test_html(spark):
-    page = "<title>T | Site</title><nav><a href='/n'>n</a></nav><h1>Big <b>one</b></h1><p>first<p>second <a href='/x?y=1'>x</a><h2>Head</h2><ul><li>item &amp; more</ul><audio src='a.mp3'></audio>"
+    page = "<title>T | Site</title><nav><a href='/n'>n</a></nav><h1>Big <b>one</b></h1><p>first<p>second <a href='/x?y=1#z'>x</a><h2>Head</h2><ul><li>item &amp; more</ul><audio src='a.mp3'></audio>"
     r = html.extract_pages(spark.createDataFrame([("http://e.org/d/", page), (None, None)], "url string, html string")).collect()
     assert r[0].title == "Big one" and r[0].links == ["http://e.org/x?y=1"] and r[0].audio_url == "http://e.org/d/a.mp3"
     assert [(s.heading, s.body) for s in r[0].sections] == [("", "first\nsecond x"), ("Head", "item & more")]
-    assert r[1].title == "" and r[1].sections == []
+    assert r[0].body == "first\nsecond x\n\nHead\nitem & more"
+    assert r[1].title == "" and r[1].sections == [] and r[1].date == "" and r[1].scripture_refs == []
+
+
+def test_html_fields(spark):
+    page = """<title>No</title><h1></h1><script>var a = "https://x.org/s.mp3"</script><div>WG: Ann van Lee on May 3, 2020</div>
+      <h2>Empty</h2><h3>Text</h3><blockquote>Read 1 John 3:16<b>and</b>on.<p>inner</p></blockquote><dl><dt>term<dd>told</dl><a href="20200503wdw.MP3?x=1">hear</a> https://y.org/t.mp3"""
+    df = spark.createDataFrame([("http://e.org/messages/a-b/c", page)], "url string, html string")
+    r = html.extract_pages(df, campuses=("WG",)).first()
+    assert (r.title, r.speaker, r.campus, r.date, r.series) == ("", "Ann van Lee on", "wg", "2020-05-03", "A B")
+    assert r.scripture_refs == ["1 John 3:16"] and r.audio_url == "http://e.org/messages/a-b/20200503wdw.MP3?x=1"
+    assert [(s.heading, s.body) for s in r.sections] == [("Text", "Read 1 John 3:16 and on. inner\ninner\nterm\ntold")]
+    r = html.extract_pages(df, speakers=("Ann van Lee",), audio_hosts=("cdn.org",), default_campus="wg").first()
+    assert (r.speaker, r.campus, r.audio_url) == ("Ann van Lee", "wg", "https://y.org/t.mp3")
+
+
+def test_every_page_parses(spark, sf_dir):
+    """Sections of all pages against a plain reading: these pages hold only h1, p and li, never nested."""
+    import re
+    from html import unescape
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    got = {r.url: r for r in html.extract_pages(spark.createDataFrame(pages)).collect()}
+    for p in pages:
+        kept = re.sub(r"(?is)<!--.*?-->", "", p.html)
+        for tag in html.DROPPED:
+            kept = re.sub(rf"(?is)<{tag}\b.*?</{tag}>", "", kept)
+        text = lambda x: " ".join(t for t in (unescape(t).strip() for t in re.split(r"<[^>]*>", x)) if t)
+        body = "\n".join(t for t in (text(m) for m in re.findall(r"(?is)<(?:p|li)\b[^>]*>(.*?)(?=</p>|</li>|<p\b|<li\b|</ul>|</article>|</body>|$)", kept)) if t)
+        assert got[p.url].body == body, p.page_id
+        assert got[p.url].title == text(re.search(r"(?is)<h1[^>]*>(.*?)</h1>", kept)[1])
 
 
 def test_verse_shapes(spark, tmp_path):
@@ -254,7 +326,7 @@ def test_boosts(spark):
 def test_stream_fold(spark, tmp_path):
     from pyspark.sql.types import StructType
 
-    from tillage.streaming.logs import follow_latest
+    from tillage.streaming.logs import follow_latest, latest_table
 
     schema = StructType.fromDDL("id string, step string, seq int")
     src = tmp_path / "in"
@@ -264,5 +336,250 @@ def test_stream_fold(spark, tmp_path):
     go()
     (src / "2.json").write_text('{"id":"a","step":"y","seq":3}\n{"id":"a","st')
     go()
-    got = {r.id: r.step for r in spark.read.schema(schema).parquet(str(tmp_path / "t" / "version=1")).collect()}
-    assert got == {"a": "y", "b": "x"}
+    (src / "3.json").write_text('{"id":"c","step":"z","seq":4}\n{"id":"b","step":"old","seq":1}\n')
+    go()
+    table = latest_table(spark, str(tmp_path / "t"), StructType.fromDDL("id string, step string, seq int"))
+    assert {r.id: r.step for r in table.collect()} == {"a": "y", "b": "x", "c": "z"} and table.count() == 3
+    assert latest_table(spark, str(tmp_path / "none"), StructType.fromDDL("id string, step string, seq int")).count() == 0
+
+
+def test_crawl(spark):
+    catalog = spark.createDataFrame([("http://e.org/", "fetched"), ("http://e.org/messages/a/b", "fetched"), ("http://e.org/messages/a", "error"), ("http://e.org/core", "queued"), ("http://e.org/messages/a/c", "queued")], "url string, state string")
+    links_in = spark.createDataFrame([("http://E.org/core/?share=1", "p"), ("http://e.org/new#x", "q"), ("http://e.org/new", "p"), (None, "p")], "url string, source string")
+    assert [tuple(r) for r in crawl.catalog_add(catalog, links_in).collect()] == [("http://e.org/new", "queued", "p")]
+    seeds = spark.createDataFrame([("http://e.org/messages/a/b/",)], "url string")
+    assert sorted(r.url for r in crawl.revisits(catalog).collect()) == ["http://e.org/", "http://e.org/messages/a"]
+    assert sorted(r.url for r in crawl.revisits(catalog, seeds).collect()) == ["http://e.org/", "http://e.org/messages/a", "http://e.org/messages/a/b"]
+    assert tuple(crawl.catalog_tallies(catalog).first()) == (2, 1, 1, 0)
+    pages = spark.createDataFrame([("http://e.org/messages/a/b", "t", "", "es"), ("http://e.org/messages/a", "t", "", ""), ("http://e.org/about/core", "t", "", ""), ("http://e.org/core", "t", "x.mp3", "es"), ("http://e.org/z", "", "", "")], "url string, body string, audio_url string, campus string")
+    out = {r.url: (r.state, r.note, r.is_message, r.is_belief) for r in crawl.page_outcomes(pages, ("/core",), ("es",)).collect()}
+    assert out == {
+        "http://e.org/messages/a/b": ("skipped", "campus es excluded", True, False), "http://e.org/messages/a": ("fetched", "listing", False, False),
+        "http://e.org/about/core": ("fetched", "", False, True), "http://e.org/core": ("fetched", "", True, False), "http://e.org/z": ("fetched", "no usable body", False, False),
+    }
+    found = spark.createDataFrame([("http://e.org/p", ["http://e.org/messages/x", "http://f.org/messages/x", "http://e.org/messages/bad", "http://e.org/other", "/messages/rel"])], "url string, links array<string>")
+    assert [r.url for r in crawl.links_in_scope(found, ("BAD",)).collect()] == ["http://e.org/messages/x"]
+    files = spark.createDataFrame([("a", 3), ("b", 9), ("c", 5)], "path string, modificationTime int")
+    assert crawl.newest_artefact(files).first().path == "b" and crawl.newest_artefact(files.limit(0)).count() == 0
+
+
+def test_candidates(spark):
+    jobs = spark.createDataFrame([("a", "page_saved", "u"), ("b", "page_saved", ""), ("c", "audio_downloaded", "u"), ("d", "transcribed", "u"), ("e", "indexed", "u")], "id string, step string, audio_url string")
+    ids = lambda action, force=False: sorted(r.id for r in state.candidates(jobs, action, force).collect())
+    assert [ids("download"), ids("transcribe"), ids("index")] == [["a"], ["c"], ["d"]]
+    assert [ids("download", True), ids("transcribe", True), ids("index", True)] == [["a", "c"], ["c", "d", "e"], ["d", "e"]]
+    with pytest.raises(ValueError):
+        state.candidates(jobs, "fly")
+
+
+def test_many_urls_of_a_key(spark):
+    rows = spark.createDataFrame([("k", f"u{i % 50}", i) for i in range(500)], "key string, url string, seq int")
+    r = state.merge_by_key(rows, "key", "url", "seq").first()
+    assert r.url == "u0" and r.alt_urls == [f"u{i}" for i in range(1, 50)]
+
+
+def test_store_moves_and_manifest(spark, tmp_path):
+    s = store.PassageStore(spark, str(tmp_path / "t"))
+    chunk = spark.createDataFrame([("1", "x", "a", "talks")], "id string, text string, source_id string, collection string")
+    for rows in ([("1", [1.0]), ("2", [1.0])], [("1", [1.0]), ("1", [2.0])]):
+        with pytest.raises(ValueError, match="don't match"):
+            s.add(chunk, spark.createDataFrame(rows, "id string, vector array<float>"))
+    live, new = tmp_path / "live", tmp_path / "new"
+    spark.range(1).write.parquet(str(live))
+    spark.range(5).write.parquet(str(new))
+    store.replace_folder(spark, str(live), str(new))
+    assert spark.read.parquet(str(live)).count() == 5 and not new.exists()
+    with pytest.raises(OSError):
+        store.replace_folder(spark, str(live), str(tmp_path / "nowhere"))
+    assert spark.read.parquet(str(live)).count() == 5
+    store.write_manifest(spark, str(tmp_path / "m"), "model", "r1", 3, {"talks": 2}, translation="T")
+    m = store.read_manifest(spark, str(tmp_path / "m"))
+    assert m["counts"] == {"talks": 2} and m["translation"] == "T" and store.read_manifest(spark, str(tmp_path / "no")) is None
+    bundle.assert_same_model(m, "model", "r1", 3)
+    assert verses.find_source(spark, str(tmp_path)) is None
+    for name in ("b.jsonl", "z.json", "c.json"):
+        (tmp_path / name).write_text("{}")
+    assert verses.find_source(spark, str(tmp_path)).endswith("/c.json") and verses.find_source(spark, str(tmp_path), str(tmp_path / "b.jsonl")).endswith("b.jsonl")
+
+
+def test_indexed_chunks(spark):
+    items = spark.createDataFrame([("a", "message", "On Mark 2", "pa", "ta", None), ("b", "message", "", "pb", "none", ["Jude 1:2"]), ("c", "belief", "", "pb", "ta", None), ("d", "page", "", "pc", "", None)], "id string, kind string, title string, page_path string, transcript_path string, scripture_refs array<string>")
+    sections = [("", "One. Read Ruth 1:1."), ("H", " "), ("K", "Two.")]
+    pages = spark.createDataFrame([("pa", "A", sections, ["Genesis 1"]), ("pb", "B", sections, None), ("pc", "C", sections, [])], "path string, title string, sections array<struct<heading:string,body:string>>, scripture_refs array<string>")
+    said = spark.createDataFrame([("ta", "said", " Words on Luke 3. ")], "path string, title string, text string")
+    got = {r.id: (r.collection, r.title, r.scripture_refs, r.primary_refs) for r in chunking.indexed_chunks(items, pages, said).collect()}
+    assert got == {
+        "a#c0000": ("talks", "On Mark 2", ["Luke 3"], ["Mark 2", "Genesis 1"]),
+        "b:page#s0000": ("talks", "B", ["Ruth 1:1"], ["Jude 1:2"]), "b:page#s0001": ("talks", "B", [], ["Jude 1:2"]),
+        "c:page#b0000": ("beliefs", "B", ["Ruth 1:1"], []), "c:page#b0002": ("beliefs", "B", [], []),
+        "d:page#s0000": ("talks", "C", ["Ruth 1:1"], ["Ruth 1:1"]), "d:page#s0001": ("talks", "C", [], ["Ruth 1:1"]),
+    }
+
+
+def test_prompts(spark):
+    q = spark.createDataFrame([(1, "Who?"), (2, "Where?")], "question int, text string")
+    p = spark.createDataFrame([(1, 1, "talks", "L", "said", "", 0.9)], "question int, place int, collection string, label string, text string, connection string, raw_score double")
+    turns = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(8)], "question int, turn long, role string, text string")
+    got = {r.question: [(m.role, m.content) for m in r.messages] for r in retrieval.prompts(q, p, turns).collect()}
+    assert [c for _, c in got[1][:-1]] == [f"t{i}" for i in range(2, 8)] and got[1][-1] == ("user", "TEACHING\n[L]\nsaid\n\nQUESTION: Who?")
+    assert got[2] == [("user", retrieval.SILENT + "\n\nQUESTION: Where?")]
+    assert len(retrieval.prompts(q, p).first().messages) == 1
+
+
+def plain_search(q, asked, phrases, table, passages, chunks, windows, budget):
+    """The read path for one question, restated with lists."""
+    import numpy as np
+
+    fp = lambda t: t[:160].strip().lower()
+    rank = retrieval.COLLECTIONS.index
+    any_meet = lambda xs, ys: any(meet(x, y) for x in xs for y in ys)
+
+    def near(v):
+        out = []
+        for c in retrieval.COLLECTIONS:
+            d = sorted((round(float(((np.array(v) - np.array(w)) ** 2).sum()), 9), i) for i, col, w in table if col == c)
+            for dist, i in d[: retrieval.TOP_K[c] * 4]:
+                x = passages[i]
+                if not asked:
+                    boost = 0.0
+                elif c == "scripture":
+                    boost = 0.25 if any_meet(asked, x["cited"]) else 0.0
+                else:
+                    boost = 0.25 if any_meet(asked, x["primary"]) else 0.1 if any_meet(asked, x["refs"]) else 0.25 if any_meet(asked, x["cited"]) else 0.0
+                raw = max(0.0, 1 - dist / 2)
+                out.append({"id": i, "collection": c, "score": round(raw * retrieval.WEIGHTS[c] + boost, 9), "exp": False, "connection": "", **x})
+        return out
+
+    def dedupe(rows):
+        seen, out = set(), []
+        for r in rows:
+            if fp(r["text"]) not in seen:
+                seen.add(fp(r["text"]))
+                out.append(r)
+        return out
+
+    direct = []
+    hits = near(q)
+    for c in retrieval.COLLECTIONS:
+        direct += dedupe(sorted((h for h in hits if h["collection"] == c), key=lambda h: -h["score"]))[: retrieval.TOP_K[c]]
+    direct.sort(key=lambda h: -h["score"])
+    keys, found = set(), []
+    for text, v in phrases:
+        if (k := " ".join(text.lower().split())) and k not in keys and len(keys) < 3:
+            keys.add(k)
+            found += near(v)
+    found = [dict(h, exp=True) for h in dedupe(sorted(found, key=lambda h: -h["score"]))]
+    for kinds, most in ((["scripture"], 3), (["beliefs", "talks"], 4)):
+        new = 0
+        for e in (e for e in found if e["collection"] in kinds):
+            if new >= most:
+                break
+            same = [d for d in direct if fp(d["text"]) == fp(e["text"])]
+            if same:
+                same[-1]["exp"] |= e["collection"] == "scripture"
+            else:
+                direct.append(e)
+                new += 1
+    direct.sort(key=lambda h: -h["score"])
+    cost = lambda p: len(p["text"]) + len(p["label"]) + len(p["connection"]) + 32
+    kept, used = [], 0
+    for p in sorted(direct, key=lambda p: not (p["exp"] and p["collection"] == "scripture")):
+        if used + cost(p) > budget and (any(k["collection"] == p["collection"] for k in kept) or used > budget):
+            continue
+        kept.append(p)
+        used += cost(p)
+    groups = {}
+    for p in kept:
+        if p["collection"] == "talks" and p["source_id"]:
+            groups.setdefault(p["source_id"], []).append(p)
+    groups = sorted(groups.values(), key=lambda g: -max(p["score"] for p in g))
+    asides = []
+    for g in groups:
+        mine = [c for c in chunks if c[0] == g[0]["source_id"]]
+        held = plain_sustained([c[3] for c in mine], g[0]["primary"], 2)
+        about = asked or [r for p in g for r in p["refs"]]
+        asides.append([r for r in held if any_meet(about, [r])])
+    taken, linked, seen = [], [], set()
+    for a in asides:
+        for r in a:
+            if not any_meet([r], taken):
+                taken.append(r)
+    for g, a in zip(groups, asides):
+        targets = list(a)
+        for r in g[0]["primary"] if a else []:
+            if not any_meet([r], targets):
+                targets.append(r)
+        for r in targets:
+            cover = [w for w in windows if w[1] == r[0] and w[2] == r[1]]
+            if r[2] is None:
+                pick = max(cover, key=lambda w: (w[4] - w[3], w[3]), default=None)
+            else:
+                full = [w for w in cover if w[3] <= r[2] and r[3] <= w[4]] or [w for w in cover if w[3] <= r[3] and r[2] <= w[4]]
+                pick = min(full, key=lambda w: (w[4] - w[3], w[3]), default=None)
+            if pick and pick[0] not in seen and len(linked) < 2:
+                seen.add(pick[0])
+                linked.append({"id": pick[0], "collection": "scripture", "connection": "Connected in " + g[0]["citation"], **{k: passages[pick[0]][k] for k in ("text", "label")}})
+    known, related = {g[0]["source_id"] for g in groups}, []
+    for r in taken:
+        for title, s in sorted({(c[5], c[0]) for c in chunks if c[0] not in known and any_meet([r], c[4])}):
+            if len(related) < 3:
+                known.add(s)
+                mine = [c for c in chunks if c[0] == s]
+                pick = next((c for c in mine if any_meet([r], c[3])), mine[0])
+                name = f"{r[0]} {r[1]}" + ("" if r[2] is None else f":{r[2]}" + (f"-{r[3]}" if r[3] != r[2] else ""))
+                related.append({"id": pick[2], "collection": "talks", "connection": "Also teaches " + name, **{k: passages[pick[2]][k] for k in ("text", "label")}})
+    out, scripture = [(p["id"], "") for p in kept], 0
+    for p in linked + related:
+        if (p["collection"] == "scripture" and scripture >= 2) or used + cost(p) > budget or not p["text"].strip():
+            continue
+        used += cost(p)
+        scripture += p["collection"] == "scripture"
+        out.append((p["id"], p["connection"]))
+    return out
+
+
+def test_search_brute(spark):
+    import numpy as np
+
+    rng, rnd = np.random.default_rng(1), random.Random(1)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    kinds = "array<struct<book:string,chapter:int,vs:int,ve:int>>"
+    table, passages, chunks, windows = [], {}, [], []
+    for w in range(16):
+        a = w % 4 * 3
+        wid = f"w{w}"
+        windows.append((wid, "AB"[w % 2], w // 8 + 1, a, a + 4 + w % 3))
+        table.append((wid, "scripture", unit(rng.normal(0, 1, 6))))
+        passages[wid] = {"text": "verse " * rnd.randrange(1, 9) + wid, "label": wid, "citation": wid, "title": wid, "source_id": "", "cited": [windows[-1][1:]], "primary": [], "refs": []}
+    for s in range(14):
+        primary = [random_ref(rnd)]
+        for c in range(5):
+            i, refs = f"t{s}#{c}", [random_ref(rnd) for _ in range(rnd.randrange(4))]
+            chunks.append((f"s{s:02}", c, i, refs, primary, f"talk {s}"))
+            table.append((i, "talks", unit(rng.normal(0, 1, 6))))
+            passages[i] = {"text": "said " * rnd.randrange(1, 12) + i, "label": f"talk {s}", "citation": f"talk {s}", "title": "", "source_id": f"s{s:02}", "cited": [], "primary": primary, "refs": refs}
+    for n in range(12):
+        table.append((f"b{n}", "beliefs", unit(rng.normal(0, 1, 6))))
+        passages[f"b{n}"] = {"text": "we hold " + "abc"[n % 3], "label": f"b{n}", "citation": "", "title": f"b{n}", "source_id": "", "cited": [], "primary": [], "refs": [random_ref(rnd)]}
+    questions = [(q, unit(rng.normal(0, 1, 6)), [random_ref(rnd)] if q % 2 else []) for q in range(8)]
+    phrases = [(q, n, text, unit(rng.normal(0, 1, 6))) for q in range(8) for n, text in enumerate(["Who did", "who  DID", "", "what then", "why", "too many"])]
+    frames = (
+        spark.createDataFrame(questions, f"question int, vector array<double>, asked {kinds}"),
+        spark.createDataFrame(phrases, "question int, phrase int, text string, vector array<double>"),
+        spark.createDataFrame(table, "id string, collection string, vector array<double>"),
+        spark.createDataFrame([(i, *p.values()) for i, p in passages.items()], f"id string, text string, label string, citation string, title string, source_id string, cited {kinds}, primary {kinds}, refs {kinds}"),
+        spark.createDataFrame(chunks, f"source_id string, chunk int, id string, refs {kinds}, primary {kinds}, title string"),
+        spark.createDataFrame(windows, "window_id string, book string, chapter int, verse_start int, verse_end int"),
+    )
+    linked, got = 0, {}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for r in retrieval.search(*frames, budget=2500).orderBy("question", "place").collect():
+            got.setdefault(r.question, []).append((r.id, r.connection))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for q, v, asked in questions:
+        want = plain_search(v, asked, [(t, w) for k, _, t, w in phrases if k == q], table, passages, chunks, windows, 2500)
+        assert got[q] == want, q
+        linked += sum(c != "" for _, c in want)
+    assert linked > 4

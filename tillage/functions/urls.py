@@ -13,7 +13,7 @@ URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
 def scheme(u: Column) -> Column:
-    return F.regexp_extract(u, URL, 1)
+    return F.lower(F.regexp_extract(u, URL, 1))
 
 
 def netloc(u: Column) -> Column:
@@ -34,14 +34,37 @@ def canonical_path(u: Column) -> Column:
     return F.when(p.startswith("/about/"), F.substr(p, F.lit(7))).otherwise(p)
 
 
+def _decoded(c: Column) -> Column:
+    """A query's key or value without escapes; one that isn't well escaped is left as it is, but for + as space."""
+    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(c: Column) -> Column:
+    """Escaped as in a form: letters, digits and _.-~ as they are, + for a space."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def query_pairs(u: Column) -> Column:
+    """array<struct<k, v>> of a query's decoded pairs, in order, without blank values and view-only keys."""
+    cut = F.filter(F.split(F.regexp_extract(u, URL, 4), "&"), lambda x: F.instr(x, "=") > 0)
+    pairs = F.transform(cut, lambda x: F.struct(_decoded(F.substring_index(x, "=", 1)).alias("k"), _decoded(F.substr(x, F.instr(x, "=") + 1)).alias("v")))
+    return F.filter(pairs, lambda p: (p["v"] != "") & ~F.lower(p["k"]).isin(VIEW_ONLY))
+
+
 def canonical_url(u: Column) -> Column:
-    """One URL for one page: no fragment, no view-only or blank query values, sorted query, no trailing slash,
-    /about/x as /x, lower-case host."""
-    pairs = F.filter(F.split(F.regexp_extract(u, URL, 4), "&"), lambda x: (F.instr(x, "=") > 0) & ~x.endswith("=") & ~F.lower(F.substring_index(x, "=", 1)).isin(VIEW_ONLY))
-    query = F.array_join(F.array_sort(pairs), "&")
+    """One URL for one page: no fragment, no view-only or blank query values, the query's pairs sorted and escaped in one
+    way, no trailing slash, /about/x as /x, lower-case scheme and host."""
+    query = F.array_join(F.transform(F.array_sort(query_pairs(u)), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.concat(scheme(u), F.lit("://"), F.lower(netloc(u)), canonical_path(u), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+def site_path(u: Column) -> Column:
+    """The canonical path of a URL or of a bare path, for comparison with configured ones."""
+    whole = F.when(F.instr(u, "://") > 0, u).otherwise(F.concat(F.lit("http://x/"), F.regexp_replace(u, "^/", "")))
+    p = F.regexp_replace(canonical_path(whole), "/+$", "")
+    return F.when(p == "", "/").otherwise(p)
+
+
 def is_message(u: Column, section: str = "messages", listings: tuple[str, ...] = ("archive", "series")) -> Column:
     """A detail page: /<section>/<group>/<page>, where the group isn't a listing."""
     p = path_parts(u)

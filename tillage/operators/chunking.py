@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillage.functions.refs import extract_refs
 from tillage.functions.text import sentences, strip, token_count
 
 
@@ -51,8 +52,9 @@ def pack_sentences(docs: DataFrame, key: str, text: str, target: int, overlap: i
 
 
 def talk_windows(docs: DataFrame, key: str = "source_id", text: str = "text", target: int = 1000, overlap: int = 150) -> DataFrame:
-    """Overlapping windows of a talk, with ids `<key>#c0000`."""
-    return pack_sentences(docs, key, text, target, overlap).withColumn("id", F.concat(F.col(key).cast("string"), F.lit("#c"), F.lpad(F.col("chunk").cast("string"), 4, "0")))
+    """Overlapping windows of a talk, with ids `<key>#c0000` and the references of their own text."""
+    named = pack_sentences(docs, key, text, target, overlap).withColumn("id", F.concat(F.col(key).cast("string"), F.lit("#c"), F.lpad(F.col("chunk").cast("string"), 4, "0")))
+    return named.withColumn("scripture_refs", extract_refs(F.col("text")))
 
 
 def page_sections(pages: DataFrame, key: str = "url", most: int = 900) -> DataFrame:
@@ -65,7 +67,7 @@ def page_sections(pages: DataFrame, key: str = "url", most: int = 900) -> DataFr
     packed = pack_sentences(each.filter(token_count(F.col("body")) > most), "unit", "body", most, 0)
     both = short.unionByName(packed.select("unit", "chunk", "text", "tokens"))
     number = F.row_number().over(Window.partitionBy("unit.k").orderBy("unit.place", "chunk")) - 1
-    return both.select(F.col("unit.k").alias(key), F.concat(F.col("unit.k").cast("string"), F.lit("#s"), F.lpad(number.cast("string"), 4, "0")).alias("id"), F.col("unit.label").alias("label"), "text", "tokens")
+    return both.select(F.col("unit.k").alias(key), F.concat(F.col("unit.k").cast("string"), F.lit("#s"), F.lpad(number.cast("string"), 4, "0")).alias("id"), F.col("unit.label").alias("label"), "text", "tokens", extract_refs(F.col("text")).alias("scripture_refs"))
 
 
 def belief_sections(pages: DataFrame, key: str = "url") -> DataFrame:
@@ -81,10 +83,27 @@ def primary_from_opening(first: Column, second: Column) -> Column:
     return F.when(F.size(both) > 0, both).otherwise(F.slice(F.concat(first, second), 1, 1))
 
 
+def primary_refs(title: Column, page_refs: Column, page_title: Column, item_refs: Column) -> Column:
+    """What an item is about by its title, its page and its record, in this order, each reference once; blanks are dropped."""
+    none = F.array().cast("array<string>")
+    found = F.concat(extract_refs(F.coalesce(title, F.lit(""))), F.coalesce(page_refs, none), extract_refs(F.coalesce(page_title, F.lit(""))), F.coalesce(item_refs, none))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
+
+
+def stamped(chunks: DataFrame, sources: DataFrame, key: str = "source_id", order: str = "chunk") -> DataFrame:
+    """chunks (key, order, scripture_refs) with primary_refs: their source's (sources: key, primary_refs), or if it has none
+    what its first two chunks open with."""
+    two = chunks.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n <= 2")
+    opening = two.groupBy(key).agg(F.max(F.when(F.col("_n") == 1, F.col("scripture_refs"))).alias("_a"), F.max(F.when(F.col("_n") == 2, F.col("scripture_refs"))).alias("_b"))
+    given = F.filter(F.coalesce("primary_refs", F.array().cast("array<string>")), lambda x: F.coalesce(strip(x), F.lit("")) != "")
+    best = F.when(F.size(given) > 0, given).otherwise(primary_from_opening(F.col("_a"), F.col("_b")))
+    return chunks.join(opening, key).join(sources.select(key, "primary_refs"), key, "left").withColumn("primary_refs", best).drop("_a", "_b")
+
+
 def verse_chunks(verses: DataFrame, size: int = 6, stride: int = 3) -> DataFrame:
     """Chunks of chapters (book, chapter, verse, text): each whole chapter (kind chapter) and, of longer ones, windows of
     `size` verses at every `stride`, until one reaches the end. Of repeated verses the last by `seq`, if there is
-    that column, counts."""
+    that column, counts, else the greatest text (rows have no order of their own)."""
     pick = F.max_by("text", F.col("seq")) if "seq" in verses.columns else F.max("text")
     one = verses.groupBy("book", "chapter", "verse").agg(pick.alias("text"))
     chapters = one.groupBy("book", "chapter").agg(F.array_sort(F.collect_list(F.struct("verse", "text"))).alias("v"))
@@ -113,3 +132,30 @@ def routed_chunks(items: DataFrame) -> DataFrame:
     kind = F.when(F.col("is_belief"), "beliefs").otherwise("talks")
     use = F.when(F.col("is_belief"), "sections").when(F.col("has_transcript"), "transcript").otherwise("sections")
     return items.withColumns({"collection": kind, "use": use})
+
+
+def indexed_chunks(items: DataFrame, pages: DataFrame, transcripts: DataFrame, target: int = 1000, overlap: int = 150, most: int = 900) -> DataFrame:
+    """(collection, source_id, id, title, text, scripture_refs, primary_refs) of items, joined with their pages and transcripts by path.
+
+    items: id, kind, title, page_path, transcript_path, scripture_refs. pages: path, title, sections, scripture_refs. transcripts: path, title, text.
+    A belief's page is cut by its sections. Of other items the transcript is cut into windows, or, where there is none or an empty one,
+    the page's sections are. What an item says for itself goes before its page, the page before the transcript.
+    """
+    p = pages.select(F.col("path").alias("page_path"), F.col("title").alias("page_title"), "sections", F.col("scripture_refs").alias("page_refs"))
+    t = transcripts.select(F.col("path").alias("transcript_path"), F.col("title").alias("said_title"), F.col("text").alias("said"))
+    blank = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    at = items.join(p, "page_path", "left").join(t, "transcript_path", "left").withColumns({
+        "primary_refs": primary_refs(F.col("title"), F.col("page_refs"), F.col("page_title"), F.col("scripture_refs")),
+        "is_belief": F.col("kind") == "belief", "has_transcript": F.coalesce(strip(F.col("said")) != "", F.lit(False)),
+    })
+    at = at.withColumn("title", F.coalesce(blank("title"), F.when(F.col("has_transcript") & ~F.col("is_belief"), blank("said_title")), blank("page_title"), F.lit("")))
+    at = routed_chunks(at).withColumn("source_id", F.when(F.col("use") == "transcript", F.col("id")).otherwise(F.concat("id", F.lit(":page"))))
+    sources = at.select("source_id", "collection", "title", "primary_refs")
+    said = talk_windows(at.filter("use = 'transcript'").select("source_id", strip(F.col("said")).alias("text")), target=target, overlap=overlap)
+    read = page_sections(at.filter("use = 'sections' and not is_belief").select("source_id", "title", "sections"), "source_id", most)
+    held = belief_sections(at.filter("is_belief").select("source_id", "sections"), "source_id").withColumn("scripture_refs", extract_refs(F.col("text")))
+    pick = ["source_id", "id", "text", "scripture_refs"]
+    both = stamped(said.select(*pick).unionByName(read.select(*pick)), sources, order="id")
+    none = F.array().cast("array<string>")
+    every = both.unionByName(held.select(*pick).withColumn("primary_refs", none))
+    return every.join(sources.select("source_id", "collection", "title"), "source_id").select("collection", "source_id", "id", "title", "text", "scripture_refs", "primary_refs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.functions.refs import WHOLE_CHAPTER
+from tillage.functions.refs import WHOLE_CHAPTER, any_overlap, overlap
 
 
 def overlapping(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -16,86 +16,47 @@ def overlapping(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(other, (F.col("book") == F.col("_book")) & (F.col("chapter") == F.col("_chapter")) & meet, how).drop("_book", "_chapter", "_vs", "_ve")
 
 
-Ref = tuple[str, int, int | None, int | None]
+#: SQL of whether references h and x of one chapter share a verse, and of how many verses one spans.
+_MEET = "(h.vs IS NULL OR x.vs IS NULL OR (h.vs <= x.ve AND x.vs <= h.ve))"
+_WIDTH = f"coalesce({{0}}.ve - {{0}}.vs, {WHOLE_CHAPTER})"
 
-
-def _meet(a: Ref, b: Ref) -> bool:
-    return a[:2] == b[:2] and (a[2] is None or b[2] is None or (a[2] <= b[3] and b[2] <= a[3]))
-
-
-def _width(a: Ref) -> int:
-    return WHOLE_CHAPTER if a[2] is None else a[3] - a[2]
-
-
-def sustained(chunks: list[list[Ref]], primary: list[Ref], least: int) -> list[Ref]:
-    """References that come back in at least `least` chunks and don't overlap the primary ones, in order of sight.
-
-    References gather in clusters around a representative. A cluster counts a chunk once; a narrower reference that
-    counts takes the cluster over.
-    """
-    heads: list[Ref] = []
-    counts: list[int] = []
-    for refs in chunks:
-        counted: set[int] = set()
-        for ref in refs:
-            if any(_meet(ref, p) for p in primary):
-                continue
-            at = next((i for i, h in enumerate(heads) if _meet(ref, h)), None)
-            if at is None:
-                at = len(heads)
-                heads.append(ref)
-                counts.append(0)
-            if at in counted:
-                continue
-            counted.add(at)
-            counts[at] += 1
-            if _width(ref) < _width(heads[at]):
-                heads[at] = ref
-    return [h for h, n in zip(heads, counts) if n >= least]
+REFS = "array<struct<book:string,chapter:int,vs:int,ve:int>>"
 
 
-REFS = "array<struct<book:string,chapter:int,vs:int,ve:int>>"
+def mentions(chunks: DataFrame, refs: str = "refs") -> DataFrame:
+    """(source_id, chunk, pos, book, chapter, vs, ve): the references of chunks, one a row."""
+    return chunks.select("source_id", "chunk", F.posexplode(refs).alias("pos", "r")).select("source_id", "chunk", "pos", "r.*")
 
 
 def sustained_mentions(chunks: DataFrame, least: int = 2) -> DataFrame:
-    """(source_id, place, book, chapter, vs, ve) from chunks (source_id, chunk, refs, primary), all refs as REFS.
+    """(source_id, place, book, chapter, vs, ve): what a source keeps coming back to beside its primary references, in order of sight.
 
-    A source is one fold, in the order of its chunks; a source is one document, so its size is bounded by that.
+    chunks: source_id, chunk, refs, primary, the last two as REFS. References gather around the first one
+    seen of several that meet; such a cluster counts each chunk once, and a narrower reference that counts stands for
+    it from then on. References can only meet within a chapter, so each (source, chapter) is a fold of its own, in SQL, and
+    clusters of at least `least` chunks are put in order of sight afterwards. A reference that meets a primary one doesn't count.
     """
-    import pyarrow as pa
-
-    kind = chunks.schema["source_id"].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("chunk", "refs", "primary"))), key=lambda r: r[0])
-        as_ref = lambda x: (x["book"], x["chapter"], x["vs"], x["ve"])
-        found = sustained([[as_ref(x) for x in r[1] or []] for r in rows], [as_ref(x) for x in rows[0][2] or []], least)
-        n, cols = len(found), list(zip(*found)) if found else [[]] * 4
-        source = table.column("source_id").combine_chunks().slice(0, 1).take(pa.array([0] * n, pa.int64()))
-        ints = [pa.array(range(n), pa.int32()), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int32()) for c in cols[1:]]]
-        return pa.table([source, *ints], names=["source_id", "place", "book", "chapter", "vs", "ve"])
-
-    return chunks.groupBy("source_id").applyInArrow(run, f"source_id {kind}, place int, book string, chapter int, vs int, ve int")
+    beside = chunks.select("source_id", "chunk", F.filter("refs", lambda x: ~F.coalesce(F.exists("primary", lambda p: overlap(x, p)), F.lit(False))).alias("refs"))
+    each = mentions(beside).groupBy("source_id", "book", "chapter").agg(F.array_sort(F.collect_list(F.struct("chunk", "pos", "vs", "ve"))).alias("seen"))
+    counts = f"""CASE WHEN h.chunk = x.chunk THEN h ELSE named_struct('vs', IF({_WIDTH.format('x')} < {_WIDTH.format('h')}, x.vs, h.vs),
+        've', IF({_WIDTH.format('x')} < {_WIDTH.format('h')}, x.ve, h.ve), 'chunk', x.chunk, 'n', h.n + 1, 'first', h.first, 'pos', h.pos) END"""
+    fold = f"""aggregate(seen, cast(array() AS array<struct<vs:int,ve:int,chunk:int,n:int,first:int,pos:int>>), (heads, x) ->
+        IF(exists(heads, h -> {_MEET}),
+           transform(heads, (h, i) -> IF(i + 1 = array_position(transform(heads, h -> {_MEET}), true), {counts}, h)),
+           concat(heads, array(named_struct('vs', x.vs, 've', x.ve, 'chunk', x.chunk, 'n', 1, 'first', x.chunk, 'pos', x.pos)))))"""
+    heads = each.select("source_id", "book", "chapter", F.explode(F.expr(fold)).alias("h")).filter(F.col("h.n") >= least)
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("h.first", "h.pos")) - 1
+    return heads.select("source_id", place.alias("place"), "book", "chapter", "h.vs", "h.ve")
 
 
 def bridges(asides: DataFrame) -> DataFrame:
     """(question, rank, book, chapter, vs, ve): asides (question, source_rank, place and a reference) in order, without
-    those that overlap one already taken. One question has few sources."""
-    import pyarrow as pa
-
-    kind = asides.schema["question"].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("source_rank", "place", "book", "chapter", "vs", "ve"))), key=lambda r: r[:2])
-        taken: list[Ref] = []
-        for r in rows:
-            if not any(_meet(r[2:], t) for t in taken):
-                taken.append(r[2:])
-        cols = list(zip(*taken)) if taken else [[]] * 4
-        q = table.column("question").combine_chunks().slice(0, 1).take(pa.array([0] * len(taken), pa.int64()))
-        return pa.table([q, pa.array(range(len(taken)), pa.int32()), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names=["question", "rank", "book", "chapter", "vs", "ve"])
-
-    return asides.groupBy("question").applyInArrow(run, f"question {kind}, rank int, book string, chapter int, vs int, ve int")
+    those that overlap one already taken, which again is a fold for each chapter."""
+    each = asides.groupBy("question", "book", "chapter").agg(F.array_sort(F.collect_list(F.struct("source_rank", "place", "vs", "ve"))).alias("a"))
+    kept = F.expr(f"aggregate(a, filter(a, x -> false), (t, x) -> IF(exists(t, h -> {_MEET}), t, concat(t, array(x))))")
+    taken = each.select("question", "book", "chapter", F.explode(kept).alias("x"))
+    rank = F.row_number().over(Window.partitionBy("question").orderBy("x.source_rank", "x.place")) - 1
+    return taken.select("question", rank.alias("rank"), "book", "chapter", "x.vs", "x.ve")
 
 
 def related_sources(bridge_refs: DataFrame, primaries: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
@@ -127,9 +88,58 @@ def best_window(refs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def cross_links(targets: DataFrame, windows: DataFrame, most: int = 2) -> DataFrame:
     """(question, citation, window_id, connection, score, rank): targets (ref_id, question, source_rank, place, citation of the
-    source, score and a reference) resolved to their best windows, each window once, `most` for a question."""
-    found = targets.join(best_window(targets, windows), "ref_id")
+    source, score and a reference) resolved to their best windows, each window once, `most` for a question. Windows are told
+    apart by `same`, if there is that column (their citation, say), else by their id."""
+    at = best_window(targets, windows)
+    at = at.join(windows.select("window_id", F.col("same")), "window_id") if "same" in windows.columns else at.withColumn("same", F.col("window_id"))
+    found = targets.join(at, "ref_id")
     order = Window.partitionBy("question").orderBy("source_rank", "place", "ref_id")
-    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("question", "window_id").orderBy("source_rank", "place", "ref_id"))).filter("_n = 1")
+    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("question", "same").orderBy("source_rank", "place", "ref_id"))).filter("_n = 1")
     out = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return out.select("question", "citation", "window_id", F.concat(F.lit("Connected in "), "citation").alias("connection"), "score", "rank")
+
+
+def grouped_hits(hits: DataFrame) -> DataFrame:
+    """(question, source_id, source_rank, score, citation, primary, matched): a question's hits (question, place, source_id, score, citation,
+    primary and refs, both as REFS) by source. Sources are in the order of their best scores, ties in that of their first hits; score,
+    citation and primary are the first hit's, matched is what all of its hits refer to."""
+    by = hits.groupBy("question", "source_id").agg(
+        F.max("score").alias("best"), F.min(F.struct("place", "score", "citation", "primary")).alias("f"),
+        F.flatten(F.collect_list("refs")).alias("matched"),
+    )
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("best"), "f.place")) - 1
+    return by.select("question", "source_id", rank.alias("source_rank"), "f.score", "f.citation", "f.primary", "matched")
+
+
+def aside_refs(groups: DataFrame, sustained: DataFrame, asked: DataFrame) -> DataFrame:
+    """(question, source_id, source_rank, place, book, chapter, vs, ve): what of a source's sustained references a question is
+    about: those that meet one it asks for (asked: question, asked as REFS), or, if it asks for none, one of the matched windows.
+
+    groups is grouped_hits, sustained is sustained_mentions of those sources.
+    """
+    at = groups.join(asked, "question", "left").join(sustained, "source_id")
+    about = F.when(F.coalesce(F.size("asked"), F.lit(0)) > 0, F.col("asked")).otherwise(F.col("matched"))
+    ref = F.struct("book", "chapter", "vs", "ve")
+    hit = at.filter(F.coalesce(F.exists(about, lambda x: overlap(x, ref)), F.lit(False)))
+    return hit.select("question", "source_id", "source_rank", "place", "book", "chapter", "vs", "ve")
+
+
+def link_targets(groups: DataFrame, asides: DataFrame) -> DataFrame:
+    """(ref_id, question, source_rank, place, citation, score and a reference): for each source with asides these, and then those
+    of its primary references that meet no target before them."""
+    ref = F.struct("book", "chapter", "vs", "ve")
+    each = asides.groupBy("question", "source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", ref.alias("r")))), lambda x: x["r"]).alias("asides"))
+    both = groups.join(each, ["question", "source_id"])
+    targets = F.aggregate(F.coalesce("primary", F.filter("asides", lambda x: F.lit(False))), F.col("asides"), lambda t, x: F.when(any_overlap(F.array(x), t), t).otherwise(F.concat(t, F.array(x))))
+    rows = both.select("question", "source_id", "source_rank", "citation", "score", F.posexplode(targets).alias("place", "r"))
+    name = F.concat_ws(":", F.col("question").cast("string"), F.col("source_rank").cast("string"), F.col("place").cast("string"))
+    return rows.select(name.alias("ref_id"), "question", "source_rank", "place", "citation", "score", "r.*")
+
+
+def quoting_chunk(related: DataFrame, chunks: DataFrame) -> DataFrame:
+    """related (question, source_id, rank and the reference that led there) with chunk, the first of the source's chunks (source_id,
+    chunk, refs) that quotes the reference, or its first one."""
+    ref = F.struct("book", "chapter", "vs", "ve")
+    at = related.join(chunks.select("source_id", "chunk", "refs"), "source_id")
+    quotes = F.coalesce(F.exists("refs", lambda x: overlap(x, ref)), F.lit(False))
+    return at.groupBy(*related.columns).agg(F.min(F.struct((~quotes).alias("other"), "chunk")).alias("m")).select(*related.columns, F.col("m.chunk").alias("chunk"))

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.functions.refs import any_overlap
-from tillage.functions.text import fingerprint, join_nonempty
+from tillage.functions.refs import any_overlap, format_ref
+from tillage.functions.text import fingerprint, join_nonempty, squeeze, strip
+from tillage.operators import links
+from tillage.tables import kept_table
 
 # The collections in the order that ties keep, with their limits and weights.
 COLLECTIONS = ["scripture", "beliefs", "talks"]
@@ -19,8 +21,10 @@ MAX_CONTEXT = 14_000
 OVERHEAD = 32
 SILENCE = 0.35
 #: Rows and questions of one task's distance matrix.
-TABLE_BLOCK = 20_000
-QUESTION_BLOCK = 512
+TABLE_BLOCK = 16_384
+QUESTION_BLOCK = 4_096
+#: Distances that are held at a time.
+DISTANCES = 1 << 22
 
 
 def per_collection(values: dict, collection: Column) -> Column:
@@ -32,7 +36,8 @@ def vector_topk(questions: DataFrame, table: DataFrame, top_k: dict[str, int] =
     L2 distance, top_k x candidates of them; ties by id.
 
     questions: question, vector. table: id, collection, vector. Blocks of questions meet blocks of rows, each pair in
-    one task, which keeps its best; the rest is a ranking of those.
+    one task, which keeps its best; the rest is a ranking of those. Rows are copied once for each block of questions and questions once for
+    each block of rows, so blocks are as large as a task's memory allows, and few questions leave the rows where they are.
     """
     n, q = table.count(), questions.count()
     nb, qb = max(1, -(-n // TABLE_BLOCK)), max(1, -(-q // QUESTION_BLOCK))
@@ -43,25 +48,38 @@ def vector_topk(questions: DataFrame, table: DataFrame, top_k: dict[str, int] =
     right = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint"))))
     qt, it = questions.schema["question"].dataType.simpleString(), table.schema["id"].dataType.simpleString()
 
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks()
+        return np.asarray(column.flatten()).reshape(len(column), -1)
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        x = np.array(a.column("vector").to_pylist(), np.float64).reshape(len(a), -1)
-        qs, ids = np.array(a.column("question").to_pylist()), np.array(b.column("id").to_pylist())
-        which = np.array(b.column("collection").to_pylist())
-        out_q, out_c, out_i, out_d = [], [], [], []
+        schema = pa.schema([("question", a.schema.field("question").type), ("collection", pa.string()), ("id", b.schema.field("id").type), ("distance", pa.float64())])
+        parts = [schema.empty_table()]
+        if not len(a) or not len(b):
+            return parts[0]
+        b = b.sort_by("id")
+        x, y = matrix(a.column("vector")), matrix(b.column("vector"))
+        which = np.asarray(b.column("collection").combine_chunks().to_numpy(zero_copy_only=False))
         for c, k in most.items():
             at = np.flatnonzero(which == c)
-            if not len(at) or not len(x):
-                continue
-            at = at[np.argsort(ids[at], kind="stable")]
-            y = np.array(b.column("vector").combine_chunks().take(pa.array(at)).to_pylist(), np.float64)
-            d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out_q += np.repeat(qs, best.shape[1]).tolist()
-            out_c += [c] * best.size
-            out_i += ids[at][best].ravel().tolist()
-            out_d += np.take_along_axis(d, best, 1).ravel().tolist()
-        schema = pa.schema([("question", a.schema.field("question").type), ("collection", pa.string()), ("id", b.schema.field("id").type), ("distance", pa.float64())])
-        return pa.table([out_q, out_c, out_i, out_d], schema=schema)
+            yc = y[at]
+            yy = (yc * yc).sum(1)
+            for lo in range(0, len(x) if len(at) else 0, step := max(1, DISTANCES // max(1, len(at)))):
+                xs = x[lo : lo + step]
+                d = np.maximum((xs * xs).sum(1)[:, None] + yy - 2 * (xs @ yc.T), 0)
+                if k < len(at):  # all that may be among the best after rounding, ties by id
+                    bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k] + 1e-8
+                    qi, ri = np.nonzero(d <= bound)
+                else:
+                    qi, ri = (v.ravel() for v in np.indices(d.shape))
+                dist = d[qi, ri]
+                order = np.lexsort((ri, np.round(dist, 9), qi))
+                qi, ri, dist = qi[order], ri[order], dist[order]
+                first = np.searchsorted(qi, np.arange(len(xs)))
+                keep = np.arange(len(qi)) - first[qi] < k
+                cols = [a.column("question").take(pa.array(qi[keep] + lo)), pa.array([c] * int(keep.sum()), pa.string()), b.column("id").take(pa.array(at[ri[keep]])), pa.array(dist[keep])]
+                parts.append(pa.table(cols, schema=schema))
+        return pa.concat_tables(parts)
 
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, f"question {qt}, collection string, id {it}, distance double")
     order = Window.partitionBy("question", "collection").orderBy(F.round("distance", 9), "id")
@@ -92,11 +110,13 @@ def collection_order(collection: Column) -> Column:
 def ranked(hits: DataFrame, top_k: dict[str, int] = TOP_K, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """hits (question, collection, id, rank, distance, text, optionally boost) as scored passages: near-equal texts of a
     collection once (the best), then each collection's limit, then one order for a question."""
-    raw = similarity(F.col("distance"))
-    boost = F.col("boost") if "boost" in hits.columns else F.lit(0.0)
-    scored = hits.withColumn("raw_score", raw).withColumn("score", F.round(raw * per_collection(weights, F.col("collection")) + boost, 9))
+    return limited(scored(hits, weights), top_k)
+
+
+def limited(hits: DataFrame, top_k: dict[str, int] = TOP_K) -> DataFrame:
+    """Scored hits with place: see ranked."""
     same = Window.partitionBy("question", "collection", fingerprint(F.coalesce("text", F.lit("")))).orderBy(F.desc("score"), "rank")
-    once = scored.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
+    once = hits.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
     within = Window.partitionBy("question", "collection").orderBy(F.desc("score"), "rank")
     kept = once.withColumn("_k", F.row_number().over(within)).filter(F.col("_k") <= per_collection(top_k, F.col("collection"))).drop("_k")
     overall = Window.partitionBy("question").orderBy(F.desc("score"), collection_order(F.col("collection")), "rank")
@@ -140,6 +160,100 @@ def fit_context(passages: DataFrame, budget: int = MAX_CONTEXT) -> DataFrame:
     return passages.join(kept, ["question", "place"]).drop("place").withColumn("place", F.col("_at") + 1).drop("_at")
 
 
+LINKED = 2
+
+
+def attach_links(passages: DataFrame, extra: DataFrame, budget: int = MAX_CONTEXT, most_scripture: int = LINKED) -> DataFrame:
+    """The extra passages (question, rank, collection, text, label, connection, in the order of rank) that still fit behind a
+    question's passages (question, text, label, connection). No kind is favoured: one that doesn't fit is left out, and at most
+    most_scripture of scripture are taken. A question has a handful of them, so this is a fold over an array."""
+    cost = F.length(F.coalesce("text", F.lit(""))) + F.length(F.coalesce("label", F.lit(""))) + F.length(F.coalesce("connection", F.lit(""))) + OVERHEAD
+    used = passages.groupBy("question").agg(F.sum(cost).alias("used"))
+    row = F.struct("rank", "collection", cost.cast("bigint").alias("cost"))
+    rows = extra.groupBy("question").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(used, "question")
+    fold = f"""aggregate(rows, named_struct('used', used, 'scripture', 0, 'kept', cast(array() as array<int>)), (a, x) ->
+        IF((x.collection = 'scripture' AND a.scripture >= {most_scripture}) OR a.used + x.cost > {budget}, a,
+           named_struct('used', a.used + x.cost, 'scripture', a.scripture + IF(x.collection = 'scripture', 1, 0), 'kept', concat(a.kept, array(x.rank)))), a -> a.kept)"""
+    kept = rows.select("question", F.explode(F.expr(fold)).alias("rank"))
+    return extra.join(kept, ["question", "rank"])
+
+
+def connections(passages: DataFrame, chunks: DataFrame, windows: DataFrame, asked: DataFrame, least: int = 2, most_linked: int = LINKED, most_related: int = 3) -> DataFrame:
+    """(question, rank, collection, id, connection, score): what a question's talks lead to, linked scripture first and then related talks.
+
+    passages: question, place, collection, source_id, connection, score, citation, primary, refs. chunks, of all talks: source_id, chunk, id,
+    refs, primary, title. windows of scripture: window_id, book, chapter, verse_start, verse_end and perhaps same. asked: question, asked.
+    """
+    seeds = passages.filter("collection = 'talks' and coalesce(source_id, '') <> '' and coalesce(connection, '') = ''")
+    groups = kept_table(links.grouped_hits(seeds), "groups")
+    sustained = links.sustained_mentions(chunks.join(groups.select("source_id").distinct(), "source_id", "left_semi"), least)
+    asides = kept_table(links.aside_refs(groups, sustained, asked), "asides")
+    linked = links.cross_links(links.link_targets(groups, asides), windows, most_linked)
+    linked = linked.select("question", F.col("rank").cast("int").alias("rank"), F.lit("scripture").alias("collection"), F.col("window_id").alias("id"), "connection", F.col("score").cast("double").alias("score"))
+    bridges = links.bridges(asides)
+    primaries = chunks.select("source_id", "title", F.explode("primary").alias("r")).select("source_id", "title", "r.*").distinct()
+    related = links.related_sources(bridges, primaries, groups.select("question", "source_id"), most_related)
+    led = related.join(bridges.withColumnRenamed("rank", "bridge"), ["question", "bridge"])
+    at = links.quoting_chunk(led.select("question", "source_id", "rank", "book", "chapter", "vs", "ve"), chunks)
+    said = F.concat(F.lit("Also teaches "), format_ref(F.col("book"), F.col("chapter"), F.col("vs"), F.col("ve")))
+    related = at.join(chunks.select("source_id", "chunk", "id"), ["source_id", "chunk"]).select("question", (F.col("rank") + most_linked).cast("int").alias("rank"), F.lit("talks").alias("collection"), "id", said.alias("connection"), F.lit(0.0).alias("score"))
+    return linked.unionByName(related)
+
+
+def expansion_hits(phrases: DataFrame, table: DataFrame, top_k: dict[str, int] = TOP_K, most: int = 3) -> DataFrame:
+    """(question, collection, id, distance, rank, phrase) for the first `most` different phrases (question, phrase, text, vector) of
+    each question. Phrases are the same if they differ in case and white space only."""
+    key = F.lower(squeeze(F.col("text")))
+    first = phrases.withColumn("_key", key).filter("_key <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("question", "_key").orderBy("phrase"))).filter("_n = 1")
+    kept = first.withColumn("_n", F.row_number().over(Window.partitionBy("question").orderBy("phrase"))).filter(F.col("_n") <= most)
+    each = kept.select(F.struct("question", "phrase").alias("question"), "vector")
+    named = each.select(F.concat_ws("#", F.col("question.question").cast("string"), F.col("question.phrase").cast("string")).alias("question"), F.col("question").alias("of"), "vector")
+    hits = vector_topk(named.select("question", "vector"), table, top_k).join(named.select("question", "of"), "question")
+    return hits.select(F.col("of.question").alias("question"), F.col("of.phrase").alias("phrase"), "collection", "id", "distance", "rank")
+
+
+def scored(hits: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """hits with raw_score and score, the weighted similarity and boost (if there is that column)."""
+    raw = similarity(F.col("distance"))
+    boost = F.col("boost") if "boost" in hits.columns else F.lit(0.0)
+    return hits.withColumn("raw_score", raw).withColumn("score", F.round(raw * per_collection(weights, F.col("collection")) + boost, 9))
+
+
+def search(questions: DataFrame, phrases: DataFrame, table: DataFrame, passages: DataFrame, chunks: DataFrame, windows: DataFrame, budget: int = MAX_CONTEXT, scripture_new: int = 3, other_new: int = 4) -> DataFrame:
+    """The whole read path for many questions: (question, place, collection, id, score, connection) of the passages each question gets.
+
+    Nearest rows of each collection, boosted by the references asked for, deduplicated and limited; what the phrases find is merged
+    behind them (scripture_new of scripture, other_new of others) and all is put in the order of scores; then the budget, and what the
+    talks lead to. questions: question, vector, asked (as REFS). phrases: question, phrase, text, vector. table: id, collection, vector. passages: id,
+    text, label, citation, title, source_id, cited, primary and refs (as REFS). chunks and windows: see connections.
+    """
+    asked = questions.select("question", "asked")
+
+    def with_text(hits: DataFrame) -> DataFrame:
+        at = hits.join(passages, "id").join(asked, "question")
+        boost = F.coalesce(ref_boost(F.col("collection"), F.col("asked"), F.col("cited"), F.col("primary"), F.col("refs")), F.lit(0.0))
+        return scored(at.withColumn("boost", boost)).drop("asked", "boost")
+
+    direct = limited(with_text(vector_topk(questions.select("question", "vector"), table)))
+    found = with_text(expansion_hits(phrases, table))
+    fp = fingerprint(F.coalesce("text", F.lit("")))
+    order = [F.desc("score"), F.col("phrase"), collection_order(F.col("collection")), F.col("rank")]
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("question", fp).orderBy(*order))).filter("_n = 1").drop("_n")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy(*order))).drop("phrase").withColumn("from_expansion", F.lit(True))
+    found = kept_table(found, "expansions")
+    both = merge_expansion(direct.withColumn("from_expansion", F.lit(False)), found.filter("collection = 'scripture'"), scripture_new)
+    both = merge_expansion(both, found.filter("collection <> 'scripture'"), other_new)
+    both = both.withColumn("place", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "place")))
+    kept = kept_table(fit_context(kept_table(both, "found"), budget).withColumn("connection", F.lit("")), "passages")
+    more = connections(kept, chunks, windows, asked)
+    more = kept_table(more.join(passages.select("id", "text", "label"), "id").filter(strip(F.col("text")) != ""), "connections")
+    behind = attach_links(kept, more, budget)
+    last = kept.groupBy("question").agg(F.max("place").alias("_last"))
+    behind = behind.join(last, "question").withColumn("place", F.col("_last") + F.row_number().over(Window.partitionBy("question").orderBy("rank")))
+    pick = ["question", "place", "collection", "id", "score", "connection"]
+    return kept.select(*pick).unionByName(behind.select(*pick))
+
+
 def silence(passages: DataFrame, threshold: float = SILENCE) -> DataFrame:
     """(question, silent): whether neither talks nor beliefs say anything near the question."""
     says = F.col("collection").isin("talks", "beliefs") & (F.col("raw_score") > threshold)
@@ -185,3 +299,24 @@ def render_context(passages: DataFrame) -> DataFrame:
     blocks = each.groupBy("question", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "\n\n").alias("body"))
     shown = F.struct(collection_order(F.col("block")).alias("o"), F.concat(per_collection(HEADINGS, F.col("block")), F.lit("\n"), "body").alias("b"))
     return blocks.groupBy("question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["b"]), "\n\n").alias("context"))
+
+
+# What a prompt says where nothing of one's own is near the question.
+SILENT = "NOTE: nothing closely relevant was found in this collection's own material. Say so, then answer from scripture and general knowledge."
+
+
+def prompts(questions: DataFrame, passages: DataFrame, turns: DataFrame | None = None, threshold: float = SILENCE) -> DataFrame:
+    """(question, messages): for each question (question, text) its last six turns (question, turn, role, text), if there are any, and then the
+    user's message: the context, a note where neither talks nor beliefs say anything near it, and the question itself.
+
+    passages: question, place, collection, label, text, connection, raw_score. A question without passages has no context and the note.
+    """
+    about = questions.join(render_context(passages), "question", "left").join(silence(passages, threshold), "question", "left")
+    note = F.when(F.coalesce("silent", F.lit(True)), SILENT)
+    content = F.concat_ws("\n\n", F.nullif(F.coalesce("context", F.lit("")), F.lit("")), note, F.concat(F.lit("QUESTION: "), "text"))
+    asked = about.select("question", F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))).alias("ask"))
+    if turns is None:
+        return asked.withColumnRenamed("ask", "messages")
+    said = last_turns(turns, "question").groupBy("question").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    before = F.transform(F.coalesce("t", F.array().cast("array<struct<turn:bigint,role:string,text:string>>")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    return asked.join(said, "question", "left").select("question", F.concat(before, F.col("ask")).alias("messages"))

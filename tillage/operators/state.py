@@ -42,6 +42,19 @@ def pending(jobs: DataFrame, before: str | None = None) -> DataFrame:
     return found.orderBy("date", "id")
 
 
+def candidates(jobs: DataFrame, action: str, force: bool = False) -> DataFrame:
+    """The items that an action (download, transcribe or index) takes: those that are at its step and not beyond. force takes
+    those beyond too, but nothing is downloaded again once it is transcribed."""
+    step = F.col("step")
+    if action == "download":
+        return jobs.filter((F.coalesce("audio_url", F.lit("")) != "") & ~at_least(step, "transcribed") & (F.lit(force) | ~at_least(step, "audio_downloaded")))
+    if action == "transcribe":
+        return jobs.filter(at_least(step, "audio_downloaded") & (F.lit(force) | ~at_least(step, "transcribed")))
+    if action == "index":
+        return jobs.filter(at_least(step, "transcribed") & (F.lit(force) | ~at_least(step, "indexed")))
+    raise ValueError(f"no such action: {action}")
+
+
 def tally(jobs: DataFrame) -> DataFrame:
     """(name, n): items by step, by status:<status>, and in total. One pass over the items."""
     counted = jobs.groupingSets([["step"], ["status"], []], "step", "status").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
@@ -92,10 +105,11 @@ def attach_files(jobs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def merge_by_key(rows: DataFrame, key: str, url: str, *seq: str) -> DataFrame:
-    """One row for each key: the first url seen and the other ones, in order, each once."""
-    seen = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*seq, url))).alias("s"))
-    urls = F.array_distinct(F.transform("s", lambda x: x[url]))
-    return seen.select(key, F.get(urls, F.lit(0)).alias(url), F.slice(urls, 2, 1_000_000).alias("alt_urls"))
+    """One row for each key: the first url seen and the other ones, in order, each once. Repeats are dropped before a key is gathered."""
+    once = rows.groupBy(key, url).agg(F.min(F.struct(*seq)).alias("_seq"))
+    seen = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_seq", url))).alias("s"))
+    urls = F.transform("s", lambda x: x[url])
+    return seen.select(key, F.get(urls, F.lit(0)).alias(url), F.slice(urls, F.lit(2), F.size(urls)).alias("alt_urls"))
 
 
 def stalls(cycles: DataFrame, *signature: str, order: str = "cycle", group: str | None = None, repeats: int = 2) -> DataFrame:

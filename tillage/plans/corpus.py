@@ -121,12 +121,32 @@ def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 CANONICAL = r"""
-SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) ||
+SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) ||
   CASE WHEN p = '' THEN '/' WHEN starts_with(p, '/about/') THEN substr(p, 7) ELSE p END ||
-  CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_sort(q), '&') END AS canonical
+  CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(q), lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') END AS canonical
 FROM (SELECT page_id, url, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS p,
-  list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: contains(x, '=') AND NOT ends_with(x, '=')
-    AND lower(split_part(x, '=', 1)) NOT IN ('location', '_', 'share', 'replytocom', 'fbclid', 'utm_source', 'utm_medium', 'utm_campaign')) AS q FROM pages)"""
+  list_filter(list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: contains(x, '=')),
+      lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' '))}),
+    lambda x: x.v <> '' AND lower(x.k) NOT IN ('location', '_', 'share', 'replytocom', 'fbclid', 'utm_source', 'utm_medium', 'utm_campaign')) AS q FROM pages)"""
+
+
+#: Queries with escapes, keys that sort apart from their pairs, blanks and repeats.
+HARD = ["a=1&a-b=2", "q=a%20b", "q=a+b&Q=%C3%A9", "b=&c", "x=1&x=0&utm_source=z", "t=~a*b", "k=a%3Db&LOCATION=wg", "z=%26&a=%2F"]
+
+
+def canonical_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's URL with one of some queries that are hard to bring into one form."""
+    p = _t(spark, d, "pages").withColumn("url", _with_query())
+    return p.select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
+
+
+def _with_query():
+    hard = F.array(*[F.lit(h) for h in HARD])
+    return F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("?"), F.element_at(hard, (F.col("page_id") % len(HARD) + 1).cast("int")), F.lit("#part"))
+
+
+_HARD = "[" + ", ".join(f"'{h}'" for h in HARD) + "]"
+CANONICAL_QUERIES = CANONICAL.replace("FROM pages)", f"FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?' || {_HARD}[page_id % {len(HARD)} + 1] || '#part' AS url FROM pages))")
 
 
 def url_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +293,7 @@ SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.1f B', n / 1.0::DOUBLE) WHE
 
 QUERIES = [
     (token_counts, TOKEN_COUNTS), (sentence_split, SENTENCE_SPLIT), (fingerprint_dedupe, FINGERPRINT_DEDUPE), (talk_windows, None), (page_pack, None),
-    (belief_sections, BELIEF_SECTIONS), (verse_windows, VERSE_WINDOWS), (first_dates, FIRST_DATES), (canonical_urls, CANONICAL), (url_classes, URL_CLASSES),
+    (belief_sections, BELIEF_SECTIONS), (verse_windows, VERSE_WINDOWS), (first_dates, FIRST_DATES), (canonical_urls, CANONICAL), (canonical_queries, CANONICAL_QUERIES), (url_classes, URL_CLASSES),
     (frontier, FRONTIER), (dedup_keys, DEDUP_KEYS), (html_title, HTML_TITLE), (html_links, HTML_LINKS), (html_sections, None), (manifest_verify, MANIFEST_VERIFY),
     (verse_map, VERSE_MAP), (verse_array, VERSE_ARRAY), (book_gate, BOOK_GATE), (human_sizes, HUMAN_SIZES),
 ]

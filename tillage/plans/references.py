@@ -110,16 +110,61 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sustained_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return links.sustained_mentions(_chunks(spark, d), 6)
+    return links.sustained_mentions(_chunks(spark, d), LEAST)
 
 
 def bridge_refs(spark: SparkSession, d: str) -> DataFrame:
     """A question is asked of ten sources each; the sources' sustained asides, greedily without overlaps."""
-    s = links.sustained_mentions(_chunks(spark, d), 6)
+    s = links.sustained_mentions(_chunks(spark, d), LEAST)
     asides = s.select((F.col("source_id") / 10).cast("bigint").alias("question"), (F.col("source_id") % 10).cast("int").alias("source_rank"), "place", "book", "chapter", "vs", "ve")
     return links.bridges(asides)
 
 
+_FOLDED = f"""{LINES}, cl AS (SELECT l.source_id, CAST(l.line // {SIZE} AS INTEGER) AS chunk, l.line, l.book, l.chapter, l.vs, l.ve FROM lines l JOIN lines p ON p.source_id = l.source_id AND p.line = 0
+  WHERE NOT (l.book = p.book AND l.chapter = p.chapter AND l.vs <= p.ve AND p.vs <= l.ve)),
+mk AS (SELECT *, row_number() OVER (PARTITION BY source_id, book, chapter ORDER BY line) AS i FROM cl),
+fold(source_id, book, chapter, i, heads) AS (
+  SELECT source_id, book, chapter, i, [{{'vs': vs, 've': ve, 'chunk': chunk, 'n': 1, 'first': line}}] FROM mk WHERE i = 1
+  UNION ALL
+  SELECT f.source_id, f.book, f.chapter, m.i,
+    CASE WHEN len(list_filter(f.heads, lambda h: h.vs <= m.ve AND m.vs <= h.ve)) = 0 THEN list_append(f.heads, {{'vs': m.vs, 've': m.ve, 'chunk': m.chunk, 'n': 1, 'first': m.line}})
+    ELSE list_transform(f.heads, lambda h, j: CASE WHEN j = list_position(list_transform(f.heads, lambda g: g.vs <= m.ve AND m.vs <= g.ve), true) AND h.chunk <> m.chunk
+      THEN {{'vs': CASE WHEN m.ve - m.vs < h.ve - h.vs THEN m.vs ELSE h.vs END, 've': CASE WHEN m.ve - m.vs < h.ve - h.vs THEN m.ve ELSE h.ve END, 'chunk': m.chunk, 'n': h.n + 1, 'first': h.first}}
+      ELSE h END) END
+  FROM fold f JOIN mk m ON m.source_id = f.source_id AND m.book = f.book AND m.chapter = f.chapter AND m.i = f.i + 1),
+whole AS (SELECT source_id, book, chapter, unnest(heads) AS h FROM (SELECT *, row_number() OVER (PARTITION BY source_id, book, chapter ORDER BY i DESC) AS rn FROM fold) WHERE rn = 1),
+sus AS (SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY h.first) - 1 AS INTEGER) AS place, book, chapter, h.vs AS vs, h.ve AS ve FROM whole WHERE h.n >= LEAST_CHUNKS)"""
+LEAST = 4
+SUSTAINED = f"WITH RECURSIVE {_FOLDED} SELECT * FROM sus".replace("LEAST_CHUNKS", str(LEAST))
+
+_BRIDGED = """a AS (SELECT source_id // 10 AS question, source_id % 10 AS sr, place, book, chapter, vs, ve FROM sus),
+ak AS (SELECT *, row_number() OVER (PARTITION BY question, book, chapter ORDER BY sr, place) AS i FROM a),
+bf(question, book, chapter, i, taken) AS (
+  SELECT question, book, chapter, i, [{'sr': sr, 'place': place, 'vs': vs, 've': ve}] FROM ak WHERE i = 1
+  UNION ALL
+  SELECT b.question, b.book, b.chapter, k.i, CASE WHEN len(list_filter(b.taken, lambda t: t.vs <= k.ve AND k.vs <= t.ve)) > 0 THEN b.taken ELSE list_append(b.taken, {'sr': k.sr, 'place': k.place, 'vs': k.vs, 've': k.ve}) END
+  FROM bf b JOIN ak k ON k.question = b.question AND k.book = b.book AND k.chapter = b.chapter AND k.i = b.i + 1),
+bt AS (SELECT question, book, chapter, unnest(taken) AS t FROM (SELECT *, row_number() OVER (PARTITION BY question, book, chapter ORDER BY i DESC) AS rn FROM bf) WHERE rn = 1)"""
+BRIDGES = f"WITH RECURSIVE {_FOLDED}, {_BRIDGED} SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY t.sr, t.place) - 1 AS INTEGER) AS rank, book, chapter, t.vs AS vs, t.ve AS ve FROM bt".replace("LEAST_CHUNKS", str(LEAST))
+
+
+def aside_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Each question has hits in ten sources, two chunks each; even ones ask for a chapter, odd ones for nothing."""
+    chunks = _chunks(spark, d)
+    hits = chunks.filter("chunk < 2").select((F.col("source_id") / 10).cast("bigint").alias("question"), (F.col("source_id") % 10 + 10 * F.col("chunk")).alias("place"), "source_id", (1.0 / (F.col("source_id") % 7 + F.col("chunk") + 1)).alias("score"), F.lit("talk").alias("citation"), "primary", "refs")
+    groups = links.grouped_hits(hits)
+    chapter = F.struct(F.lit("EXO").alias("book"), F.lit(2).alias("chapter"), F.lit(None).cast("int").alias("vs"), F.lit(None).cast("int").alias("ve"))
+    asked = groups.select("question").distinct().withColumn("asked", F.when(F.col("question") % 2 == 0, F.array(chapter)).otherwise(F.filter(F.array(chapter), lambda x: F.lit(False))))
+    return links.aside_refs(groups, links.sustained_mentions(chunks, LEAST), asked)
+
+
+ASIDES = f"""WITH RECURSIVE {_FOLDED},
+g AS (SELECT source_id // 10 AS question, source_id, CAST(row_number() OVER (PARTITION BY source_id // 10 ORDER BY 1.0 / (source_id % 7 + 1) DESC, source_id % 10) - 1 AS INTEGER) AS source_rank FROM (SELECT DISTINCT source_id FROM lines))
+SELECT g.question, g.source_id, g.source_rank, s.place, s.book, s.chapter, s.vs, s.ve FROM g JOIN sus s USING (source_id)
+WHERE CASE WHEN g.question % 2 = 0 THEN s.book = 'EXO' AND s.chapter = 2
+  ELSE EXISTS (SELECT 1 FROM lines l WHERE l.source_id = s.source_id AND l.line < {2 * SIZE} AND l.book = s.book AND l.chapter = s.chapter AND l.vs <= s.ve AND s.vs <= l.ve) END""".replace("LEAST_CHUNKS", str(LEAST))
+
+
 def _related(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = _lines(spark, d)
     asked = lines.filter("line < 3").select(F.col("source_id").alias("question"), F.col("line").alias("rank"), "book", "chapter", "vs", "ve")
@@ -211,6 +256,6 @@ s AS (SELECT source_id, string_agg(r, '|' ORDER BY line) AS p FROM b GROUP BY so
 SELECT o.source_id, coalesce(s.p, o.r) AS primary_refs FROM o LEFT JOIN s USING (source_id)"""
 
 QUERIES = [
-    (ref_format, REF_FORMAT), (ref_parse, REF_PARSE), (ref_extract, REF_EXTRACT), (ref_pack, REF_PACK), (ref_overlap_join, REF_OVERLAP), (sustained_mentions, None), (bridge_refs, None),
+    (ref_format, REF_FORMAT), (ref_parse, REF_PARSE), (ref_extract, REF_EXTRACT), (ref_pack, REF_PACK), (ref_overlap_join, REF_OVERLAP), (sustained_mentions, SUSTAINED), (bridge_refs, BRIDGES), (aside_refs, ASIDES),
     (related_sources, RELATED), (best_window, BEST_WINDOW), (cross_links, CROSS_LINKS), (ref_boost, REF_BOOST), (opening_primary, OPENING),
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,46 @@ SCHEMA = (
 )
 
 
+def replace_folder(spark: SparkSession, live: str, rebuilt: str) -> None:
+    """Put a finished folder in the place of another one. The old one stands aside (hidden from readers) until the new one is in
+    place, and comes back if that fails."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old = path(rebuilt), path(live)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = path(old.getParent(), ".before-" + old.getName().replace("=", "-"))
+    if fs.exists(aside) and fs.exists(old):
+        fs.delete(aside, True)
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"{live} can't be moved aside")
+    try:
+        if not fs.exists(new) or not fs.rename(new, old):
+            raise OSError(f"{rebuilt} can't be moved to {live}")
+    except Exception:
+        if fs.exists(aside) and not fs.exists(old):
+            fs.rename(aside, old)
+        raise
+    fs.delete(aside, True)
+
+
+def write_manifest(spark: SparkSession, path: str, model: str, revision: str, dimension: int, counts: dict[str, int], **more: str) -> None:
+    """One row of JSON that says which model made an index and what is in it."""
+    from tillage.operators.bundle import model_fingerprint
+
+    row = {"model": model, "revision": revision, "dimension": dimension, "fingerprint": model_fingerprint(model, revision, dimension), "counts": counts, **more}
+    spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest, None where there is none."""
+    try:
+        found = spark.read.text(path).head(1)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    return json.loads(found[0]["value"]) if found else None
+
+
 class PassageStore:
     """Appends, replacements and scans of passages under a path that all executors see."""
 
@@ -30,8 +72,14 @@ class PassageStore:
         return self.spark.read.schema(SCHEMA).parquet(self.path) if self.exists() else self.spark.createDataFrame([], SCHEMA)
 
     def add(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """Append chunks with their vectors (id, vector); a chunk without a vector is an error."""
-        both = chunks.join(vectors, "id", "left").withColumn("vector", F.coalesce("vector", F.raise_error(F.concat(F.lit("no vector for "), "id")).cast("array<float>")))
+        """Append chunks with their vectors (id, vector). A chunk without a vector, a vector without a chunk and an id with
+        several vectors or chunks are errors."""
+        one = vectors.groupBy("id").agg(F.first("vector").alias("vector"), F.count("*").alias("_n"))
+        per = chunks.groupBy("id").agg(F.count("*").alias("_m"))
+        wrong = per.join(one, "id", "full").filter("coalesce(_n, 0) <> 1 or coalesce(_m, 0) <> 1").select("id", "_n").head(1)
+        if wrong:
+            raise ValueError(f"no vector for {wrong[0]['id']}" if wrong[0]["_n"] is None else f"chunks and vectors don't match at {wrong[0]['id']}")
+        both = chunks.join(one.drop("_n"), "id", "left").withColumn("vector", F.coalesce("vector", F.raise_error(F.concat(F.lit("no vector for "), "id")).cast("array<float>")))
         names = [c.strip().split()[0] for c in SCHEMA.split(", ")]
         kinds = dict(c.strip().split(" ", 1) for c in SCHEMA.split(", "))
         rows = both.select(*[(F.col(c) if c in both.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
@@ -39,16 +87,14 @@ class PassageStore:
 
     def replace_sources(self, source_ids: DataFrame, staging: str) -> None:
         """Drop all passages of the given sources, in every collection. Only the partitions that hold one are rewritten, by
-        way of a staging folder, as a partition can't be read and overwritten at once; one that is left with nothing keeps
-        an empty file."""
+        way of a staging folder that is then moved into its place; one that is left with nothing keeps an empty file."""
         gone = source_ids.select("source_id").distinct()
         hit = self.table().join(gone, "source_id", "left_semi").select("collection").distinct()
         touched = [r["collection"] for r in hit.collect()]  # collections are few
         for i, collection in enumerate(touched):
             rows = self.table().filter(F.col("collection") == collection).join(gone, "source_id", "left_anti").drop("collection")
             rows.write.mode("overwrite").parquet(f"{staging}/{i}")
-            kept = self.spark.read.schema(rows.schema).parquet(f"{staging}/{i}")
-            kept.write.mode("overwrite").parquet(f"{self.path}/collection={collection}")
+            replace_folder(self.spark, f"{self.path}/collection={collection}", f"{staging}/{i}")
 
     def scan(self, collection: str, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """A collection's passages; filter and columns reach the Parquet scan."""

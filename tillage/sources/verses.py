@@ -36,6 +36,20 @@ def from_lines(spark: SparkSession, path: str) -> DataFrame:
     return _kept(rows.select(F.coalesce("book_id", book_code(F.col("book"))).alias("book"), "chapter", "verse", "text", "verse_end"))
 
 
+def find_source(spark: SparkSession, folder: str, configured: str | None = None) -> str | None:
+    """The configured file if it is there, else the folder's first .json by name, else its first .jsonl, else None."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if configured and path(configured).getFileSystem(conf).exists(path(configured)):
+        return configured
+    for ending in (".json", ".jsonl"):
+        found = path(folder).getFileSystem(conf).globStatus(path(folder, "*" + ending)) or []
+        names = sorted(f.getPath().toString() for f in found if f.isFile())
+        if names:
+            return names[0]
+    return None
+
+
 def read_verses(spark: SparkSession, path: str) -> DataFrame:
     """Whichever shape a file has: .jsonl holds lines; else a map or an array, told by its first character."""
     if path.endswith(".jsonl"):

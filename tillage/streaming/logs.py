@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tillage.operators.state import latest_per_key
 
 
-def follow_latest(spark: SparkSession, source: str, schema: StructType, key: str, seq: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Take in the JSON-lines files that are new in source, and keep the latest record of each key by seq under target.
-
-    A batch writes version `batch` of the table from version `batch - 1`, so a batch that runs again
-    after a failure gives the same version. Run it as often as there is news; it stops when all is taken in.
+BUCKETS = 64
+
+
+def latest_table(spark: SparkSession, target: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The table that follow_latest keeps, with bucket: of each bucket its last version (before a given one). Only names of folders are
+    compared to find them."""
+    empty = spark.createDataFrame([], schema).withColumn("bucket", F.lit(0))
+    try:
+        files = spark.read.schema(schema).parquet(target).inputFiles()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return empty
+        raise
+    found = {(int(m[2]), int(m[1])) for f in files if (m := re.search(r"/version=(\d+)/bucket=(\d+)/", f))}
+    last: dict[int, int] = {}
+    for bucket, version in sorted(found):
+        if before is None or version < before:
+            last[bucket] = version
+    if not last:
+        return empty
+    paths = [f"{target}/version={v}/bucket={b}" for b, v in sorted(last.items())]
+    with_bucket = StructType([*schema.fields, StructField("bucket", IntegerType())])
+    return spark.read.schema(with_bucket).option("basePath", target).parquet(*paths).select(*schema.names, "bucket")
+
+
+def follow_latest(spark: SparkSession, source: str, schema: StructType, key: str, seq: str, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Take in the JSON-lines files that are new in source, and keep the latest record of each key by seq under target (see latest_table).
+
+    Keys are dealt to buckets by a hash. A batch writes, as its version, the buckets that it has news for and leaves the others as they are; it reads
+    earlier versions only, so a batch that runs again after a failure gives the same. Run it as often as there is news; it stops when all is taken in.
     """
-
     def fold(rows: DataFrame, batch: int) -> None:
-        valid = rows.filter(F.col(key).isNotNull())
-        before = spark.read.schema(schema).parquet(f"{target}/version={batch - 1}") if batch else spark.createDataFrame([], schema)
-        latest_per_key(before.unionByName(valid), key, seq).write.mode("overwrite").parquet(f"{target}/version={batch}")
+        valid = rows.filter(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in valid.select("bucket").distinct().collect()]
+        if touched:
+            before = latest_table(spark, target, schema, batch).filter(F.col("bucket").isin(touched))
+            latest_per_key(before.unionByName(valid), key, seq).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={batch}")
 
     lines = spark.readStream.schema(schema).option("mode", "PERMISSIVE").json(source)
     return lines.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
