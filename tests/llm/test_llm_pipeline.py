@@ -37,3 +37,13 @@ def test_registry():
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(names)
     assert langid.UNKNOWN == "und"
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    """Every stage takes an empty table, and empty labels, and keeps the columns."""
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, shard int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.count() == 0
+        assert name == "sentencepiece_encode" or got.columns == docs.columns
