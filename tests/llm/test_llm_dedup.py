@@ -183,6 +183,38 @@ def test_near_copies_brute(spark):
     assert ids.count(None) == 2 and sorted(i for i in ids if i is not None) == sorted(set(texts) - found)
 
 
+def test_apart_pairs_brute(spark):
+    """Texts that share most of their words and aren't similar leave few pairs; of those that are similar none that meets is lost."""
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(90):
+        copy = list(base)
+        for at in rnd.sample(range(150), 3):
+            copy[at] = f"x{i}_{at}"
+        texts.append(" ".join(copy))
+        if i % 6 == 0:
+            copy[rnd.randrange(150)] = f"y{i}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(f"s{k}" for k in range(i, i + 9)) for i in range(3)] + ["same"] * 2
+    rows_in = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = simhash.wide_fingerprints(rows_in)
+    met = simhash.meetings(simhash.postings(found)).cache()
+    labels = spark.createDataFrame([(len(texts) - 1, len(texts) - 2)], "node long, component long")
+    opened = simhash.open_entries(met, labels).cache()
+    got = {(r.a, r.b) for r in simhash.apart_pairs(opened, simhash.fine_fingerprints(rows_in)).collect()}
+    entries = {}
+    for r in met.collect():
+        entries.setdefault(r.entry, set()).add(r.id)
+    meeting = {(a, b) for ids in entries.values() for a in ids for b in ids if a < b}
+    sets = [simhash.shingles(t) for t in texts]
+    want = {(a, b) for a, b in meeting if b < len(texts) - 2 and simhash.similar(sets[a], sets[b])}
+    assert len(want) >= 12 and want <= got <= meeting and len(meeting) > 1000 and len(got) < 0.2 * len(meeting)
+    assert all(simhash.similar(sets[a], sets[b], (13, 20)) for a, b in got)  # no pair far below 4/5 leaves a task
+    assert not any(len(texts) - 1 in p and len(texts) - 2 in p for p in got)
+    assert simhash.apart_pairs(opened.limit(0), simhash.fine_fingerprints(rows_in)).count() == 0
+
+
 def test_repeated_ids(spark):
     """A doc_id with several texts is one document in both senses of a copy, and the row that stays is always the same."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")

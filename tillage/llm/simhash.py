@@ -214,9 +214,17 @@ WIDE_ENTRIES = 256
 #: Bits in which the fingerprints of a pair may differ: 4/5 makes an angle of 27.3 degrees, so 15.2 % of the bits (77.6 of 512)
 #: with a standard deviation of 8.1; four deviations more.
 WIDE_BITS = 110
+#: Bytes of the longer fingerprint that tells apart what no hub has joined, and the bits of it in which a pair may differ. A similarity of 4/5
+#: makes up to 15.6 % of the bits, and up to 18.8 % (by exact sums) where a set has fewer than FINE_LEAST shingles; three and a half deviations more.
+FINE_BYTES = 384
+FINE_BITS, FINE_BITS_FEW, FINE_LEAST = 550, 668, 24
+#: Postings of a bucket, which gets one longer fingerprint of each of its documents; entries have numbers below ENTRY_SPAN.
+BUCKET_ROWS = 1 << 14
+ENTRY_SPAN = 1 << 33
 #: Documents whose entries leave a task as one batch.
 BATCH_DOCS = 256
 _SPREAD = np.random.default_rng(64).integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_SPREAD = np.random.default_rng(FINE_BYTES).integers(0, 1 << 63, FINE_BYTES // 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, words: int = NEAR_WORDS) -> set[bytes]:
@@ -245,12 +253,12 @@ def shingle_hashes(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """The SimHash of a set of shingles, given as numbers, in WIDE_BYTES bytes: eight bytes come from each of their
-    products with fixed odd numbers, mixed."""
-    ones = np.zeros(WIDE_BYTES * 8, np.int64)
+def wide_fingerprint(h: np.ndarray, spread: np.ndarray = _SPREAD) -> np.ndarray:
+    """The SimHash of a set of shingles, given as numbers: eight bytes come from each of their products with the odd
+    numbers of spread, mixed. WIDE_BYTES with those of the index."""
+    ones = np.zeros(len(spread) * 64, np.int64)
     for a in range(0, len(h), 255):
-        x = h[a : a + 255, None] * _SPREAD
+        x = h[a : a + 255, None] * spread
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
@@ -362,28 +370,74 @@ def other_hubs(hubs: DataFrame, joined: DataFrame) -> DataFrame:
     return _as_pairs(both.filter(F.coalesce("id_of", "id") != F.coalesce("hub_of", "hub")))
 
 
-def apart_pairs(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """(a, b): classes that meet in an entry, whose sizes allow the similarity and that joined leaves apart."""
+def open_entries(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """(entry, id, n, label): the postings of entries whose members joined leaves apart; label is the component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, ids, n, label), bounds in _runs(batches):
-            n, a, b, held = n.astype(np.int64), [], [], 0
+        for columns, bounds in _runs(batches):
+            least, most = (f.reduceat(columns[3], bounds[:-1]) for f in (np.minimum, np.maximum))
+            kept = np.repeat(least < most, np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["entry", "id", "n", "label"])
+
+    labelled = met.join(joined, met["id"] == joined["node"], "left").select("entry", "id", "n", F.coalesce("component", "id").alias("label"))
+    return _by_entry(labelled).mapInArrow(run, "entry bigint, id bigint, n int, label bigint")
+
+
+def fine_fingerprints(texts: DataFrame) -> DataFrame:
+    """(id, fine) of texts (id, text): the longer fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, len(b), BATCH_DOCS):
+                part = b.slice(a, BATCH_DOCS)
+                found = [wide_fingerprint(shingle_hashes(t), _FINE_SPREAD).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], names=["id", "fine"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, fine binary")
+
+
+def _close(fine: np.ndarray, n: np.ndarray, label: np.ndarray, i: int) -> np.ndarray:
+    """The members of an entry after the i-th that have another label, and a size and a fingerprint that allow the similarity."""
+    where = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & _size_allows(n[i + 1 :], n[i]))
+    apart = np.bitwise_count(fine[where] ^ fine[i]).sum(1, dtype=np.int64)
+    return where[apart <= np.where(np.minimum(n[where], n[i]) < FINE_LEAST, FINE_BITS_FEW, FINE_BITS)]
+
+
+def apart_pairs(opened: DataFrame, fine: DataFrame) -> DataFrame:
+    """(a, b): classes that meet in an open entry and have other labels, where sizes and longer fingerprints allow the similarity.
+
+    Entries are dealt to buckets, whose number follows the postings. A bucket gets each of its documents' fingerprints once, ahead of the
+    entries, so pairs are compared where they meet and only likely ones leave a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, prints, a, b, held = np.zeros(0, np.int64), np.zeros((0, FINE_BYTES // 8), np.uint64), [], [], 0
+        for (key, ids, n, label, found), bounds in _runs(batches):
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if (label[lo:hi] == label[lo]).all():
+                if key[lo] % ENTRY_SPAN == 0:
+                    known, prints = ids[lo:hi], np.frombuffer(b"".join(found[lo:hi]), np.uint64).reshape(hi - lo, -1)
                     continue
-                for i in range(lo, hi - 1):
-                    where = i + 1 + np.flatnonzero((label[i + 1 : hi] != label[i]) & _size_allows(n[i + 1 : hi], n[i]))
-                    a.append(np.full(len(where), ids[i]))
-                    b.append(ids[where])
+                members, sizes = ids[lo:hi], n[lo:hi].astype(np.int64)
+                mine = prints[np.searchsorted(known, members)]
+                for i in range(hi - lo - 1):
+                    where = _close(mine, sizes, label[lo:hi], i)
+                    a.append(np.full(len(where), members[i]))
+                    b.append(members[where])
                     held += len(where)
-                    if held > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                        a, b, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    labelled = met.join(joined, met["id"] == joined["node"], "left").select("entry", "id", "n", F.coalesce("component", "id").alias("label"))
-    return _by_entry(labelled).mapInArrow(run, "a bigint, b bigint").distinct()
+                if held > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    a, b, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    buckets = opened.count() // BUCKET_ROWS + 1
+    dealt = opened.withColumn("bucket", F.pmod(F.xxhash64("entry"), F.lit(buckets)))
+    first = F.col("bucket") * F.lit(ENTRY_SPAN)
+    prints = dealt.select("bucket", "id").distinct().join(fine, "id")
+    ahead = prints.select("bucket", first.alias("key"), "id", F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("label"), "fine")
+    entries = dealt.select("bucket", (first + F.col("entry") + 1).alias("key"), "id", "n", "label", F.lit(None).cast("binary").alias("fine"))
+    rows = ahead.unionByName(entries).repartition("bucket").sortWithinPartitions("key", "id")
+    return rows.select("key", "id", "n", "label", "fine").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def counted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -429,8 +483,9 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     fingerprints that meet in an entry have shared that many, their tally is taken over all WIDE_BYTES positions, their bits
     are compared and then the texts themselves, so no pair is linked falsely. At a similarity of 0.8 a pair of one size meets in an
     entry with a probability of 0.93, at 0.82 of 0.97, at 0.85 of 0.99 and at 0.9 of 0.9995 (by simulation); what doesn't meet isn't found. Each is first compared with the one that meets most others of all in its entries, then, where
-    they are still apart, with that of each entry; what this leaves apart is compared pair by pair. So a large cluster of
-    copies around one text costs its size and not the square of it, and gives a link for each of its texts.
+    they are still apart, with that of each entry; what this leaves apart is compared pair by pair, first by a longer
+    fingerprint within the entry. So a large cluster of copies around one text costs its size and not the square of it, and gives a link
+    for each of its texts.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id is not null")
     fps = written(wide_fingerprints(rows), "wide-fingerprints")
@@ -442,7 +497,9 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     links = written(verified(best_hub(hubs), texts, alone), "hub-links")
     more = verified(other_hubs(hubs, connected_components(links)), texts, alone)
     links = written(links.unionByName(more), "hub-links")
-    rest = written(apart_pairs(met, connected_components(links)).join(_as_pairs(hubs), ["a", "b"], "left_anti"), "apart-pairs")
+    opened = written(open_entries(met, connected_components(links)), "open-entries")
+    fine = written(fine_fingerprints(texts.join(opened.select("id").distinct(), "id", "left_semi")), "fine-fingerprints")
+    rest = written(apart_pairs(opened, fine).join(_as_pairs(hubs), ["a", "b"], "left_anti"), "apart-pairs")
     several = fps.groupBy("id").agg(F.count_distinct("n", "bits").alias("texts")).filter("texts > 1").select("id")
     of_doc = fps.select("id", "n", "bits").distinct().join(classes.withColumnRenamed("id", "first"), ["n", "bits"]).select("id", "first")
     own = of_doc.join(several, "id", "left_semi").select(F.col("id").alias("a"), F.col("first").alias("b"))
