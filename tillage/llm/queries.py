@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.llm import flac, langid, licenses, mixing, quality, rangejoin, rans, simhash, spiece, toxicity
+from tillage.llm import flac, langid, licenses, maintext, mixing, periodic, quality, rangejoin, rans, simhash, spiece, toxicity, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.yinyang_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id,
@@ -66,6 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_byte_index,
         op9_sentencepiece_trie,
         op10_source_mix,
+        op11_periodic_runs,
+        op12_yinyang_clusters,
+        op13_main_text,
     )}
 
 
@@ -119,4 +134,9 @@ FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN ss USING (doc_id) LEFT JOIN al USIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_range_join": OP6_SQL, "op7_license_index": _op7_sql()}
+    return {
+        "op6_embedding_range_join": OP6_SQL,
+        "op7_license_index": _op7_sql(),
+        "op12_yinyang_clusters": yinyang.SQL,
+        "op13_main_text": maintext.SQL,
+    }
