@@ -298,3 +298,28 @@ def test_bounded_sample(spark):
     first = {r.k for r in bounded_sample(rows, "g", "k", 100, seed=1).filter("g = 'big'").collect()}
     want = rows.filter("g = 'big'").distinct().orderBy(F.xxhash64("k", F.lit(1))).limit(100).collect()
     assert first == {r.k for r in want}
+
+
+@pytest.mark.parametrize("times", [1, 40, 2000])
+def test_bounded_sample_whatever_the_repeats(spark, times):
+    """A group that is nothing but repeats keeps as many keys as without them, as a full sort says."""
+    from tillage.llm.common import bounded_sample
+
+    again = spark.range(50 * times).select(F.lit("again").alias("g"), (F.col("id") % 50).alias("k"))
+    large = spark.range(900).crossJoin(spark.range(min(times, 20)).select()).select(F.lit("large").alias("g"), (F.col("id") + 50).alias("k"))
+    plain = spark.range(300).select(F.lit("plain").alias("g"), (F.col("id") + 5000).alias("k"))
+    rows = again.unionByName(large).unionByName(plain)
+    got = {(r.g, r.k) for r in bounded_sample(rows, "g", "k", 60, seed=4).select("g", "k").collect()}
+    want = set()
+    for g in ("again", "large", "plain"):
+        want |= {(r.g, r.k) for r in rows.filter(F.col("g") == g).distinct().orderBy(F.xxhash64("k", F.lit(4)), "k").limit(60).collect()}
+    assert got == want and sum(g == "again" for g, _ in got) == 50
+
+
+def test_language_of_a_few_documents_repeated_is_learned(spark, docs):
+    """40 documents of one language, each 500 times, beside 400 of others."""
+    few = docs.filter("lang = 'de' and n_chars > 200").orderBy("doc_id").limit(40)
+    others = docs.filter("lang <> 'de' and n_chars > 200").orderBy("doc_id").limit(400)
+    got = langid.identify(few.crossJoin(spark.range(500).select()).unionByName(others)).join(docs.select("doc_id", "lang"), "doc_id")
+    share = {r.lang: r.right for r in got.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right")).collect()}
+    assert len(share) > 2 and share["de"] > 0.95 and min(share.values()) > 0.9

@@ -51,12 +51,13 @@ MOST_GROUPS = 10_000
 def bounded_sample(rows: DataFrame, group: str, key: str, per_group: int, seed: int) -> DataFrame:
     """rows with _hash, at most per_group distinct ones of each group: those with the smallest hashes of key, repeatable.
 
-    Groups are counted first. Of a large one only the rows whose hash lies in a share that holds about twice
-    per_group rows are ranked, so no task gathers a group however large it is. Rows that are equal count once.
+    The different keys of each group are estimated first, within a few hundredths; repeats of a key don't count. Of a large group only the rows
+    whose hash lies in a share that holds about twice per_group keys are ranked, so no task gathers a group however large it is, and no group
+    gets fewer than min(per_group, its keys). Rows that are equal count once.
     """
     hashed = rows.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
-    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), "_group").limit(MOST_GROUPS)
-    share = F.coalesce((2.0 * per_group + 64) / F.col("_size"), F.lit(1.0))
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.approx_count_distinct(key).alias("_size")).orderBy(F.desc("_size"), "_group").limit(MOST_GROUPS)
+    share = F.coalesce((2.0 * per_group + 64) / F.greatest("_size", F.lit(1)), F.lit(1.0))
     near = hashed.join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_group")), "left").filter(F.col("_hash") / float(1 << 64) + 0.5 < share)
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_hash", key))
     return near.drop("_group", "_size").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= per_group).drop("_rank")
