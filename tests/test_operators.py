@@ -338,9 +338,9 @@ def test_stream_fold(spark, tmp_path):
     go()
     (src / "3.json").write_text('{"id":"c","step":"z","seq":4}\n{"id":"b","step":"old","seq":1}\n')
     go()
-    table = latest_table(spark, str(tmp_path / "t"), StructType.fromDDL("id string, step string, seq int"))
+    table = latest_table(spark, str(tmp_path / "t"), StructType.fromDDL("id string, step string, seq int"), "id", "seq")
     assert {r.id: r.step for r in table.collect()} == {"a": "y", "b": "x", "c": "z"} and table.count() == 3
-    assert latest_table(spark, str(tmp_path / "none"), StructType.fromDDL("id string, step string, seq int")).count() == 0
+    assert latest_table(spark, str(tmp_path / "none"), StructType.fromDDL("id string, step string, seq int"), "id", "seq").count() == 0
 
 
 def test_crawl(spark):
