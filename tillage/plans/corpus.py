@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillage.functions import text as T
 from tillage.functions import urls as U
-from tillage.operators import bundle, chunking, html
+from tillage.operators import bundle, chunking, html, robots
 from tillage.sources import verses
 
 
@@ -291,9 +291,32 @@ WITH n AS (SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) * CAST(power(1
 SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.1f B', n / 1.0::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE)
   WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', n / 1099511627776.0::DOUBLE) END AS size FROM n"""
 
+def _robots(spark: SparkSession, d: str) -> DataFrame:
+    """A robots file for each host of pages, with rules made from its own paths."""
+    u = F.col("url")
+    ends = _t(spark, d, "pages").groupBy(robots.host_of(u).alias("host")).agg(F.min(U.path(u)).alias("a"), F.max(U.path(u)).alias("z"))
+    general = F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-Agent: *\nUser-agent: third\nAllow: /en/7 # seven\nDisallow: /*.html$\nDisallow:\nCrawl-delay: 3\nDisallow: /fr\nDisallow: /*?*utm_source\nAllow: "), "a", F.lit("\nDisallow: "), "z", F.lit("$\nSitemap: /x\n"))
+    own = F.concat(general, F.lit("User-agent: Tillage\nDisallow: /de\nDisallow: /*/3\nAllow: /*?page=\nDisallow: "), F.col("a"), F.lit("\n"))
+    return ends.select("host", F.when(F.col("host").startswith("blog."), own).otherwise(general).alias("body"))
+
+
+def robots_rules(spark: SparkSession, d: str) -> DataFrame:
+    return robots.with_verdicts(_t(spark, d, "pages").select("page_id", "url"), _robots(spark, d), "tillage")
+
+
+ROBOTS_RULES = r"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query FROM pages),
+h AS (SELECT host, min(path) AS a, max(path) AS z, starts_with(host, 'blog.') AS own FROM p GROUP BY host),
+r AS (SELECT host, unnest(CASE WHEN own THEN [{'allow': false, 'pattern': '/de'}, {'allow': false, 'pattern': '/*/3'}, {'allow': true, 'pattern': '/*?page='}, {'allow': false, 'pattern': a}]
+  ELSE [{'allow': true, 'pattern': '/en/7'}, {'allow': false, 'pattern': '/*.html$'}, {'allow': false, 'pattern': '/fr'}, {'allow': false, 'pattern': '/*?*utm_source'}, {'allow': true, 'pattern': a}, {'allow': false, 'pattern': z || '$'}] END) AS r FROM h),
+m AS (SELECT page_id, r.pattern, r.allow, row_number() OVER (PARTITION BY page_id ORDER BY length(r.pattern) DESC, r.allow DESC) AS k FROM p JOIN r USING (host)
+  WHERE regexp_matches(path || query, '^' || replace(regexp_escape(regexp_replace(r.pattern, '\$$', '')), '\*', '.*') || CASE WHEN r.pattern LIKE '%$' THEN '$' ELSE '' END))
+SELECT p.page_id, p.url, coalesce(m.allow, true) AS allowed, m.pattern AS rule FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1"""
+
+
 QUERIES = [
     (token_counts, TOKEN_COUNTS), (sentence_split, SENTENCE_SPLIT), (fingerprint_dedupe, FINGERPRINT_DEDUPE), (talk_windows, None), (page_pack, None),
     (belief_sections, BELIEF_SECTIONS), (verse_windows, VERSE_WINDOWS), (first_dates, FIRST_DATES), (canonical_urls, CANONICAL), (canonical_queries, CANONICAL_QUERIES), (url_classes, URL_CLASSES),
-    (frontier, FRONTIER), (dedup_keys, DEDUP_KEYS), (html_title, HTML_TITLE), (html_links, HTML_LINKS), (html_sections, None), (manifest_verify, MANIFEST_VERIFY),
+    (frontier, FRONTIER), (robots_rules, ROBOTS_RULES), (dedup_keys, DEDUP_KEYS), (html_title, HTML_TITLE), (html_links, HTML_LINKS), (html_sections, None), (manifest_verify, MANIFEST_VERIFY),
     (verse_map, VERSE_MAP), (verse_array, VERSE_ARRAY), (book_gate, BOOK_GATE), (human_sizes, HUMAN_SIZES),
 ]
