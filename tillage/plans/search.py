@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.operators import bundle, retrieval
+from tillage.operators import bundle, encode, retrieval
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -130,7 +130,14 @@ def index_counts(spark: SparkSession, d: str) -> DataFrame:
 INDEX_COUNTS = """SELECT c AS collection, count(e.vec_id) AS n FROM (VALUES ('scripture', 0), ('beliefs', 1), ('talks', 2), ('spare', 9)) AS t(c, k)
 LEFT JOIN embeddings e ON e.label % 3 = k GROUP BY c"""
 
+def text_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A vector of each document, by an encoder learned from all of them."""
+    docs = _t(spark, d, "documents")
+    return encode.fit_encoder(docs).encode(docs, "doc_id")
+
+
 QUERIES = [
+    (text_vectors, None),
     (vector_topk, VECTOR_TOPK), (weighted_topk_by_collection, WEIGHTED), (fit_context, FIT_CONTEXT), (silence, SILENCE), (citations_distinct, CITATIONS), (prompt_render, PROMPT),
     (multi_query_expansion, None), (index_counts, INDEX_COUNTS),
 ]
