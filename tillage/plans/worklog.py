@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.operators import retrieval, state
+from tillage.streaming import stalls
+from tillage.tables import scratch_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -103,6 +107,25 @@ s AS (SELECT *, coalesce(errors = lag(errors) OVER w AND views = lag(views) OVER
 SELECT CAST(cycle AS VARCHAR) AS cycle, user_id, errors, views, same, bool_and(same) OVER (PARTITION BY user_id ORDER BY cycle ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AND rn > 2 AS stop FROM s"""
 
 
+def stall_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The guard as a stream over events: each event is a cycle of its user."""
+    out = f"{scratch_dir(spark).rstrip('/')}/stall-stream-{uuid.uuid4().hex}"
+    cycles = _t(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    cycles.write.parquet(f"{out}/cycles")  # a folder, which a stream of files needs
+    found = stalls.stall_stream(spark.readStream.schema(cycles.schema).parquet(f"{out}/cycles"), "user_id", "ts", ["event_type"], tie="event_id")
+    with stalls.state_in_rocksdb(spark):
+        stream = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{out}/rows").select("user_id", "event_id", "event_type", "same", "stalled", "stop")
+
+
+STALL_STREAM = """
+WITH s AS (SELECT *, coalesce(event_type = lag(event_type) OVER w, false) AS same FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, count(*) FILTER (NOT same) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT user_id, event_id, event_type, same, CAST(count(*) FILTER (same) OVER w AS INT) AS stalled, count(*) FILTER (same) OVER w >= 2 AS stop FROM g
+WINDOW w AS (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+
+
 def merged_urls(spark: SparkSession, d: str) -> DataFrame:
     from tillage.functions.urls import canonical_path
 
@@ -125,5 +148,5 @@ HISTORY = "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM (SELECT *, row
 
 QUERIES = [
     (log_latest, LOG_LATEST), (log_first, LOG_FIRST), (step_tally, STEP_TALLY), (worklist, WORKLIST), (next_action, NEXT_ACTION), (pending_jobs, PENDING_JOBS),
-    (requeue_missing, REQUEUE), (stall_lag, STALL_LAG), (merged_urls, MERGED_URLS), (history_last6, HISTORY),
+    (requeue_missing, REQUEUE), (stall_lag, STALL_LAG), (stall_stream, STALL_STREAM), (merged_urls, MERGED_URLS), (history_last6, HISTORY),
 ]
