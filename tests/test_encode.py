@@ -65,14 +65,14 @@ def test_index_passages(spark, docs, tmp_path):
     assert again.revision == model.revision and np.array_equal(again.basis, model.basis) and np.array_equal(again.singular, model.singular)
     store, manifest = PassageStore(spark, str(tmp_path / "s")), str(tmp_path / "manifest")
     chunk = lambda i, source, text, kind="talks": (i, text, source, kind)
-    put = lambda n, *rows, m=model: encode.index_passages(store, spark.createDataFrame(list(rows), "id string, text string, source_id string, collection string"), m, str(tmp_path / f"x{n}"), manifest)
-    put(1, chunk("a1", "a", "the of and"), chunk("a2", "a", "in on"), chunk("b1", "b", "with from", "beliefs"))
-    put(2, chunk("a3", "a", "the of and"), chunk("c1", "c", ""))
+    put = lambda *rows, m=model: encode.index_passages(store, spark.createDataFrame(list(rows), "id string, text string, source_id string, collection string"), m, manifest)
+    put(chunk("a1", "a", "the of and"), chunk("a2", "a", "in on"), chunk("b1", "b", "with from", "beliefs"))
+    put(chunk("a3", "a", "the of and"), chunk("c1", "c", ""))
     rows = {r.id: r for r in store.table().collect()}
     assert set(rows) == {"a3", "b1", "c1"} and all(len(r.vector) == 8 for r in rows.values())
     assert read_manifest(spark, manifest)["counts"] == {"talks": 2, "beliefs": 1} and read_manifest(spark, manifest)["revision"] == model.revision
     with pytest.raises(ValueError, match="rebuild"):
-        put(3, chunk("d1", "d", "x"), m=encode.fit_encoder(docs, dimension=9, terms=512))
+        put(chunk("d1", "d", "x"), m=encode.fit_encoder(docs, dimension=9, terms=512))
     with pytest.raises(Exception, match="components"):
         with_checked_dimension(model.encode(store.table()), "vector", 9).collect()
     (tmp_path / "bad").mkdir()

@@ -295,7 +295,7 @@ def test_store(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in "123"], "id string, vector array<float>")
     s.add(chunks, vectors)
     assert s.has_source("talks", "a") and s.scan("beliefs", columns=["id"]).count() == 2
-    s.replace_sources(spark.createDataFrame([("a",)], "source_id string"), str(tmp_path / "stage"))
+    s.replace_sources(spark.createDataFrame([("a",)], "source_id string"))
     assert sorted(r.id for r in s.table().collect()) == ["2"]
     counts = {r.collection: r.n for r in bundle.collection_counts(s.table(), ["talks", "beliefs"]).collect()}
     assert counts == {"talks": 0, "beliefs": 1}

@@ -208,15 +208,14 @@ def fit_encoder(
     return Encoder(idf, basis, np.sqrt(values))
 
 
-def index_passages(store: PassageStore, chunks: DataFrame, encoder: Encoder, staging: str, manifest: str) -> None:
+def index_passages(store: PassageStore, chunks: DataFrame, encoder: Encoder, manifest: str) -> None:
     """Put chunks (id, text, source_id and the store's other columns) into the store with their vectors, in the place of what it
-    has of their sources. A store that another model filled is refused, as is a vector of another size.
+    has of their sources, in one version. A store that another model filled is refused, as is a vector of another size.
     """
     spark = chunks.sparkSession
     assert_same_model(read_manifest(spark, manifest), MODEL, encoder.revision, encoder.dimension)
     rows = kept_table(chunks, "chunks")
     vectors = kept_table(with_checked_dimension(encoder.encode(rows), "vector", encoder.dimension), "vectors")
-    store.replace_sources(rows.select("source_id"), staging)
-    store.add(rows, vectors)
+    store.put(rows, vectors)
     counts = {r["collection"]: r["count"] for r in store.table().groupBy("collection").count().collect()}  # collections are few
     write_manifest(spark, manifest, MODEL, encoder.revision, encoder.dimension, counts)

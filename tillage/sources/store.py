@@ -1,4 +1,4 @@
-"""A passage table in Parquet, one partition for each collection, so that a collection's filter prunes files."""
+"""A passage table in Parquet, with versions and a partition for each collection, so that a collection's filter prunes files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillage.sources.versions import Versions, partition_value
+
 SCHEMA = (
     "id string, text string, title string, citation string, url string, date string, speaker string, series string, campus string, book_id string, "
     "chapter int, verse_start int, verse_end int, scripture_refs array<string>, primary_refs array<string>, source_id string, vector array<float>, collection string"
@@ -54,25 +56,21 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
 
 
 class PassageStore:
-    """Appends, replacements and scans of passages under a path that all executors see."""
+    """Appends, replacements and scans of passages under a path that all executors see. Each change is one version of the table (see
+    `versions`): readers see it whole or not at all, and writers that meet don't lose each other's."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.versions = spark, Versions(spark, path)
 
     def exists(self) -> bool:
-        try:
-            return bool(self.spark.read.format("parquet").load(self.path).schema)
-        except Exception as e:  # an absent or empty folder is an empty table
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return False
-            raise
-
-    def table(self) -> DataFrame:
-        """All passages; columns that older files lack are empty."""
-        return self.spark.read.schema(SCHEMA).parquet(self.path) if self.exists() else self.spark.createDataFrame([], SCHEMA)
-
-    def add(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """Append chunks with their vectors (id, vector). A chunk without a vector, a vector without a chunk and an id with
+        return self.versions.newest() > 0
+
+    def table(self, version: int | None = None) -> DataFrame:
+        """All passages of a version, the newest if none is named; columns that older files lack are empty."""
+        return self.versions.read(SCHEMA, version)
+
+    def _rows(self, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+        """chunks with their vectors (id, vector). A chunk without a vector, a vector without a chunk and an id with
         several vectors or chunks are errors."""
         one = vectors.groupBy("id").agg(F.first("vector").alias("vector"), F.count("*").alias("_n"))
         per = chunks.groupBy("id").agg(F.count("*").alias("_m"))
@@ -82,19 +80,34 @@ class PassageStore:
         both = chunks.join(one.drop("_n"), "id", "left").withColumn("vector", F.coalesce("vector", F.raise_error(F.concat(F.lit("no vector for "), "id")).cast("array<float>")))
         names = [c.strip().split()[0] for c in SCHEMA.split(", ")]
         kinds = dict(c.strip().split(" ", 1) for c in SCHEMA.split(", "))
-        rows = both.select(*[(F.col(c) if c in both.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
-        rows.write.partitionBy("collection").mode("append").parquet(self.path)
-
-    def replace_sources(self, source_ids: DataFrame, staging: str) -> None:
-        """Drop all passages of the given sources, in every collection. Only the partitions that hold one are rewritten, by
-        way of a staging folder that is then moved into its place; one that is left with nothing keeps an empty file."""
+        return both.select(*[(F.col(c) if c in both.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+
+    def add(self, chunks: DataFrame, vectors: DataFrame) -> int:
+        """Append chunks with their vectors; gives the version."""
+        new = self.versions.write(self._rows(chunks, vectors), "collection")
+        return self.versions.change(lambda base: self.versions.folders(base) + new)
+
+    def _without(self, base: int, gone: DataFrame) -> list[str]:
+        """The folders of a version without all passages of some sources; only collections that hold one are written anew."""
+        folders, rows = self.versions.folders(base), self.table(base)
+        if not folders:
+            return folders
+        hit = [r["collection"] for r in rows.join(gone, "source_id", "left_semi").select("collection").distinct().collect()]  # collections are few
+        if not hit:
+            return folders
+        touched = F.col("collection").isin([c for c in hit if c is not None]) | (F.col("collection").isNull() & F.lit(None in hit))
+        left = rows.filter(touched).join(gone, "source_id", "left_anti")
+        return [f for f in folders if partition_value(f) not in hit] + self.versions.write(left, "collection")
+
+    def replace_sources(self, source_ids: DataFrame) -> int:
+        """Drop all passages of the given sources (source_id), in every collection; gives the version. A null source_id names none."""
         gone = source_ids.select("source_id").distinct()
-        hit = self.table().join(gone, "source_id", "left_semi").select("collection").distinct()
-        touched = [r["collection"] for r in hit.collect()]  # collections are few
-        for i, collection in enumerate(touched):
-            rows = self.table().filter(F.col("collection") == collection).join(gone, "source_id", "left_anti").drop("collection")
-            rows.write.mode("overwrite").parquet(f"{staging}/{i}")
-            replace_folder(self.spark, f"{self.path}/collection={collection}", f"{staging}/{i}")
+        return self.versions.change(lambda base: self._without(base, gone))
+
+    def put(self, chunks: DataFrame, vectors: DataFrame) -> int:
+        """Put chunks with their vectors in the place of all passages of their sources, in one version."""
+        new, gone = self.versions.write(self._rows(chunks, vectors), "collection"), chunks.select("source_id").distinct()
+        return self.versions.change(lambda base: self._without(base, gone) + new)
 
     def scan(self, collection: str, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """A collection's passages; filter and columns reach the Parquet scan."""
