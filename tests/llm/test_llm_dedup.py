@@ -201,7 +201,7 @@ def test_apart_pairs_brute(spark):
     found = simhash.wide_fingerprints(rows_in)
     met = simhash.meetings(simhash.postings(found)).cache()
     labels = spark.createDataFrame([(len(texts) - 1, len(texts) - 2)], "node long, component long")
-    opened = simhash.open_entries(met, labels).cache()
+    opened = simhash.open_entries(found, labels).cache()
     got = {(r.a, r.b) for r in simhash.apart_pairs(opened, simhash.fine_fingerprints(rows_in)).collect()}
     entries = {}
     for r in met.collect():

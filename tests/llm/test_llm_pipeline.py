@@ -34,7 +34,7 @@ def test_stages(spark):
 
 def test_registry():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
     assert langid.UNKNOWN == "und"
 

@@ -211,6 +211,8 @@ WIDE_BYTES = 64
 #: Positional bytes that an index entry holds, and entries of a document.
 ENTRY_BYTES = 3
 WIDE_ENTRIES = 256
+#: The entries whose hubs are looked for first; what these join is compared no more in any entry.
+HUB_ENTRIES = 96
 #: Bits in which the fingerprints of a pair may differ: 4/5 makes an angle of 27.3 degrees, so 15.2 % of the bits (77.6 of 512)
 #: with a standard deviation of 8.1; four deviations more.
 WIDE_BITS = 110
@@ -288,9 +290,11 @@ def wide_fingerprints(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id bigint, n int, bits binary")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(entry, id, n): each class's places in the index, an entry being a set of positions and the bytes that stand there."""
-    positions = entry_positions()
+def postings(classes: DataFrame, entries: int = WIDE_ENTRIES, more: tuple[str, ...] = ()) -> DataFrame:
+    """(entry, id, n, and bigints named by more): each class's places in the first so many ways of the index, an entry being a set of positions and the
+    bytes that stand there."""
+    positions = entry_positions()[np.random.default_rng(entries).permutation(WIDE_ENTRIES)[:entries]]
+    names = ["id", "n", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.arange(len(positions), dtype=np.int64) << 8 * ENTRY_BYTES
@@ -299,26 +303,31 @@ def postings(classes: DataFrame) -> DataFrame:
             for a in range(0, len(b), BATCH_DOCS):
                 part = b.slice(a, BATCH_DOCS)
                 bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(len(part), -1)
-                entries = (bits[:, positions].astype(np.int64) * weight).sum(2) | number
-                ids, n = (np.repeat(np.asarray(part.column(c)), len(positions)) for c in ("id", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(entries.ravel()), pa.array(ids), pa.array(n)], names=["entry", "id", "n"])
+                found = (bits[:, positions].astype(np.int64) * weight).sum(2) | number
+                carried = (np.repeat(np.asarray(part.column(c)), len(positions)) for c in names)
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *map(pa.array, carried)], names=["entry", *names])
 
-    return classes.mapInArrow(run, "entry bigint, id bigint, n int")
+    return classes.select("bits", *names).mapInArrow(run, "entry bigint, id bigint, n int" + "".join(f", {c} bigint" for c in more))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """(columns, bounds of the runs of an equal first column) of rows sorted by it; no run is cut."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []  # pieces of the run that is still open
     for b in batches:
         now = [np.asarray(c) for c in b.columns]
-        held = now if held is None else [np.concatenate(c) for c in zip(held, now)]
-        if len(held[0]):
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                yield _bounded([c[:last] for c in held])
-                held = [c[last:] for c in held]
-    if held is not None and len(held[0]):
-        yield _bounded(held)
+        if not len(now[0]):
+            continue
+        if held and held[-1][0][-1] == now[0][0] and now[0][0] == now[0][-1]:
+            held.append(now)
+            continue
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        held.append([c[:last] for c in now])
+        whole = [np.concatenate(c) for c in zip(*held)]
+        if len(whole[0]):
+            yield _bounded(whole)
+        held = [[c[last:] for c in now]]
+    if held:
+        yield _bounded([np.concatenate(c) for c in zip(*held)])
 
 
 def _bounded(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -334,21 +343,21 @@ def _size_allows(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def meetings(posted: DataFrame) -> DataFrame:
-    """The postings whose entry another one has."""
+    """The postings whose entry another one has, with size, the number of them in the entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, bounds in _runs(batches):
             sizes = np.diff(bounds)
             kept = np.repeat(sizes > 1, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["entry", "id", "n"])
+            size = np.repeat(sizes, sizes)[kept]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[kept]) for c in columns), pa.array(size)], names=["entry", "id", "n", "size"])
 
-    return _by_entry(posted).mapInArrow(run, "entry bigint, id bigint, n int")
+    return _by_entry(posted).mapInArrow(run, "entry bigint, id bigint, n int, size bigint")
 
 
 def hub_pairs(met: DataFrame) -> DataFrame:
     """(id, hub, w): each class with the one of each of its entries that meets most others, w being how many it meets."""
-    sizes = met.groupBy("entry").agg(F.count("*").alias("size"))
-    weights = met.join(sizes, "entry").groupBy("id").agg(F.sum("size").alias("w"))
+    weights = met.groupBy("id").agg(F.sum("size").alias("w"))
     hubs = met.join(weights, "id").groupBy("entry").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), F.col("n").alias("hn"))).alias("h"))
     pairs = met.join(hubs, "entry").select("id", "n", (-F.col("h.minus")).alias("hub"), "h.hn", "h.w")
     return pairs.filter(f"id <> hub and {SIMILAR[1]} * least(n, hn) >= {SIMILAR[0]} * greatest(n, hn)").select("id", "hub", "w").distinct()
@@ -370,8 +379,10 @@ def other_hubs(hubs: DataFrame, joined: DataFrame) -> DataFrame:
     return _as_pairs(both.filter(F.coalesce("id_of", "id") != F.coalesce("hub_of", "hub")))
 
 
-def open_entries(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """(entry, id, n, label): the postings of entries whose members joined leaves apart; label is the component."""
+def open_entries(classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(entry, id, n, label): the postings of classes in entries whose members joined leaves apart; label is the component.
+
+    Labels are joined to classes and travel with the postings, so no posting is joined with anything."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, bounds in _runs(batches):
@@ -379,8 +390,8 @@ def open_entries(met: DataFrame, joined: DataFrame) -> DataFrame:
             kept = np.repeat(least < most, np.diff(bounds))
             yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["entry", "id", "n", "label"])
 
-    labelled = met.join(joined, met["id"] == joined["node"], "left").select("entry", "id", "n", F.coalesce("component", "id").alias("label"))
-    return _by_entry(labelled).mapInArrow(run, "entry bigint, id bigint, n int, label bigint")
+    labelled = classes.join(joined, classes["id"] == joined["node"], "left").select("bits", "id", "n", F.coalesce("component", "id").alias("label"))
+    return _by_entry(postings(labelled, more=("label",))).mapInArrow(run, "entry bigint, id bigint, n int, label bigint")
 
 
 def fine_fingerprints(texts: DataFrame) -> DataFrame:
@@ -482,8 +493,8 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     fingerprint of these sets: WIDE_ENTRIES entries of ENTRY_BYTES positional bytes each are an index, classes of equal
     fingerprints that meet in an entry have shared that many, their tally is taken over all WIDE_BYTES positions, their bits
     are compared and then the texts themselves, so no pair is linked falsely. At a similarity of 0.8 a pair of one size meets in an
-    entry with a probability of 0.93, at 0.82 of 0.97, at 0.85 of 0.99 and at 0.9 of 0.9995 (by simulation); what doesn't meet isn't found. Each is first compared with the one that meets most others of all in its entries, then, where
-    they are still apart, with that of each entry; what this leaves apart is compared pair by pair, first by a longer
+    entry with a probability of 0.93, at 0.82 of 0.97, at 0.85 of 0.99 and at 0.9 of 0.9995 (by simulation); what doesn't meet isn't found. In HUB_ENTRIES of the entries each is first compared with the one that meets most others of all in its
+    entries, then, where they are still apart, with that of each entry; what this leaves apart is compared pair by pair in all entries, first by a longer
     fingerprint within the entry. So a large cluster of copies around one text costs its size and not the square of it, and gives a link
     for each of its texts.
     """
@@ -492,12 +503,12 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = written(fps.groupBy("n", "bits").agg(F.min("id").alias("id")), "wide-classes")
     alone = classes.filter("n > 0")
     texts = rows.join(alone.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    met = written(meetings(postings(alone)), "meetings")
+    met = written(meetings(postings(alone, HUB_ENTRIES)), "meetings")
     hubs = written(hub_pairs(met), "hub-pairs")
     links = written(verified(best_hub(hubs), texts, alone), "hub-links")
     more = verified(other_hubs(hubs, connected_components(links)), texts, alone)
     links = written(links.unionByName(more), "hub-links")
-    opened = written(open_entries(met, connected_components(links)), "open-entries")
+    opened = written(open_entries(alone, connected_components(links)), "open-entries")
     fine = written(fine_fingerprints(texts.join(opened.select("id").distinct(), "id", "left_semi")), "fine-fingerprints")
     rest = written(apart_pairs(opened, fine).join(_as_pairs(hubs), ["a", "b"], "left_anti"), "apart-pairs")
     several = fps.groupBy("id").agg(F.count_distinct("n", "bits").alias("texts")).filter("texts > 1").select("id")
