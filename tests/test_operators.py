@@ -85,6 +85,8 @@ def test_related_sources_golden(spark):
     known = spark.createDataFrame([(1, "alpha")], "question int, source_id string")
     assert [r.source_id for r in links.related_sources(b, p, known).orderBy("rank").collect()] == ["beta", "two"]
     assert [r.source_id for r in links.related_sources(b, p, known, most=1).collect()] == ["beta"]
+    twice = p.unionByName(spark.createDataFrame([("beta", "z", "Genesis", 6, 4, 4), ("two", "b2", "Genesis", 6, 4, 4)], p.schema))
+    assert [(r.source_id, r.rank) for r in links.related_sources(b, twice, known, most=2).orderBy("rank").collect()] == [("beta", 1), ("two", 2)]  # a source with two titles
 
 
 def test_best_window_golden(spark):
@@ -424,6 +426,9 @@ def test_prompts(spark):
     assert [c for _, c in got[1][:-1]] == [f"t{i}" for i in range(2, 8)] and got[1][-1] == ("user", "TEACHING\n[L]\nsaid\n\nQUESTION: Who?")
     assert got[2] == [("user", retrieval.SILENT + "\n\nQUESTION: Where?")]
     assert len(retrieval.prompts(q, p).first().messages) == 1
+    led = p.unionByName(spark.createDataFrame([(1, 2, "scripture", "Mark 1", "text", "Connected in talk A", 0.0), (1, 3, "scripture", "Mark 2", None, None, 0.0)], p.schema))
+    context = retrieval.render_context(led).first().context
+    assert context == "SCRIPTURE\n[Mark 2]\n\n\nTEACHING\n[L]\nsaid\n\n[Mark 1]\nConnected in talk A\ntext"
 
 
 def plain_search(q, asked, phrases, table, passages, chunks, windows, budget):
@@ -576,10 +581,14 @@ def test_search_brute(spark):
     try:
         for r in retrieval.search(*frames, budget=2500).orderBy("question", "place").collect():
             got.setdefault(r.question, []).append((r.id, r.connection))
+            assert r.label == passages[r.id]["label"] and r.text == passages[r.id]["text"] and r.raw_score <= 1
+        asked = spark.createDataFrame([(q, f"Who is {q}?") for q, *_ in questions], "question int, text string")
+        said = {r.question: r.messages[-1].content for r in retrieval.prompts(asked, retrieval.search(*frames, budget=2500)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     for q, v, asked in questions:
         want = plain_search(v, asked, [(t, w) for k, _, t, w in phrases if k == q], table, passages, chunks, windows, 2500)
         assert got[q] == want, q
+        assert said[q].endswith(f"QUESTION: Who is {q}?") and all(f"[{passages[i]['label']}]\n" + (c + "\n" if c else "") + passages[i]["text"] in said[q] for i, c in want)
         linked += sum(c != "" for _, c in want)
     assert linked > 4

@@ -61,13 +61,13 @@ def bridges(asides: DataFrame) -> DataFrame:
 
 def related_sources(bridge_refs: DataFrame, primaries: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
     """(question, source_id, bridge, rank): sources whose primary references overlap a bridge and that the question doesn't
-    know yet; the first bridge that reaches a source counts, then the source's title and id decide.
+    know yet, each once; the first bridge that reaches a source counts, then the source's least title and its id decide.
 
     bridge_refs: question, rank and a reference; primaries: source_id, title and a reference; known: question, source_id.
     """
     b = bridge_refs.withColumnRenamed("rank", "bridge")
     hit = overlapping(primaries, b).select("question", "source_id", "title", "bridge")
-    hit = hit.groupBy("question", "source_id", "title").agg(F.min("bridge").alias("bridge"))
+    hit = hit.groupBy("question", "source_id").agg(F.min("bridge").alias("bridge"), F.min("title").alias("title"))
     hit = hit.join(known.select("question", "source_id"), ["question", "source_id"], "left_anti")
     order = Window.partitionBy("question").orderBy("bridge", "title", "source_id")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("title")

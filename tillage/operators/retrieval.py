@@ -220,7 +220,8 @@ def scored(hits: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
 
 
 def search(questions: DataFrame, phrases: DataFrame, table: DataFrame, passages: DataFrame, chunks: DataFrame, windows: DataFrame, budget: int = MAX_CONTEXT, scripture_new: int = 3, other_new: int = 4) -> DataFrame:
-    """The whole read path for many questions: (question, place, collection, id, score, connection) of the passages each question gets.
+    """The whole read path for many questions: (question, place, collection, id, score, raw_score, connection, label, text) of the passages each
+    question gets, as `prompts` takes them.
 
     Nearest rows of each collection, boosted by the references asked for, deduplicated and limited; what the phrases find is merged
     behind them (scripture_new of scripture, other_new of others) and all is put in the order of scores; then the budget, and what the
@@ -250,7 +251,8 @@ def search(questions: DataFrame, phrases: DataFrame, table: DataFrame, passages:
     behind = attach_links(kept, more, budget)
     last = kept.groupBy("question").agg(F.max("place").alias("_last"))
     behind = behind.join(last, "question").withColumn("place", F.col("_last") + F.row_number().over(Window.partitionBy("question").orderBy("rank")))
-    pick = ["question", "place", "collection", "id", "score", "connection"]
+    pick = ["question", "place", "collection", "id", "score", "raw_score", "connection", "label", "text"]
+    behind = behind.withColumn("raw_score", F.lit(0.0))  # what a connection leads to wasn't found by its nearness
     return kept.select(*pick).unionByName(behind.select(*pick))
 
 
@@ -292,9 +294,10 @@ HEADINGS = {"scripture": "SCRIPTURE", "beliefs": "BELIEFS", "talks": "TEACHING"}
 
 def render_context(passages: DataFrame) -> DataFrame:
     """(question, context): passages (question, place, collection, label, text, connection) under their headings; passages
-    with a connection stand under TEACHING."""
+    with a connection stand under TEACHING, the connection on its own line below the label."""
     block = F.when(F.coalesce("connection", F.lit("")) != "", "talks").otherwise(F.col("collection"))
-    item = F.concat(F.lit("["), "label", F.lit("]\n"), "text")
+    led = F.when(F.coalesce("connection", F.lit("")) != "", F.concat("connection", F.lit("\n"))).otherwise("")
+    item = F.concat(F.lit("["), F.coalesce("label", F.lit("")), F.lit("]\n"), led, F.coalesce("text", F.lit("")))
     each = passages.select("question", block.alias("block"), F.struct("place", item.alias("item")).alias("x"))
     blocks = each.groupBy("question", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "\n\n").alias("body"))
     shown = F.struct(collection_order(F.col("block")).alias("o"), F.concat(per_collection(HEADINGS, F.col("block")), F.lit("\n"), "body").alias("b"))

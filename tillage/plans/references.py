@@ -100,7 +100,7 @@ REF_OVERLAP = f"""WITH {LINES} SELECT a.source_id, a.line, count(*) AS later, mi
 SIZE = 40
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
+def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     """source_id, chunk, refs (formatted and parsed) of SIZE lines each, and the source's primary references."""
     lines = _lines(spark, d)
     ref = F.struct("line", F.struct("book", "chapter", "vs", "ve").alias("r"))
@@ -110,12 +110,12 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sustained_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return links.sustained_mentions(_chunks(spark, d), LEAST)
+    return links.sustained_mentions(chunks_of(spark, d), LEAST)
 
 
 def bridge_refs(spark: SparkSession, d: str) -> DataFrame:
     """A question is asked of ten sources each; the sources' sustained asides, greedily without overlaps."""
-    s = links.sustained_mentions(_chunks(spark, d), LEAST)
+    s = links.sustained_mentions(chunks_of(spark, d), LEAST)
     asides = s.select((F.col("source_id") / 10).cast("bigint").alias("question"), (F.col("source_id") % 10).cast("int").alias("source_rank"), "place", "book", "chapter", "vs", "ve")
     return links.bridges(asides)
 
@@ -150,7 +150,7 @@ BRIDGES = f"WITH RECURSIVE {_FOLDED}, {_BRIDGED} SELECT question, CAST(row_numbe
 
 def aside_refs(spark: SparkSession, d: str) -> DataFrame:
     """Each question has hits in ten sources, two chunks each; even ones ask for a chapter, odd ones for nothing."""
-    chunks = _chunks(spark, d)
+    chunks = chunks_of(spark, d)
     hits = chunks.filter("chunk < 2").select((F.col("source_id") / 10).cast("bigint").alias("question"), (F.col("source_id") % 10 + 10 * F.col("chunk")).alias("place"), "source_id", (1.0 / (F.col("source_id") % 7 + F.col("chunk") + 1)).alias("score"), F.lit("talk").alias("citation"), "primary", "refs")
     groups = links.grouped_hits(hits)
     chapter = F.struct(F.lit("EXO").alias("book"), F.lit(2).alias("chapter"), F.lit(None).cast("int").alias("vs"), F.lit(None).cast("int").alias("ve"))
@@ -185,7 +185,7 @@ r AS (SELECT question, source_id, bridge, CAST(row_number() OVER (PARTITION BY q
 SELECT * FROM r WHERE rank <= 3"""
 
 
-def _windows(spark: SparkSession) -> DataFrame:
+def windows_of(spark: SparkSession) -> DataFrame:
     """Windows of every chapter: 1-54 whole and 6 verses at every third."""
     one = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in CODES])).alias("book")).select("book", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("chapter"))
     starts = F.explode(F.concat(F.array(F.struct(F.lit(1).alias("a"), F.lit(54).alias("z"))), F.transform(F.sequence(F.lit(1), F.lit(49), F.lit(3)), lambda s: F.struct(s.alias("a"), (s + 5).alias("z")))))
@@ -203,7 +203,7 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_window(spark: SparkSession, d: str) -> DataFrame:
-    return links.best_window(_targets(spark, d).select("ref_id", "book", "chapter", "vs", "ve"), _windows(spark))
+    return links.best_window(_targets(spark, d).select("ref_id", "book", "chapter", "vs", "ve"), windows_of(spark))
 
 
 _BEST = f"""{LINES}, {WINDOWS}, t AS (SELECT source_id || ':' || line AS ref_id, source_id, line, book, chapter, CASE WHEN line % 9 <> 0 THEN vs END AS vs, CASE WHEN line % 9 <> 0 THEN ve END AS ve FROM lines),
@@ -216,7 +216,7 @@ BEST_WINDOW = f"WITH {_BEST} SELECT ref_id, window_id FROM best"
 
 def cross_links(spark: SparkSession, d: str) -> DataFrame:
     t = _targets(spark, d).select("ref_id", F.floor(F.col("source_id") / 4).alias("question"), (F.col("source_id") % 4).alias("source_rank"), F.col("line").alias("place"), F.concat(F.lit("talk "), F.col("source_id").cast("string")).alias("citation"), F.lit(0.5).alias("score"), "book", "chapter", "vs", "ve")
-    return links.cross_links(t, _windows(spark), 2).drop("score")
+    return links.cross_links(t, windows_of(spark), 2).drop("score")
 
 
 CROSS_LINKS = f"""WITH {_BEST}, f AS (SELECT source_id // 4 AS question, source_id % 4 AS sr, line, ref_id, source_id, window_id, row_number() OVER (PARTITION BY source_id // 4, window_id ORDER BY source_id % 4, line, ref_id) AS n FROM best),

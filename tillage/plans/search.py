@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.operators import bundle, encode, retrieval
+from tillage.plans import references
+from tillage.tables import kept_table
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -98,11 +100,13 @@ SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY p) AS IN
 
 
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
-    c = retrieval.render_context(_passages(spark, d))
+    led = F.when(F.col("id") % 7 == 0, F.concat(F.lit("Connected in talk "), F.col("id").cast("string"))).otherwise("")
+    c = retrieval.render_context(_passages(spark, d).withColumn("connection", led))
     return c.select("question", F.length("context").alias("chars"), F.md5("context").alias("context_md5"))
 
 
-PROMPT = f"""WITH {RANKED}, i AS (SELECT question, place, collection, '[' || concat_ws(' ', title, id) || ']' || chr(10) || text AS item FROM ranked),
+PROMPT = f"""WITH {RANKED}, i AS (SELECT question, place, CASE WHEN id % 7 = 0 THEN 'talks' ELSE collection END AS collection,
+  '[' || concat_ws(' ', title, id) || ']' || chr(10) || CASE WHEN id % 7 = 0 THEN 'Connected in talk ' || id || chr(10) ELSE '' END || text AS item FROM ranked),
 b AS (SELECT question, collection, string_agg(item, chr(10) || chr(10) ORDER BY place) AS body FROM i GROUP BY ALL),
 c AS (SELECT question, string_agg(CASE collection WHEN 'scripture' THEN 'SCRIPTURE' WHEN 'beliefs' THEN 'BELIEFS' ELSE 'TEACHING' END || chr(10) || body, chr(10) || chr(10)
   ORDER BY CASE collection WHEN 'scripture' THEN 0 WHEN 'beliefs' THEN 1 ELSE 2 END) AS context FROM b GROUP BY question)
@@ -130,6 +134,45 @@ def index_counts(spark: SparkSession, d: str) -> DataFrame:
 INDEX_COUNTS = """SELECT c AS collection, count(e.vec_id) AS n FROM (VALUES ('scripture', 0), ('beliefs', 1), ('talks', 2), ('spare', 9)) AS t(c, k)
 LEFT JOIN embeddings e ON e.label % 3 = k GROUP BY c"""
 
+def _read_path(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """What `retrieval.search` takes: talks are the chunks of sources made from lineitem, scripture cites a reference made from its id."""
+    chunks = references.chunks_of(spark, d).withColumn("source_id", F.concat(F.lit("s"), F.col("source_id").cast("string")))
+    name = F.concat("source_id", F.lit("#"), F.col("chunk").cast("string"))
+    chunks = chunks.select("source_id", "chunk", name.alias("id"), "refs", "primary", F.concat(F.lit("talk "), "source_id").alias("title"))
+    v = F.col("vec_id")
+    code = F.element_at(F.array(*[F.lit(c) for c in references.CODES]), (v % 10 + 1).cast("int"))
+    ref = F.array(F.struct(code.alias("book"), (v % 7 + 1).cast("int").alias("chapter"), (v % 50).cast("int").alias("vs"), (v % 50 + 3).cast("int").alias("ve")))
+    none = F.array().cast(ref_kind := "array<struct<book:string,chapter:int,vs:int,ve:int>>")
+    table = _table(spark, d)
+    rows = _t(spark, d, "embeddings").select("vec_id").join(table.select(F.col("id").alias("vec_id"), "collection"), "vec_id")
+    rows = rows.withColumns({"source_id": F.when(F.col("collection") == "talks", F.concat(F.lit("s"), (v % 100 + 1).cast("string"))).otherwise(""), "chunk": F.floor(v / 100).cast("int")})
+    rows = rows.join(chunks.select("source_id", "chunk", "refs", "primary", "title"), ["source_id", "chunk"], "left")
+    rows = rows.join(_t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    label = F.coalesce("title", F.concat("collection", F.lit(" "), v.cast("string")))
+    columns = ["id", "text", "label", "citation", "title", "source_id", "cited", "primary", "refs"]
+    found = rows.select(
+        v.cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), label.alias("label"), label.alias("citation"), label.alias("title"), "source_id",
+        F.when(F.col("collection") == "scripture", ref).otherwise(none).alias("cited"), F.coalesce("primary", none).alias("primary"), F.coalesce("refs", none).alias("refs"),
+    )
+    said = chunks.select("id", F.concat(F.lit("said in "), "id").alias("text"), F.col("title").alias("label"), F.col("title").alias("citation"), "title", "source_id", none.alias("cited"), "primary", "refs")
+    windows = references.windows_of(spark)
+    read = windows.select(F.col("window_id").alias("id"), F.col("window_id").alias("text"), F.col("window_id").alias("label"), F.col("window_id").alias("citation"), F.col("window_id").alias("title"), F.lit("").alias("source_id"), none.alias("cited"), none.alias("primary"), none.alias("refs"))
+    e = _t(spark, d, "embeddings")
+    asked = F.when(F.floor(v / 100) % 2 == 1, ref).otherwise(none.cast(ref_kind))
+    questions = e.filter("vec_id % 100 = 0").select(v.alias("question"), F.col("embedding").alias("vector"), asked.alias("asked"), F.concat(F.lit("What of "), v.cast("string"), F.lit("?")).alias("text"))
+    phrases = e.filter("vec_id % 100 between 1 and 3").select((v - v % 100).alias("question"), (v % 100).alias("phrase"), F.concat(F.lit("phrase "), v.cast("string")).alias("text"), F.col("embedding").alias("vector"))
+    passages = found.select(*columns).unionByName(said.select(*columns)).unionByName(read.select(*columns))
+    return questions, phrases, table.withColumn("id", F.col("id").cast("string")), passages, chunks, windows
+
+
+def search_context(spark: SparkSession, d: str) -> DataFrame:
+    """The whole read path: each question's passages in order, and the digest of the prompt made of them."""
+    questions, *rest = _read_path(spark, d)
+    found = kept_table(retrieval.search(questions, *rest), "search")
+    asked = retrieval.prompts(questions.select("question", "text"), found).select("question", F.md5(F.element_at("messages", -1)["content"]).alias("prompt_md5"))
+    return found.select("question", "place", "collection", "id", F.round("score", 6).alias("score"), "connection").join(asked, "question")
+
+
 def text_vectors(spark: SparkSession, d: str) -> DataFrame:
     """A vector of each document, by an encoder learned from all of them."""
     docs = _t(spark, d, "documents")
@@ -137,7 +180,7 @@ def text_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    (text_vectors, None),
+    (text_vectors, None), (search_context, None),
     (vector_topk, VECTOR_TOPK), (weighted_topk_by_collection, WEIGHTED), (fit_context, FIT_CONTEXT), (silence, SILENCE), (citations_distinct, CITATIONS), (prompt_render, PROMPT),
     (multi_query_expansion, None), (index_counts, INDEX_COUNTS),
 ]
