@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillage.functions import refs as R
-from tillage.operators import chunking, links
+from tillage.operators import chunking, intervals, links
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -88,10 +88,8 @@ SELECT source_id, chapter, md5(string_agg(ref, chr(10) ORDER BY ref)) AS packed_
 
 def ref_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     """Within each source, how many later lines overlap each line."""
-    a = _lines(spark, d)
-    b = a.select(F.col("source_id").alias("s2"), F.col("line").alias("l2"), F.col("book").alias("b2"), F.col("chapter").alias("c2"), F.col("vs").alias("v2"), F.col("ve").alias("e2"))
-    hit = a.join(b, (F.col("source_id") == F.col("s2")) & (F.col("book") == F.col("b2")) & (F.col("chapter") == F.col("c2")) & (F.col("line") < F.col("l2")) & (F.col("vs") <= F.col("e2")) & (F.col("v2") <= F.col("ve")))
-    return hit.groupBy("source_id", "line").agg(F.count("*").alias("later"), F.min("l2").alias("next"))
+    found = intervals.later_overlaps(_lines(spark, d), "source_id", "line").filter("later > 0")
+    return found.select("source_id", F.col("line").cast("int").alias("line"), "later", F.col("next").cast("int").alias("next"))
 
 
 REF_OVERLAP = f"""WITH {LINES} SELECT a.source_id, a.line, count(*) AS later, min(b.line) AS next FROM lines a JOIN lines b ON a.source_id = b.source_id AND a.book = b.book AND a.chapter = b.chapter
