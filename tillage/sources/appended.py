@@ -32,15 +32,15 @@ CHUNK = 1 << 20
 LINES = 10_000
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
 
 
-def _sizes(path: str) -> dict[str, int]:
+def file_sizes(path: str) -> dict[str, int]:
     """The files of the log and their sizes."""
-    fs, root = _file_system(path)
+    fs, root = file_system(path)
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.File:
         return {info.path: info.size}
@@ -85,7 +85,7 @@ def _blocks(start: dict, end: dict, size: int) -> list[Block]:
 
 
 def _lines(path: str, block: Block) -> Iterator[tuple[bytes, int]]:
-    fs, _ = _file_system(path)
+    fs, _ = file_system(path)
     with fs.open_input_file(block.file) as f:
         # One byte back: where the block starts right after a newline, its first line is its own.
         at = block.lo if block.lo == block.first else block.lo - 1
@@ -110,16 +110,18 @@ class _Read:
         self.size = int(options.get("blockbytes", BLOCK_BYTES))
 
     def ends(self, known: dict[str, int]) -> dict[str, int]:
-        fs, _ = _file_system(self.path)
+        fs, _ = file_system(self.path)
         out = dict(known)
-        for file, size in _sizes(self.path).items():
+        for file, size in file_sizes(self.path).items():
             if size < known.get(file, 0):
                 raise ValueError(f"{file} has shrunk to {size} bytes, {known[file]} were read")
             out[file] = _end_of_lines(fs, file, size, known.get(file, 0))
         return out
 
-    def read(self, block: Block) -> Iterator[pa.RecordBatch]:
+    def read(self, block: Block | None) -> Iterator[pa.RecordBatch]:
         values, starts = [], []
+        if block is None:  # no files: Spark reads one partition of none
+            return
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([block.file] * len(values), pa.string()), pa.array(starts, pa.int64())], names=["value", "file", "start"])
