@@ -126,6 +126,19 @@ def transcript_text(transcripts: DataFrame, segments: str = "segments") -> DataF
     return transcripts.withColumn(segments, kept).withColumn("text", F.array_join(F.transform(segments, lambda s: s["text"]), " "))
 
 
+TRANSCRIPT = "text string, segments array<struct<start:double,end:double,text:string>>, duration double, language string"
+
+
+def read_transcripts(files: DataFrame) -> DataFrame:
+    """(path, text, segments, duration, language) of files (path, value: a whole file of JSON, as spark.read.text with wholetext gives it).
+
+    The text is that of the segments, cleaned (see transcript_text), or where there are none the file's own. A file that isn't JSON has none of these."""
+    parsed = files.select("path", F.from_json("value", TRANSCRIPT, {"mode": "PERMISSIVE"}).alias("t")).select("path", "t.*")
+    own = strip(F.coalesce("text", F.lit("")))
+    clean = transcript_text(parsed.withColumns({"_own": own, "segments": F.coalesce("segments", F.array().cast("array<struct<start:double,end:double,text:string>>"))}))
+    return clean.withColumn("text", F.when(F.size("segments") > 0, F.col("text")).otherwise(F.col("_own"))).select("path", "text", "segments", "duration", "language")
+
+
 def routed_chunks(items: DataFrame) -> DataFrame:
     """Which chunks of an item are indexed, and where: items has is_belief, has_transcript. A belief page's sections
     go to beliefs; else a transcript's windows, or without one the page's sections, go to talks."""

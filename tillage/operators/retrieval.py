@@ -42,15 +42,15 @@ def vector_topk(questions: DataFrame, table: DataFrame, top_k: dict[str, int] =
     n, q = table.count(), questions.count()
     nb, qb = max(1, -(-n // TABLE_BLOCK)), max(1, -(-q // QUESTION_BLOCK))
     most = {c: k * candidates for c, k in top_k.items() if k > 0}
-    rows = table.filter(F.col("collection").isin(list(most))).select("id", "collection", F.col("vector").cast("array<double>").alias("vector"))
-    left = questions.select("question", F.col("vector").cast("array<double>").alias("vector"))
+    rows = table.filter(F.col("collection").isin(list(most))).select("id", "collection", "vector")
+    left = questions.select("question", "vector")
     left = left.withColumn("j", F.pmod(F.xxhash64("question"), F.lit(qb))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))))
     right = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint"))))
     qt, it = questions.schema["question"].dataType.simpleString(), table.schema["id"].dataType.simpleString()
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
-        return np.asarray(column.flatten()).reshape(len(column), -1)
+        return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)  # vectors travel as they are stored
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         schema = pa.schema([("question", a.schema.field("question").type), ("collection", pa.string()), ("id", b.schema.field("id").type), ("distance", pa.float64())])

@@ -35,18 +35,22 @@ LINES = f"""canon(i, book, name) AS (VALUES {_NAMES}),
 lines AS (SELECT l_suppkey AS source_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax,
     l_shipdate, l_returnflag, l_linestatus) - 1 AS INTEGER) AS line, book, name, l_linenumber AS chapter, CAST(trunc(l_quantity) AS INTEGER) AS vs,
     CAST(trunc(l_quantity) + l_suppkey % 4 AS INTEGER) AS ve FROM lineitem JOIN canon ON l_partkey % 10 = i)"""
-_REF = "name || ' ' || chapter || ':' || vs || CASE WHEN ve <> vs THEN '-' || ve ELSE '' END"
+REF_SQL = "name || ' ' || chapter || ':' || vs || CASE WHEN ve <> vs THEN '-' || ve ELSE '' END"
 
 
 def _formatted(lines: DataFrame) -> DataFrame:
     return lines.withColumn("ref", R.format_ref(F.col("book"), F.col("chapter"), F.col("vs"), F.col("ve")))
 
 
+def with_refs(spark: SparkSession, d: str) -> DataFrame:
+    return _formatted(_lines(spark, d))
+
+
 def ref_format(spark: SparkSession, d: str) -> DataFrame:
     return _formatted(_lines(spark, d)).select("source_id", "line", "ref")
 
 
-REF_FORMAT = f"WITH {LINES} SELECT source_id, line, {_REF} AS ref FROM lines"
+REF_FORMAT = f"WITH {LINES} SELECT source_id, line, {REF_SQL} AS ref FROM lines"
 
 
 def ref_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +74,7 @@ def ref_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 REF_EXTRACT = f"""
-WITH {LINES}, w AS (SELECT *, {_REF} AS ref FROM lines),
+WITH {LINES}, w AS (SELECT *, {REF_SQL} AS ref FROM lines),
 l AS (SELECT source_id, line, [ref, '1 John ' || chapter || ':2', 'Psalms ' || vs, 'Song of Solomon 2:1-4'] AS a FROM w)
 SELECT source_id, line, array_to_string(list_filter(a, lambda x, i: i = list_position(a, x)), '|') AS refs FROM l"""
 
@@ -82,7 +86,7 @@ def ref_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 REF_PACK = f"""
-WITH {LINES}, w AS (SELECT DISTINCT source_id, chapter, {_REF} AS ref FROM lines)
+WITH {LINES}, w AS (SELECT DISTINCT source_id, chapter, {REF_SQL} AS ref FROM lines)
 SELECT source_id, chapter, md5(string_agg(ref, chr(10) ORDER BY ref)) AS packed_md5, CAST(count(*) AS INTEGER) AS n FROM w GROUP BY ALL"""
 
 
@@ -163,24 +167,23 @@ WHERE CASE WHEN g.question % 2 = 0 THEN s.book = 'EXO' AND s.chapter = 2
   ELSE EXISTS (SELECT 1 FROM lines l WHERE l.source_id = s.source_id AND l.line < {2 * SIZE} AND l.book = s.book AND l.chapter = s.chapter AND l.vs <= s.ve AND s.vs <= l.ve) END""".replace("LEAST_CHUNKS", str(LEAST))
 
 
-def _related(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lines = _lines(spark, d)
-    asked = lines.filter("line < 3").select(F.col("source_id").alias("question"), F.col("line").alias("rank"), "book", "chapter", "vs", "ve")
-    primaries = lines.filter("line = 3").select("source_id", F.concat(F.lit("talk "), (F.col("source_id") % 17).cast("string")).alias("title"), "book", "chapter", "vs", "ve")
-    known = lines.filter("line = 0").select(F.col("source_id").alias("question"), "source_id")
-    return asked, primaries, known
-
-
 def related_sources(spark: SparkSession, d: str) -> DataFrame:
-    return links.related_sources(*_related(spark, d), most=3)
-
-
-RELATED = f"""
-WITH {LINES}, b AS (SELECT source_id AS question, line AS bridge, book, chapter, vs, ve FROM lines WHERE line < 3),
-p AS (SELECT source_id, 'talk ' || source_id % 17 AS title, book, chapter, vs, ve FROM lines WHERE line = 3),
-h AS (SELECT question, p.source_id, title, min(bridge) AS bridge FROM b JOIN p ON b.book = p.book AND b.chapter = p.chapter AND b.vs <= p.ve AND p.vs <= b.ve WHERE question <> p.source_id GROUP BY ALL),
-r AS (SELECT question, source_id, bridge, CAST(row_number() OVER (PARTITION BY question ORDER BY bridge, title, source_id) AS INTEGER) AS rank FROM h)
-SELECT * FROM r WHERE rank <= 3"""
+    """A question's bridges lead to sources whose openings are about them; its own ten sources it knows."""
+    lines = _lines(spark, d).select("source_id").distinct()
+    opening = opening_primary(spark, d).select("source_id", F.explode(F.split("primary_refs", r"\|")).alias("t")).select("source_id", R.parse_ref(F.col("t")).alias("r"))
+    primaries = opening.select("source_id", F.concat(F.lit("talk "), (F.col("source_id") % 17).cast("string")).alias("title"), "r.*")
+    known = lines.select((F.col("source_id") / 10).cast("bigint").alias("question"), "source_id")
+    return links.related_sources(bridge_refs(spark, d), primaries, known, most=3)
+
+
+RELATED = f"""WITH RECURSIVE {_FOLDED}, {_BRIDGED},
+br AS (SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY t.sr, t.place) - 1 AS INTEGER) AS bridge, book, chapter FROM bt),
+op AS (SELECT source_id, line // 30 AS half, book, chapter, min(line) AS line FROM lines WHERE line < 60 GROUP BY ALL),
+two AS (SELECT x.source_id, x.book, x.chapter FROM op x JOIN op y ON x.source_id = y.source_id AND x.half = 0 AND y.half = 1 AND x.book = y.book AND x.chapter = y.chapter),
+prim AS (SELECT * FROM two UNION ALL SELECT source_id, arg_min(book, line), arg_min(chapter, line) FROM op WHERE source_id NOT IN (SELECT source_id FROM two) GROUP BY source_id),
+h AS (SELECT question, p.source_id, min(bridge) AS bridge FROM br JOIN prim p USING (book, chapter) WHERE p.source_id // 10 <> question GROUP BY ALL),
+r AS (SELECT question, source_id, bridge, CAST(row_number() OVER (PARTITION BY question ORDER BY bridge, 'talk ' || source_id % 17, source_id) AS INTEGER) AS rank FROM h)
+SELECT * FROM r WHERE rank <= 3""".replace("LEAST_CHUNKS", str(LEAST))
 
 
 def windows_of(spark: SparkSession) -> DataFrame:

@@ -31,12 +31,12 @@ LOG = """log AS (SELECT user_id AS id, event_id, ts, CASE event_type WHEN 'signu
   o AS (SELECT *, CASE step WHEN 'discovered' THEN 0 WHEN 'page_saved' THEN 1 WHEN 'audio_downloaded' THEN 2 WHEN 'transcribed' THEN 3 WHEN 'chunked' THEN 4 ELSE 5 END AS k FROM jobs)"""
 
 
-def _jobs(spark: SparkSession, d: str) -> DataFrame:
+def jobs_of(spark: SparkSession, d: str) -> DataFrame:
     return state.latest_per_key(_log(spark, d), "id", "ts", "event_id")
 
 
 def log_latest(spark: SparkSession, d: str) -> DataFrame:
-    return _jobs(spark, d).drop("ts")
+    return jobs_of(spark, d).drop("ts")
 
 
 LOG_LATEST = f"WITH {LOG} SELECT id, event_id, step, status, date FROM jobs"
@@ -50,7 +50,7 @@ LOG_FIRST = f"""WITH {LOG} SELECT id, event_id, step, status, date FROM (SELECT
 
 
 def step_tally(spark: SparkSession, d: str) -> DataFrame:
-    return state.tally(_jobs(spark, d))
+    return state.tally(jobs_of(spark, d))
 
 
 STEP_TALLY = f"""WITH {LOG} SELECT step AS name, count(*) AS n FROM jobs GROUP BY step UNION ALL SELECT 'status:' || status, count(*) FROM jobs GROUP BY status
@@ -58,7 +58,7 @@ UNION ALL SELECT 'total', count(*) FROM jobs"""
 
 
 def worklist(spark: SparkSession, d: str) -> DataFrame:
-    return state.worklist(_jobs(spark, d))
+    return state.worklist(jobs_of(spark, d))
 
 
 WORKLIST_BODY = """SELECT count(*) FILTER (k < 2) AS need_audio, count(*) FILTER (k = 2 AND status <> 'failed') AS need_transcribe,
@@ -68,7 +68,7 @@ WORKLIST = f"WITH {LOG} {WORKLIST_BODY}"
 
 def next_action(spark: SparkSession, d: str) -> DataFrame:
     pages = _t(spark, d, "pages").agg(F.count_if(F.col("url").contains("/en/")).alias("queued_listings"), F.count_if(~F.col("url").contains("/en/")).alias("queued_messages"))
-    counts = state.worklist(_jobs(spark, d)).crossJoin(pages).withColumn("has_verses", F.lit(True))  # one row beside one row
+    counts = state.worklist(jobs_of(spark, d)).crossJoin(pages).withColumn("has_verses", F.lit(True))  # one row beside one row
     return state.next_action(counts).drop("has_verses")
 
 
@@ -80,14 +80,14 @@ SELECT need_audio, need_transcribe, need_index, failed, queued_listings, queued_
 
 
 def pending_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return state.pending(_jobs(spark, d), "transcribed").select("id", "date", "step", "status")
+    return state.pending(jobs_of(spark, d), "transcribed").select("id", "date", "step", "status")
 
 
 PENDING_JOBS = f"WITH {LOG} SELECT id, date, step, status FROM o WHERE status <> 'done' AND k < 3"
 
 
 def requeue_missing(spark: SparkSession, d: str) -> DataFrame:
-    jobs = _jobs(spark, d).withColumn("audio_path", F.concat(F.lit("audio/"), F.col("id").cast("string"), F.lit(".mp3")))
+    jobs = jobs_of(spark, d).withColumn("audio_path", F.concat(F.lit("audio/"), F.col("id").cast("string"), F.lit(".mp3")))
     files = _t(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.concat(F.lit("audio/"), F.col("c_custkey").cast("string"), F.lit(".mp3")).alias("path"))
     return state.requeue_missing(jobs, files).select("id", "step", "status", "audio_path")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillage.plans import corpus, references, search, worklog
+from tillage.plans import corpus, crawling, references, search, worklog
 
-_ALL = [pair for module in (corpus, references, search, worklog) for pair in module.QUERIES]
+_ALL = [pair for module in (corpus, crawling, references, search, worklog) for pair in module.QUERIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
