@@ -53,11 +53,39 @@ def talk_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.talk_windows(docs).select("source_id", "id", "chunk", "tokens", F.md5("text").alias("text_md5"))
 
 
+def _windows_sql(texts: str, target: int, overlap: int) -> str:
+    """CTEs w (key, chunk, a, z: sentences a to z - 1) and c (key, l the sentences, n their tokens) of texts (key, text)."""
+    return rf"""
+s AS (SELECT key, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z"''])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM ({texts})),
+t AS (SELECT key, l, list_transform(l, lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')) * 133 // 100) AS n FROM s),
+c AS MATERIALIZED (SELECT key, l, n, len(l) AS k, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_slice(n, 1, i)), 0)) AS cum FROM t WHERE len(l) > 0),
+w(key, chunk, a, z) AS (
+  SELECT key, 0, CAST(0 AS BIGINT), coalesce(list_filter(range(1, k), lambda i: cum[i + 2] - cum[1] > {target})[1], k) FROM c
+  UNION ALL
+  SELECT x.key, x.chunk + 1, st, coalesce(list_filter(range(x.z + 1, k), lambda i: cum[i + 2] - cum[st + 1] > {target})[1], k)
+  FROM (SELECT w.key, w.chunk, w.z, c.k, c.cum, list_filter(range(w.a, w.z + 1), lambda q: c.cum[w.z + 1] - c.cum[q + 1] <= {overlap})[1] AS st FROM w JOIN c ON c.key = w.key WHERE w.z < c.k) x)"""
+
+
+TALK_WINDOWS = f"""WITH RECURSIVE {_windows_sql('SELECT doc_id AS key, text FROM documents', 1000, 150)}
+SELECT w.key AS source_id, w.key || '#c' || lpad(CAST(chunk AS VARCHAR), 4, '0') AS id, CAST(chunk AS INTEGER) AS chunk, CAST(list_sum(n[a + 1:z]) AS INTEGER) AS tokens, md5(array_to_string(l[a + 1:z], ' ')) AS text_md5
+FROM w JOIN c ON c.key = w.key"""
+
+
 def page_pack(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.array(F.struct(F.lit("").alias("heading"), F.col("text").alias("body")), F.struct(F.col("lang").alias("heading"), F.lit("Read on. And so forth.").alias("body"))).alias("sections"))
     return chunking.page_sections(docs, "doc_id", 900).select("doc_id", "id", "label", "tokens", F.md5("text").alias("text_md5"))
 
 
+PAGE_PACK = rf"""WITH RECURSIVE x AS (SELECT doc_id, 0 AS place, source AS label, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents
+  UNION ALL SELECT doc_id, 1, CASE WHEN lang <> '' THEN concat_ws(' — ', source, lang) ELSE source END, 'Read on. And so forth.' FROM documents),
+e AS (SELECT *, len(list_filter(string_split_regex(body, '\s+'), lambda y: y <> '')) * 133 // 100 AS tokens FROM x WHERE body <> ''),
+{_windows_sql("SELECT doc_id AS key, body AS text FROM e WHERE tokens > 900", 900, 0)},
+u AS (SELECT doc_id, place, 0 AS chunk, label, tokens, body AS text FROM e WHERE tokens <= 900
+  UNION ALL SELECT e.doc_id, place, chunk, label, list_sum(n[a + 1:z]), array_to_string(l[a + 1:z], ' ') FROM w JOIN c ON c.key = w.key JOIN e ON e.doc_id = w.key AND e.tokens > 900)
+SELECT doc_id, doc_id || '#s' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, chunk) - 1 AS VARCHAR), 4, '0') AS id, label, CAST(tokens AS INTEGER) AS tokens, md5(text) AS text_md5 FROM u"""
+
+
 def belief_sections(spark: SparkSession, d: str) -> DataFrame:
     pages = _t(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("").alias("heading"), x.alias("body"))).alias("sections"))
     return chunking.belief_sections(pages, "doc_id").select("doc_id", "id", F.md5("text").alias("text_md5"))
@@ -315,7 +343,7 @@ SELECT p.page_id, p.url, coalesce(m.allow, true) AS allowed, m.pattern AS rule F
 
 
 QUERIES = [
-    (token_counts, TOKEN_COUNTS), (sentence_split, SENTENCE_SPLIT), (fingerprint_dedupe, FINGERPRINT_DEDUPE), (talk_windows, None), (page_pack, None),
+    (token_counts, TOKEN_COUNTS), (sentence_split, SENTENCE_SPLIT), (fingerprint_dedupe, FINGERPRINT_DEDUPE), (talk_windows, TALK_WINDOWS), (page_pack, PAGE_PACK),
     (belief_sections, BELIEF_SECTIONS), (verse_windows, VERSE_WINDOWS), (first_dates, FIRST_DATES), (canonical_urls, CANONICAL), (canonical_queries, CANONICAL_QUERIES), (url_classes, URL_CLASSES),
     (frontier, FRONTIER), (robots_rules, ROBOTS_RULES), (dedup_keys, DEDUP_KEYS), (html_title, HTML_TITLE), (html_links, HTML_LINKS), (html_sections, None), (manifest_verify, MANIFEST_VERIFY),
     (verse_map, VERSE_MAP), (verse_array, VERSE_ARRAY), (book_gate, BOOK_GATE), (human_sizes, HUMAN_SIZES),

@@ -127,6 +127,21 @@ def multi_query_expansion(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.merge_expansion(pick(_ranked(spark, d), False), pick(extra, True), 4).select("question", "place", "collection", "id", "from_expansion")
 
 
+EXPANSION = f"""WITH {RANKED},
+xd AS (SELECT q.id AS phrase, v.collection, v.id, greatest(list_inner_product(q.e, q.e) + list_inner_product(v.e, v.e) - 2 * list_inner_product(q.e, v.e), 0) AS distance FROM v q, v WHERE q.id % 100 BETWEEN 1 AND 3),
+xh AS (SELECT *, CAST(row_number() OVER (PARTITION BY phrase, collection ORDER BY round(distance, 9), id) AS INTEGER) AS rank FROM xd),
+xs AS (SELECT xh.*, coalesce(text, '') AS text, round(greatest(0, 1 - distance / 2) * CASE collection WHEN 'scripture' THEN 1.25 WHEN 'beliefs' THEN 1.1 ELSE 1.0 END::DOUBLE, 9) AS score,
+  lower(regexp_replace(substr(coalesce(text, ''), 1, 160), '^\\s+|\\s+$', '', 'g')) AS fp FROM xh LEFT JOIN documents ON doc_id = id WHERE rank <= CASE collection WHEN 'scripture' THEN 12 ELSE 16 END),
+xo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phrase, collection, fp ORDER BY score DESC, rank) AS n FROM xs) WHERE n = 1),
+xl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phrase, collection ORDER BY score DESC, rank) AS k FROM xo) WHERE k <= CASE collection WHEN 'scripture' THEN 3 ELSE 4 END),
+xp AS (SELECT phrase - phrase % 100 AS question, collection, id, fp, row_number() OVER (PARTITION BY phrase - phrase % 100 ORDER BY score DESC, CASE collection WHEN 'scripture' THEN 0 WHEN 'beliefs' THEN 1 ELSE 2 END, rank, phrase) AS place FROM xl),
+bo AS (SELECT question, 0 AS part, place, collection, id, fp FROM ranked UNION ALL SELECT question, 1, place, collection, id, fp FROM xp),
+bn AS (SELECT *, row_number() OVER (PARTITION BY question, fp ORDER BY part, place) = 1 AND fp <> '' AS new FROM bo),
+bb AS (SELECT *, coalesce(sum(CASE WHEN part = 1 AND new THEN 1 ELSE 0 END) OVER (PARTITION BY question ORDER BY part, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bn),
+bl AS (SELECT *, bool_or(part = 1 AND collection = 'scripture') OVER (PARTITION BY question, fp) AS raised FROM bb WHERE part = 0 OR before < 4)
+SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY part, place) AS INTEGER) AS place, collection, id, part = 1 OR (fp <> '' AND raised) AS from_expansion FROM bl WHERE part = 0 OR new"""
+
+
 def index_counts(spark: SparkSession, d: str) -> DataFrame:
     return bundle.collection_counts(_table(spark, d), [*retrieval.COLLECTIONS, "spare"])
 
@@ -182,5 +197,5 @@ def text_vectors(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     (text_vectors, None), (search_context, None),
     (vector_topk, VECTOR_TOPK), (weighted_topk_by_collection, WEIGHTED), (fit_context, FIT_CONTEXT), (silence, SILENCE), (citations_distinct, CITATIONS), (prompt_render, PROMPT),
-    (multi_query_expansion, None), (index_counts, INDEX_COUNTS),
+    (multi_query_expansion, EXPANSION), (index_counts, INDEX_COUNTS),
 ]
