@@ -212,7 +212,14 @@ WIDE_BYTES = 64
 ENTRY_BYTES = 3
 WIDE_ENTRIES = 256
 #: The entries whose hubs are looked for first; what these join is compared no more in any entry.
-HUB_ENTRIES = 96
+HUB_ENTRIES = 160
+#: Bits of the part of the fingerprint that travels with a posting (SKETCH_BYTES) in which a pair may differ: as for WIDE_BITS below, 15.2 % of 64 bits are
+#: 9.7 with a deviation of 2.9, or 12.0 and 3.1 for sets of fewer than FINE_LEAST shingles; three and a half deviations more. Two
+#: fingerprints that have nothing in common differ in 32 with a deviation of 4, so hardly a meeting by chance passes.
+SKETCH_BYTES = 8
+SKETCH_BITS, SKETCH_BITS_FEW = 20, 23
+#: Members of an entry of which it is looked up here who has a partner; of larger entries all stay and are compared by longer fingerprints.
+LOOKED_UP = 2048
 #: Bits in which the fingerprints of a pair may differ: 4/5 makes an angle of 27.3 degrees, so 15.2 % of the bits (77.6 of 512)
 #: with a standard deviation of 8.1; four deviations more.
 WIDE_BITS = 110
@@ -291,8 +298,8 @@ def wide_fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame, entries: int = WIDE_ENTRIES, more: tuple[str, ...] = ()) -> DataFrame:
-    """(entry, id, n, and bigints named by more): each class's places in the first so many ways of the index, an entry being a set of positions and the
-    bytes that stand there."""
+    """(entry, id, n, sketch, and bigints named by more): each class's places in the first so many ways of the index, an entry being a set of positions and
+    the bytes that stand there. sketch is the first bytes of the fingerprint."""
     positions = entry_positions()[np.random.default_rng(entries).permutation(WIDE_ENTRIES)[:entries]]
     names = ["id", "n", *more]
 
@@ -304,10 +311,11 @@ def postings(classes: DataFrame, entries: int = WIDE_ENTRIES, more: tuple[str, .
                 part = b.slice(a, BATCH_DOCS)
                 bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(len(part), -1)
                 found = (bits[:, positions].astype(np.int64) * weight).sum(2) | number
-                carried = (np.repeat(np.asarray(part.column(c)), len(positions)) for c in names)
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *map(pa.array, carried)], names=["entry", *names])
+                sketch = np.ascontiguousarray(bits[:, :SKETCH_BYTES]).view("<i8").ravel()
+                i, n, *rest = (np.repeat(x, len(positions)) for x in (*(np.asarray(part.column(c)) for c in names[:2]), sketch, *(np.asarray(part.column(c)) for c in more)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.ravel(), i, n, *rest)], names=["entry", "id", "n", "sketch", *more])
 
-    return classes.select("bits", *names).mapInArrow(run, "entry bigint, id bigint, n int" + "".join(f", {c} bigint" for c in more))
+    return classes.select("bits", *names).mapInArrow(run, "entry bigint, id bigint, n int, sketch bigint" + "".join(f", {c} bigint" for c in more))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -342,15 +350,40 @@ def _size_allows(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m)
 
 
+def _may_be_near(n: np.ndarray, sketch: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches of pairs allow the similarity."""
+    limit = np.where(np.minimum(n, m) < FINE_LEAST, SKETCH_BITS_FEW, SKETCH_BITS)
+    return _size_allows(n, m) & (np.bitwise_count((sketch ^ other).astype(np.uint64)) <= limit)
+
+
+def _partnered(bounds: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which postings have, in their entry, one of another label that may be near."""
+    n, kept, sizes = n.astype(np.int64), np.zeros(len(n), bool), np.diff(bounds)
+    two = bounds[:-1][sizes == 2]
+    ok = _may_be_near(n[two], sketch[two], n[two + 1], sketch[two + 1]) & (label[two] != label[two + 1])
+    kept[two] = kept[two + 1] = ok
+    for at in np.flatnonzero(sizes > 2).tolist():
+        lo, hi = int(bounds[at]), int(bounds[at + 1])
+        mine = label[lo:hi]
+        if (mine == mine[0]).all():
+            continue
+        if hi - lo > LOOKED_UP:
+            kept[lo:hi] = True
+            continue
+        for i in range(lo, hi, 256):
+            rows = slice(i, min(i + 256, hi))
+            kept[rows] |= (_may_be_near(n[rows, None], sketch[rows, None], n[None, lo:hi], sketch[None, lo:hi]) & (label[rows, None] != mine[None, :])).any(1)
+    return kept
+
+
 def meetings(posted: DataFrame) -> DataFrame:
-    """The postings whose entry another one has, with size, the number of them in the entry."""
+    """(entry, id, n, size): the postings whose entry another one has that may be near, size being the number of such in the entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, bounds in _runs(batches):
-            sizes = np.diff(bounds)
-            kept = np.repeat(sizes > 1, sizes)
-            size = np.repeat(sizes, sizes)[kept]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[kept]) for c in columns), pa.array(size)], names=["entry", "id", "n", "size"])
+        for (entry, ids, n, sketch), bounds in _runs(batches):
+            kept = _partnered(bounds, n, sketch, np.arange(len(ids)))
+            size = np.repeat(np.add.reduceat(kept.astype(np.int64), bounds[:-1]), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (entry, ids, n, size)], names=["entry", "id", "n", "size"])
 
     return _by_entry(posted).mapInArrow(run, "entry bigint, id bigint, n int, size bigint")
 
@@ -380,15 +413,14 @@ def other_hubs(hubs: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def open_entries(classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """(entry, id, n, label): the postings of classes in entries whose members joined leaves apart; label is the component.
+    """(entry, id, n, label): the postings of classes whose entry has one that may be near and that joined leaves apart; label is the component.
 
     Labels are joined to classes and travel with the postings, so no posting is joined with anything."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, bounds in _runs(batches):
-            least, most = (f.reduceat(columns[3], bounds[:-1]) for f in (np.minimum, np.maximum))
-            kept = np.repeat(least < most, np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["entry", "id", "n", "label"])
+        for (entry, ids, n, sketch, label), bounds in _runs(batches):
+            kept = _partnered(bounds, n, sketch, label)
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (entry, ids, n, label)], names=["entry", "id", "n", "label"])
 
     labelled = classes.join(joined, classes["id"] == joined["node"], "left").select("bits", "id", "n", F.coalesce("component", "id").alias("label"))
     return _by_entry(postings(labelled, more=("label",))).mapInArrow(run, "entry bigint, id bigint, n int, label bigint")
