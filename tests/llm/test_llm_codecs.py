@@ -63,13 +63,50 @@ def test_token_files(spark):
     assert rans.token_file_digest(df.limit(0), WORDS).count() == 0
 
 
-def test_damaged_block(spark):
+def test_damaged_block_and_table(spark):
     df = spark.createDataFrame([(i, "some words here " * 9) for i in range(20)], "doc_id long, text string")
     make = rans.word_tokenizer(WORDS)
-    blocks, slots = rans.write_token_files(df, make, 2, "<u2")
+    path = rans.write_token_files(df, make, 2, "<u2")
+    blocks, slots = rans.open_token_files(spark, path)
     bad = blocks.withColumn("words", F.concat(F.expr("substring(words, 1, octet_length(words) - 1)"), F.lit(b"\x99")))
     with pytest.raises(Exception, match="damaged"):
         rans.decode_blocks(bad, slots, lambda ids: [len(ids)], "n int").count()
+    table = spark.read.parquet(f"{path}/table")
+    last = table.agg(F.max("id")).first()[0]
+    one = F.when(F.col("id") == last, 1).otherwise(0)
+    for wrong in (table.filter(F.col("id") != last), table.limit(0), table.withColumn("slots", F.col("slots") + one), table.withColumn("id", F.col("id") + one), table.unionByName(table.limit(1)), table.withColumn("crc32", F.col("crc32") + one)):
+        with pytest.raises(ValueError, match="damaged"):
+            rans.read_table(wrong)
+
+
+def test_token_files_are_decoded_by_what_stands_in_them(spark):
+    """A decoder of its own, state by state, that has the folder and nothing else."""
+    import pyarrow.parquet as pq
+
+    texts = ["a line of words, " * 40, "", None, "Überall  sonst"] * 9
+    path = rans.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rans.word_tokenizer(WORDS), 2, "<u2")
+    folder = path.removeprefix("file:")
+    table = sorted((r["id"], r["slots"]) for r in pq.read_table(f"{folder}/table").to_pylist())
+    total, starts, at = sum(n for _, n in table), {}, 0
+    by_slot = []
+    for i, n in table:
+        starts[i], at = at, at + n
+        by_slot += [i] * n
+    slots, got = dict(table), {}
+    for b in pq.read_table(f"{folder}/blocks").to_pylist():
+        states, words, ids = np.frombuffer(b["states"], "<u8").tolist(), iter(np.frombuffer(b["words"], "<u4").tolist()), []
+        while len(ids) < b["n_ids"]:
+            for lane, x in enumerate(states):
+                slot = x % total
+                i = by_slot[slot]
+                ids.append(i)
+                x = slots[i] * (x // total) + slot - starts[i]
+                states[lane] = x if x >= 1 << 31 else x << 32 | next(words)
+        at = 0
+        for doc, n in zip(b["doc_ids"], b["doc_lengths"]):
+            got[doc], at = ids[at : at + n], at + n
+    library = Tokenizer.from_file(WORDS)
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
 
 
 PAYLOADS = st.one_of(st.binary(max_size=5000), st.integers(0, 255).map(lambda b: bytes([b]) * 3000), st.text(max_size=900).map(lambda t: t.encode()))

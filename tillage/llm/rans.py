@@ -8,23 +8,25 @@ first document, ids before it), the documents' lengths, the lanes' final
 states, the words that the states shed, and a CRC-32 of all that: any task
 can decode any block, and damage is found before ids are used.
 
-Columns of a block file: shard int, block int, first_doc bigint, ids_before
+A token file is a folder with two Parquet tables. blocks: shard int, block int, first_doc bigint, ids_before
 bigint (in the shard), n_ids bigint, doc_ids array<bigint>, doc_lengths
-array<bigint>, states binary, words binary, crc32 bigint. The table file:
-id int, slots int (a power of two in sum).
+array<bigint>, states binary, words binary, crc32 bigint. table: id int, slots int (a power of two in sum) of each id that
+occurs, and in each row crc32 bigint, the CRC-32 of all (id, slots) in ascending order as little-endian 32-bit numbers. So a folder is decoded
+by what stands in it (`open_token_files`), and a damaged table is found before it is used.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillage.llm.common import written
+from tillage.llm.common import scratch_dir, written
 
 #: log2 of the slots that the table deals out to the ids.
 TABLE_BITS = 18
@@ -258,14 +260,45 @@ def global_starts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
-def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: str, text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Tokenize docs, write their block files and return them as read back, with the table.
+TABLE = "id int, slots int, crc32 bigint"
+
+
+def _table_crc(ids: np.ndarray, slots: np.ndarray) -> int:
+    return zlib.crc32(np.stack([ids, slots], 1).astype("<u4").tobytes())
+
+
+def write_table(spark: SparkSession, slots: np.ndarray, path: str) -> None:
+    ids = np.flatnonzero(slots)
+    crc = _table_crc(ids, slots[ids])
+    rows = pa.table({"id": pa.array(ids, pa.int32()), "slots": pa.array(slots[ids], pa.int32()), "crc32": pa.array(np.full(len(ids), crc), pa.int64())})
+    spark.createDataFrame(rows).coalesce(1).write.parquet(path)
+
+
+def read_table(table: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+    """The slots of each id, from the rows of a table file, of which there are 2**bits at most; one whose CRC-32 or sum is wrong raises."""
+    rows = table.select("id", "slots", "crc32").limit((1 << bits) + 1).toPandas().sort_values("id")
+    ids, slots = rows["id"].to_numpy(), rows["slots"].to_numpy()
+    if not len(rows) or int(slots.sum()) != 1 << bits or (rows["crc32"] != _table_crc(ids, slots)).any() or (np.diff(ids) == 0).any():
+        raise ValueError("the table of a token file is damaged")
+    out = np.zeros(int(ids[-1]) + 1, np.int64)
+    out[ids] = slots
+    return out
+
+
+def open_token_files(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(blocks, slots) of the token file at path, as decode_blocks takes them."""
+    return spark.read.schema(BLOCK).parquet(f"{path}/blocks"), read_table(spark.read.schema(TABLE).parquet(f"{path}/table"))
+
+
+def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: str, text: str = "text") -> str:
+    """Tokenize docs and write them as a token file in the shared folder; gives its path.
 
     tokenize makes, once for each Python worker, a function from an Arrow array of texts to
     a list of bytes: ids of the numpy type in width (<u2 or <u4). A null text counts as
     empty; every document ends with end_id. The number of shards follows the ids. Further columns are ignored.
     """
     end = np.array([end_id], width).tobytes()
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenize()
@@ -276,7 +309,10 @@ def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: s
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     tokens = written(picked.mapInArrow(run, "doc_id bigint, ids binary"), "tokens")
     slots, n_ids = slot_table(tokens, width)
-    return written(encode_blocks(tokens, slots, width, shards_for(n_ids)), "token-files", compression="uncompressed"), slots
+    path = f"{scratch_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    write_table(spark, slots, f"{path}/table")
+    encode_blocks(tokens, slots, width, shards_for(n_ids)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    return path
 
 
 def word_tokenizer(path: str, cache: int = 500_000) -> Callable:
@@ -298,6 +334,6 @@ def token_file_digest(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     the end id, and ids_crc32 is of the ids as little-endian uint32. An empty table gives no rows.
     """
     make = word_tokenizer(path)
-    blocks, slots = write_token_files(docs, make, end_id, make().dtype.str)
+    blocks, slots = open_token_files(docs.sparkSession, write_token_files(docs, make, end_id, make().dtype.str))
     found = decode_blocks(blocks, slots, lambda ids: [zlib.crc32(ids.astype("<u4").tobytes())], "ids_crc32 bigint")
     return global_starts(found, blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
