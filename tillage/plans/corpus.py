@@ -53,7 +53,7 @@ def talk_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.talk_windows(docs).select("source_id", "id", "chunk", "tokens", F.md5("text").alias("text_md5"))
 
 
-def _windows_sql(texts: str, target: int, overlap: int) -> str:
+def windows_sql(texts: str, target: int, overlap: int) -> str:
     """CTEs w (key, chunk, a, z: sentences a to z - 1) and c (key, l the sentences, n their tokens) of texts (key, text)."""
     return rf"""
 s AS (SELECT key, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z"''])', '\1' || chr(1) || '\2', 'g'), chr(1)),
@@ -67,7 +67,7 @@ w(key, chunk, a, z) AS (
   FROM (SELECT w.key, w.chunk, w.z, c.k, c.cum, list_filter(range(w.a, w.z + 1), lambda q: c.cum[w.z + 1] - c.cum[q + 1] <= {overlap})[1] AS st FROM w JOIN c ON c.key = w.key WHERE w.z < c.k) x)"""
 
 
-TALK_WINDOWS = f"""WITH RECURSIVE {_windows_sql('SELECT doc_id AS key, text FROM documents', 1000, 150)}
+TALK_WINDOWS = f"""WITH RECURSIVE {windows_sql('SELECT doc_id AS key, text FROM documents', 1000, 150)}
 SELECT w.key AS source_id, w.key || '#c' || lpad(CAST(chunk AS VARCHAR), 4, '0') AS id, CAST(chunk AS INTEGER) AS chunk, CAST(list_sum(n[a + 1:z]) AS INTEGER) AS tokens, md5(array_to_string(l[a + 1:z], ' ')) AS text_md5
 FROM w JOIN c ON c.key = w.key"""
 
@@ -80,7 +80,7 @@ def page_pack(spark: SparkSession, d: str) -> DataFrame:
 PAGE_PACK = rf"""WITH RECURSIVE x AS (SELECT doc_id, 0 AS place, source AS label, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents
   UNION ALL SELECT doc_id, 1, CASE WHEN lang <> '' THEN concat_ws(' — ', source, lang) ELSE source END, 'Read on. And so forth.' FROM documents),
 e AS (SELECT *, len(list_filter(string_split_regex(body, '\s+'), lambda y: y <> '')) * 133 // 100 AS tokens FROM x WHERE body <> ''),
-{_windows_sql("SELECT doc_id AS key, body AS text FROM e WHERE tokens > 900", 900, 0)},
+{windows_sql("SELECT doc_id AS key, body AS text FROM e WHERE tokens > 900", 900, 0)},
 u AS (SELECT doc_id, place, 0 AS chunk, label, tokens, body AS text FROM e WHERE tokens <= 900
   UNION ALL SELECT e.doc_id, place, chunk, label, list_sum(n[a + 1:z]), array_to_string(l[a + 1:z], ' ') FROM w JOIN c ON c.key = w.key JOIN e ON e.doc_id = w.key AND e.tokens > 900)
 SELECT doc_id, doc_id || '#s' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, chunk) - 1 AS VARCHAR), 4, '0') AS id, label, CAST(tokens AS INTEGER) AS tokens, md5(text) AS text_md5 FROM u"""

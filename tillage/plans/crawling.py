@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillage.functions import urls as U
 from tillage.operators import bundle, chunking, crawl, retrieval, state
 from tillage.plans import references
-from tillage.plans.corpus import CANONICAL
+from tillage.plans.corpus import CANONICAL, windows_sql
 from tillage.plans.worklog import LOG, jobs_of
 from tillage.sources.logs import read_catalog
 from tillage.tables import scratch_dir
@@ -138,6 +138,36 @@ a AS (SELECT source_id, arg_min(ref, line) AS p FROM w WHERE chunk < 2 GROUP BY
 SELECT c.source_id, c.chunk, CASE WHEN c.source_id % 3 = 0 THEN 'Ruth 2' ELSE coalesce(b.p, a.p) END AS primary_refs FROM c LEFT JOIN b USING (source_id) LEFT JOIN a USING (source_id)"""
 
 
+def indexed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as items of all kinds, with pages and, for most, transcripts: every chunk that goes into the index."""
+    k, name = F.col("doc_id"), lambda c: F.concat(F.lit(c), F.col("doc_id").cast("string"))
+    docs = _t(spark, d, "documents")
+    kind = F.element_at(F.array(F.lit("message"), F.lit("page"), F.lit("belief")), (k % 3 + 1).cast("int"))
+    title = F.when(k % 2 == 0, F.concat(F.lit("On Mark "), (k % 16 + 1).cast("string"))).otherwise("")
+    items = docs.select(name("i").alias("id"), kind.alias("kind"), title.alias("title"), name("p").alias("page_path"), name("t").alias("transcript_path"), F.lit(None).cast("array<string>").alias("scripture_refs"))
+    sections = F.array(F.struct(F.lit("").alias("heading"), F.col("text").alias("body")), F.struct(F.lit("End").alias("heading"), F.lit("Read Ruth 1:2.").alias("body")))
+    pages = docs.select(name("p").alias("path"), name("Page ").alias("title"), sections.alias("sections"), F.when(k % 5 == 0, F.array(F.lit("Jude 1:2"))).alias("scripture_refs"))
+    said = docs.filter(k % 4 != 0).select(name("t").alias("path"), F.lit("said").alias("title"), "text")
+    found = chunking.indexed_chunks(items, pages, said)
+    return found.select("collection", "source_id", "id", "title", F.md5("text").alias("text_md5"), F.array_join("scripture_refs", "|").alias("scripture_refs"), F.array_join("primary_refs", "|").alias("primary_refs"))
+
+
+INDEXED = rf"""WITH RECURSIVE i AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body, doc_id % 3 = 2 AS belief FROM documents),
+j AS (SELECT *, body <> '' AND doc_id % 4 <> 0 AND NOT belief AS said, len(list_filter(string_split_regex(body, '\s+'), lambda y: y <> '')) * 133 // 100 AS tokens FROM i),
+src AS (SELECT *, 'i' || doc_id || CASE WHEN said THEN '' ELSE ':page' END AS source_id, CASE WHEN doc_id % 2 = 0 THEN 'On Mark ' || (doc_id % 16 + 1) WHEN said THEN 'said' ELSE 'Page ' || doc_id END AS title,
+  list_filter([CASE WHEN doc_id % 2 = 0 THEN 'Mark ' || (doc_id % 16 + 1) END, CASE WHEN doc_id % 5 = 0 THEN 'Jude 1:2' END], lambda r: r IS NOT NULL) AS given FROM j),
+tw AS (WITH RECURSIVE {windows_sql('SELECT doc_id AS key, body AS text FROM src WHERE said', 1000, 150)} SELECT w.key AS doc_id, chunk, array_to_string(l[a + 1:z], ' ') AS text FROM w JOIN c ON c.key = w.key),
+pw AS (WITH RECURSIVE {windows_sql('SELECT doc_id AS key, body AS text FROM src WHERE NOT said AND NOT belief AND tokens > 900', 900, 0)} SELECT w.key AS doc_id, chunk, array_to_string(l[a + 1:z], ' ') AS text FROM w JOIN c ON c.key = w.key),
+pg AS (SELECT doc_id, 0 AS place, chunk, text, '' AS refs FROM pw UNION ALL SELECT doc_id, 0, 0, body, '' FROM src WHERE NOT said AND NOT belief AND tokens <= 900 AND body <> ''
+  UNION ALL SELECT doc_id, 1, 0, 'Read Ruth 1:2.', 'Ruth 1:2' FROM src WHERE NOT said AND NOT belief),
+pn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, chunk) - 1 AS n FROM pg),
+al AS (SELECT doc_id, '#c' || lpad(CAST(chunk AS VARCHAR), 4, '0') AS tail, text, '' AS refs, '' AS opening FROM tw
+  UNION ALL SELECT doc_id, '#s' || lpad(CAST(n AS VARCHAR), 4, '0'), text, refs, coalesce(max(CASE WHEN n < 2 THEN nullif(refs, '') END) OVER (PARTITION BY doc_id), '') FROM pn
+  UNION ALL SELECT doc_id, '#b0000', body, '', '' FROM src WHERE belief AND body <> '' UNION ALL SELECT doc_id, '#b0001', 'Read Ruth 1:2.', 'Ruth 1:2', '' FROM src WHERE belief)
+SELECT CASE WHEN belief THEN 'beliefs' ELSE 'talks' END AS collection, source_id, source_id || tail AS id, title, md5(al.text) AS text_md5, refs AS scripture_refs,
+  CASE WHEN belief THEN '' WHEN len(given) > 0 THEN array_to_string(given, '|') ELSE opening END AS primary_refs FROM al JOIN src USING (doc_id)"""
+
+
 def bundle_checksums(spark: SparkSession, d: str) -> DataFrame:
     """Texts as the files of a bundle: their checksums, and the totals as a row without a path."""
     sums = bundle.checksums(_t(spark, d, "documents").select(F.concat(F.lit("t/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
@@ -164,5 +194,5 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN c ELSE array_to_string(list_filter(
 
 QUERIES = [
     (catalog_new, CATALOG_NEW), (catalog_revisits, REVISITS), (catalog_tallies, TALLIES), (crawl_outcomes, OUTCOMES), (catalog_scan, CATALOG_SCAN), (attached_files, ATTACHED), (transcripts, TRANSCRIPTS),
-    (stamped_chunks, STAMPED), (bundle_checksums, CHECKSUMS), (citation_labels, LABELS),
+    (stamped_chunks, STAMPED), (indexed_chunks, INDEXED), (bundle_checksums, CHECKSUMS), (citation_labels, LABELS),
 ]
