@@ -157,7 +157,7 @@ def scan_licences(docs: DataFrame, text: str = "text", phrases: dict[str, str] =
     base_labels; both are distinct, sorted and joined by commas, empty if there is
     none. score is the largest share of a template's words in place, 0.5 at least where
     a phrase was found and else 0. spans lists the templates' matches as label:place, joined by commas. A null or
-    empty text has no words; repeated rows get equal results; other columns are ignored.
+    empty text has no words; repeated rows get equal results; other columns are ignored; an empty table gives no rows.
     """
     scanned = written(scan_words(docs, text, phrases, templates), "licence-words")
     idf = inverse_frequencies(scanned)

@@ -189,8 +189,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS
 def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """docs' rows whose doc_id is among kept (kept_id), one row of each, and all rows without a doc_id.
 
-    Of rows that repeat a doc_id the one with the least hash of all its columns stays, so a task that runs again
-    chooses the same.
+    Of rows that repeat a doc_id the one with the least hash of all its columns, as JSON, stays, so a task that runs again
+    chooses the same. Rows that differ only in what JSON doesn't show are one to it, and any of them may stay.
     """
     named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     nameless = docs.filter(docs["doc_id"].isNull())

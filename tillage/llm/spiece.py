@@ -286,7 +286,7 @@ def encode_and_check(docs: DataFrame, path: str, kind: str = "bpe", text: str =
     ids is what encode gives, ids_crc32 the CRC-32 of them as little-endian
     uint32, and round_trip whether decode gives the text back (true for a null
     text, whose ids are empty). A text that holds the mark U+2581 itself comes
-    back with spaces for it. Other columns are ignored; repeated rows give equal rows.
+    back with spaces for it. Other columns are ignored; repeated rows give equal rows; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
