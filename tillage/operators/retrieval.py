@@ -39,10 +39,11 @@ def vector_topk(questions: DataFrame, table: DataFrame, top_k: dict[str, int] =
     one task, which keeps its best; the rest is a ranking of those. Rows are copied once for each block of questions and questions once for
     each block of rows, so blocks are as large as a task's memory allows, and few questions leave the rows where they are.
     """
+    # Questions may be rows of the table itself: casts give the table's side columns of its own, which a cogroup of both needs.
     n, q = table.count(), questions.count()
     nb, qb = max(1, -(-n // TABLE_BLOCK)), max(1, -(-q // QUESTION_BLOCK))
     most = {c: k * candidates for c, k in top_k.items() if k > 0}
-    rows = table.filter(F.col("collection").isin(list(most))).select("id", "collection", "vector")
+    rows = table.filter(F.col("collection").isin(list(most))).select(*[F.col(c).cast(table.schema[c].dataType).alias(c) for c in ("id", "collection", "vector")])
     left = questions.select("question", "vector")
     left = left.withColumn("j", F.pmod(F.xxhash64("question"), F.lit(qb))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))))
     right = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint"))))
