@@ -157,6 +157,10 @@ def article(page):
         ("a < b and 3 <4 <p>c</p> &am &amp", "a < b and 3 <4\n\nc\n\n&am &"),
         ("<title>t</title><noscript>n</noscript><template><p>t</p></template><p>x</p><script>never closed", "x"),
         ("<article><p>said<span class='ad'>buy</span> he</p></article>", "said he"),
+        ("<div class='content-sidebar-wrap'><div id=sidebar-left><p>s</p></div><article class='post has-sidebar comments-open'><p>x</p></article></div>", "x"),
+        ("<article><p>x</p><div class='article-sidebar'>s</div><p class='post-share'>s</p><div class='entry-content no-ads'><p>y</p></div><p class='downloads'>z</p></article>", "x\n\ny\n\nz"),
+        ("<div role=main class=page-body><p>x</p><ul class='main-menu'><li>m</ul><div class='sideBar'>s</div><div id=comments><p>c</p></div></div><p>out</p>", "x"),
+        ("<div class='ad-container'>kept, as it may frame the page</div><div class=nav-top>gone</div><section id=reader-comments>c</section>", "kept, as it may frame the page"),
         ("", ""),
         (None, ""),
         ("<p></p>", ""),
