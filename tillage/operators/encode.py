@@ -27,8 +27,9 @@ TERMS = 1 << 14
 #: Columns beyond the dimension, and passes after the first: more of either bring small singular values closer.
 OVERSAMPLE = 16
 POWER = 2
-#: Numbers that one batch of texts holds at most while it is multiplied, and rows of the basis that travel together.
-BATCH_TERMS = 1 << 15
+#: Texts, and terms of theirs, that are multiplied at a time, and rows of the basis that travel together.
+BATCH_TEXTS = 256
+BATCH_TERMS = 1 << 16
 BLOCK = 256
 MODEL = "hashed-tfidf-svd"
 
@@ -58,7 +59,7 @@ def _sparse(b: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np
     sizes = np.diff(np.asarray(b.column(1).offsets))
     while at < len(sizes):
         ends = np.cumsum(sizes[at:])
-        n = max(1, int(np.searchsorted(ends, BATCH_TERMS, "right")))
+        n = max(1, min(BATCH_TEXTS, int(np.searchsorted(ends, BATCH_TERMS, "right"))))
         part = b.slice(at, n)
         t, c = np.asarray(part.column(1).flatten()), np.asarray(part.column(2).flatten())
         bounds = np.concatenate([[0], ends[:n]])
@@ -69,13 +70,15 @@ def _sparse(b: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np
         at += n
 
 
-def _times(t: np.ndarray, w: np.ndarray, bounds: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Rows times basis; a row without a term gives zeros."""
-    out = np.zeros((len(bounds) - 1, basis.shape[1]))
-    some = np.flatnonzero(np.diff(bounds))
-    if len(some):
-        out[some] = np.add.reduceat(w[:, None] * basis[t], bounds[some], axis=0)
-    return out
+def _dense(t: np.ndarray, w: np.ndarray, bounds: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the terms that rows use, the rows as a matrix over these). Some hundred texts share most of their words, so this is small, and its products are
+    several times as fast as sums over single terms."""
+    used = np.zeros(terms, bool)
+    used[t] = True
+    place = np.cumsum(used) - 1
+    rows = np.zeros((len(bounds) - 1, int(place[-1]) + 1))
+    rows[np.repeat(np.arange(len(rows)), np.diff(bounds)), place[t]] = w
+    return np.flatnonzero(used), rows
 
 
 def _gram_times(counts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -85,13 +88,9 @@ def _gram_times(counts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((terms, width))
         for b in batches:
-            for t, w, bounds in _sparse(b, idf):
-                if not len(t):
-                    continue
-                y = np.repeat(_times(t, w, bounds, basis), np.diff(bounds), axis=0) * w[:, None]
-                order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.diff(t[order], prepend=-1))
-                total[t[order][first]] += np.add.reduceat(y[order], first, axis=0)
+            for part in _sparse(b, idf):
+                used, rows = _dense(*part, terms)
+                total[used] += rows.T @ (rows @ basis[used])
         for at in range(0, terms, BLOCK):
             if total[at : at + BLOCK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([total[at : at + BLOCK].tobytes()], pa.binary())], names=["block", "sums"])
@@ -146,7 +145,10 @@ class Encoder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                y = np.concatenate([np.zeros((0, basis.shape[1])), *(_times(*part, basis) for part in _sparse(b, idf))])
+                y = np.zeros((0, basis.shape[1]))
+                for part in _sparse(b, idf):
+                    used, rows = _dense(*part, len(idf))
+                    y = np.concatenate([y, rows @ basis[used]])
                 length = np.sqrt((y * y).sum(1, keepdims=True))
                 y = np.where(length > 1e-12, y / np.maximum(length, 1e-12), 0).astype(np.float32)
                 offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
