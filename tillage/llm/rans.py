@@ -315,7 +315,7 @@ def write_token_files(docs: DataFrame, tokenize: Callable, end_id: int, width: s
     return path
 
 
-def word_tokenizer(path: str, cache: int = 500_000) -> Callable:
+def word_tokenizer(path: str, cache: int = 600_000) -> Callable:
     """A maker of encoders for a tokenizers file that works word by word (see WordEncoder)."""
 
     def make() -> Callable:

@@ -9,6 +9,7 @@ and the ids of a word are those of its pre-tokens.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -19,6 +20,9 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Marks that may end a word and are one pre-token together.
 _MARKS = ".,;:!?|-#%&*$()"
+#: Marks at the end of a word after a plain letter, where every pre-token ends: a space before them leaves the pre-tokens as they are, and
+#: words are learned once and not once for each mark.
+_ENDING = re.compile(rb"(?<=[A-Za-z])[.,;:!?]+(?=\s|\Z)")
 #: Letters whose lower case depends on the word or has several characters.
 _CASE_ODD = frozenset("\u03a3\u0130")
 
@@ -32,8 +36,8 @@ class WordEncoder:
     """Call it with an Arrow array of texts: a list of ids as little-endian bytes, two for each
     id where the vocabulary allows it and else four (`dtype`).
 
-    Words seen are kept, up to `limit`, after which the store starts afresh, so
-    its memory is bounded and results don't depend on it.
+    Words seen are kept, up to `limit`. Then a new store is begun, and the full one serves until that is full too, so words that
+    come often are learned once, memory is bounded, and results don't depend on it.
     """
 
     _made: dict[tuple[str, int], WordEncoder] = {}
@@ -68,6 +72,7 @@ class WordEncoder:
         self.alphabet = _byte_alphabet()
         self.limit = limit
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _pretokens(self, word: bytes) -> tuple[str, ...] | list[str] | None:
@@ -88,20 +93,23 @@ class WordEncoder:
         return self.find("".join(c.lower() for c in unicodedata.normalize("NFC", text)))
 
     def _learn(self, new: set[bytes]) -> None:
-        cut = {w: self._pretokens(w) for w in new}
+        plain = [w for w in new if w.isalpha()]  # ASCII letters only, as it is bytes that are asked
+        cut = {w: self._pretokens(w) for w in new.difference(plain)}
         fresh = list({p for x in cut.values() if x for p in x}.difference(self.parts))
-        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet) for p in fresh]
+        shown = [w.lower().decode() for w in plain]
+        shown += [p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet) for p in fresh]
         lines = [" ".join(shown[i : i + 400]) for i in range(0, len(shown), 400)]
         fast = getattr(self.words_only, "encode_batch_fast", self.words_only.encode_batch)
         found = [e.ids for e in fast(lines, add_special_tokens=False)]
         ids = np.array([i for x in found for i in x], "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-        if len(stops) != len(fresh):
+        if len(stops) != len(shown):
             raise ValueError("word ends don't match the words")
-        raw, at = ids.astype(self.dtype).tobytes(), 0
-        for p, stop in zip(fresh, (stops * self.dtype.itemsize).tolist()):
-            self.parts[p] = raw[at:stop]
-            at = stop
+        raw = ids.astype(self.dtype).tobytes()
+        ends = (stops * self.dtype.itemsize).tolist()
+        pieces = [raw[a:z] for a, z in zip([0, *ends], ends)]
+        self.words.update(zip(plain, pieces))
+        self.parts.update(zip(fresh, pieces[len(plain) :]))
         get = self.parts.__getitem__
         for w, x in cut.items():
             if x is None:
@@ -109,17 +117,25 @@ class WordEncoder:
             else:
                 self.words[w] = b"".join(map(get, x))
 
-    def __call__(self, texts, at_once: int = 128) -> list[bytes]:
-        out = []
-        for start in range(0, len(texts), at_once):
+    def __call__(self, texts, at_once: int = 1024, most_bytes: int = 1 << 22) -> list[bytes]:
+        """at_once: texts that are cut before their words are looked up; fewer where they have more than most_bytes."""
+        out, start = [], 0
+        while start < len(texts):
+            n = min(at_once, max(1, at_once * most_bytes // max(1, texts.slice(start, at_once).nbytes)))
+            part, start = texts.slice(start, n), start + n
             cut = []
-            for t in texts[start : start + at_once].to_pylist():
-                cut.append((t.encode().lower() if t.isascii() else t.encode()).split() if t else [])
-            new = {w for words in cut for w in words if w not in self.words}
+            for t in part.to_pylist():
+                cut.append(_ENDING.sub(rb" \g<0>", t.encode().lower() if t.isascii() else t.encode()).split() if t else [])
+            seen = set().union(*cut)
+            new = seen.difference(self.words)
             if len(self.words) + len(new) > self.limit:
-                self.words.clear()
+                self.before, self.words = self.words, {}
                 self.parts.clear()
-                new = {w for words in cut for w in words}
+                new = seen
+            if new:
+                back = new.intersection(self.before)
+                self.words.update(zip(back, map(self.before.__getitem__, back)))
+                new = new.difference(back)
             if new:
                 self._learn(new)
             get = self.words.__getitem__
