@@ -31,6 +31,8 @@ POWER = 2
 BATCH_TEXTS = 256
 BATCH_TERMS = 1 << 16
 BLOCK = 256
+#: Tasks of a pass for each core.
+TASKS = 3
 MODEL = "hashed-tfidf-svd"
 
 
@@ -82,8 +84,11 @@ def _dense(t: np.ndarray, w: np.ndarray, bounds: np.ndarray, terms: int) -> tupl
 
 
 def _gram_times(counts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A basis for the weighted rows A of counts."""
+    """A'A basis for the weighted rows A of counts.
+
+    Each task sends one matrix of the basis's size, so there are only a few tasks for each core, however many files there are."""
     terms, width = basis.shape
+    counts = counts.coalesce(TASKS * counts.sparkSession.sparkContext.defaultParallelism)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((terms, width))
@@ -93,13 +98,13 @@ def _gram_times(counts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
                 total[used] += rows.T @ (rows @ basis[used])
         for at in range(0, terms, BLOCK):
             if total[at : at + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([total[at : at + BLOCK].tobytes()], pa.binary())], names=["block", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([total[at : at + BLOCK].astype("<f4").tobytes()], pa.binary())], names=["block", "sums"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[block] = total.get(block, 0) + np.frombuffer(sums)
+                total[block] = total.get(block, 0) + np.frombuffer(sums, "<f4").astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
 
     kind = "block int, sums binary"
