@@ -153,7 +153,7 @@ def _read_path(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """What `retrieval.search` takes: talks are the chunks of sources made from lineitem, scripture cites a reference made from its id."""
     chunks = references.chunks_of(spark, d).withColumn("source_id", F.concat(F.lit("s"), F.col("source_id").cast("string")))
     name = F.concat("source_id", F.lit("#"), F.col("chunk").cast("string"))
-    chunks = chunks.select("source_id", "chunk", name.alias("id"), "refs", "primary", F.concat(F.lit("talk "), "source_id").alias("title"))
+    chunks = kept_table(chunks.select("source_id", "chunk", name.alias("id"), "refs", "primary", F.concat(F.lit("talk "), "source_id").alias("title")), "search-chunks")
     v = F.col("vec_id")
     code = F.element_at(F.array(*[F.lit(c) for c in references.CODES]), (v % 10 + 1).cast("int"))
     ref = F.array(F.struct(code.alias("book"), (v % 7 + 1).cast("int").alias("chapter"), (v % 50).cast("int").alias("vs"), (v % 50 + 3).cast("int").alias("ve")))
@@ -162,7 +162,8 @@ def _read_path(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     rows = _t(spark, d, "embeddings").select("vec_id").join(table.select(F.col("id").alias("vec_id"), "collection"), "vec_id")
     rows = rows.withColumns({"source_id": F.when(F.col("collection") == "talks", F.concat(F.lit("s"), (v % 100 + 1).cast("string"))).otherwise(""), "chunk": F.floor(v / 100).cast("int")})
     rows = rows.join(chunks.select("source_id", "chunk", "refs", "primary", "title"), ["source_id", "chunk"], "left")
-    rows = rows.join(_t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    texts = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    rows = rows.join(texts.join(table.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), "vec_id", "left")
     label = F.coalesce("title", F.concat("collection", F.lit(" "), v.cast("string")))
     columns = ["id", "text", "label", "citation", "title", "source_id", "cited", "primary", "refs"]
     found = rows.select(
@@ -177,7 +178,7 @@ def _read_path(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     questions = e.filter("vec_id % 100 = 0").select(v.alias("question"), F.col("embedding").alias("vector"), asked.alias("asked"), F.concat(F.lit("What of "), v.cast("string"), F.lit("?")).alias("text"))
     phrases = e.filter("vec_id % 100 between 1 and 3").select((v - v % 100).alias("question"), (v % 100).alias("phrase"), F.concat(F.lit("phrase "), v.cast("string")).alias("text"), F.col("embedding").alias("vector"))
     passages = found.select(*columns).unionByName(said.select(*columns)).unionByName(read.select(*columns))
-    return questions, phrases, table.withColumn("id", F.col("id").cast("string")), passages, chunks, windows
+    return questions, phrases, table.withColumn("id", F.col("id").cast("string")), kept_table(passages, "search-passages"), chunks, windows
 
 
 def search_context(spark: SparkSession, d: str) -> DataFrame:
