@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
+# Names of months, and how dates are written in a text.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+LONG_DATE = r"\b(" + "|".join(MONTHS) + r")\s+(\d{1,2}),\s*(\d{4})\b"
+ISO_DATE = r"\b(\d{4})-(\d{2})-(\d{2})\b"
 
 
 def strip(c: Column) -> Column:
@@ -50,8 +53,7 @@ def join_nonempty(separator: str, *cols: Column) -> Column:
 def first_date(c: Column) -> Column:
     """ISO date of the first long month date in the first 4000 characters, if it is a calendar date, else of the first ISO date, else ''."""
     head = F.substring(F.coalesce(c, F.lit("")), 1, 4000)
-    long = r"\b(" + "|".join(MONTHS) + r")\s+(\d{1,2}),\s*(\d{4})\b"
-    iso = r"\b(\d{4})-(\d{2})-(\d{2})\b"
+    long, iso = LONG_DATE, ISO_DATE
     month = F.lpad(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(head, long, 1)).cast("string"), 2, "0")
     day = F.lpad(F.regexp_extract(head, long, 2), 2, "0")
     as_text = lambda y, m, d: F.date_format(F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd"), "yyyy-MM-dd")

@@ -9,6 +9,8 @@ from tillage.functions.text import pretty_slug
 
 # Query keys that only filter a view of the same page.
 VIEW_ONLY = ["location", "_", "share", "replytocom", "fbclid", "utm_source", "utm_medium", "utm_campaign"]
+# Fixed value: the name of an audio file, a date and a campus.
+AUDIO_NAME = r"(?i)(\d{8})([a-z]{2,4})\.mp3"
 URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -118,7 +120,7 @@ def audio_key(u: Column) -> Column:
 
 
 def audio_campus(u: Column) -> Column:
-    return F.lower(F.regexp_extract(u, r"(?i)(\d{8})([a-z]{2,4})\.mp3", 2))
+    return F.lower(F.regexp_extract(u, AUDIO_NAME, 2))
 
 
 def dedup_key(date: Column, campus: Column, audio: Column, url: Column) -> Column:
