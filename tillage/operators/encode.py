@@ -47,7 +47,7 @@ def term_counts(texts: DataFrame, key: str, text: str, terms: int = TERMS) -> Da
     rows = texts.select(F.col(key).alias("key"), term_numbers(F.col(text), terms).alias("numbers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, BATCH_TEXTS) for whole in batches for at in range(0, whole.num_rows, BATCH_TEXTS)):
             found = [np.unique(np.asarray(x.values), return_counts=True) for x in b.column(1)]
             made = [pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["key", "terms", "counts"])
