@@ -45,3 +45,12 @@ def test_a_hot_chapter_is_many_blocks(spark):
     refs = spark.range(n).select(F.lit("s").alias("s"), F.col("id").alias("line"), F.lit("A").alias("book"), F.lit(1).alias("chapter"), (F.col("id") % 20).cast("int").alias("vs"), (F.col("id") % 20).cast("int").alias("ve"))
     wrong = intervals.later_overlaps(refs, "s", "line").filter(~(F.col("later") == F.floor((n - 1 - F.col("line")) / 20)) | ((F.col("line") < n - 20) & (F.col("next") != F.col("line") + 20)))
     assert wrong.count() == 0 and intervals.later_overlaps(refs.limit(0), "s", "line").count() == 0
+
+
+def test_many_small_chapters_share_a_call(spark):
+    """20,000 chapters of three lines each: no Python call for each chapter, and the counts are right."""
+    rows = spark.range(60_000).select(F.floor(F.col("id") / 3).alias("s"), (F.col("id") % 3).alias("line"), F.lit("A").alias("book"), F.lit(1).alias("chapter"), (F.col("id") % 3).cast("int").alias("vs"), F.lit(1).alias("ve"))
+    found = intervals.later_overlaps(rows, "s", "line")
+    assert "Groups" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {0: (1, 1), 1: (0, None), 2: (0, None)}
+    assert {(r.line, r.later, r.next): r.n for r in found.groupBy("line", "later", "next").agg(F.count("*").alias("n")).collect()} == {(k, *v): 20_000 for k, v in want.items()}

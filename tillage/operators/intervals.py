@@ -6,15 +6,22 @@ the greatest of a chapter are held, which is some hundred numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Verses of a bin, and lines of a block.
+from tillage.tables import kept_table
+
+#: Verses of a bin, lines of a block, and pairs of lines that are compared at a time.
 BIN = 8
 BLOCK = 4096
+PAIRS = 1 << 20
 _WHOLE = np.iinfo(np.int32).max
+_NONE = np.iinfo(np.int64).max
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
@@ -43,8 +50,48 @@ def _ends(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.column("_order").to_numpy().astype(np.int64), vs, ve
 
 
-def _padded(x: np.ndarray, n: int, fill: int) -> np.ndarray:
-    return np.concatenate([x, np.full(n - len(x), fill, np.int64)])
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, bounds of the runs of an equal key) of rows sorted by key; no run is cut."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = (pa.concat_tables([held, t]) if held else t).combine_chunks()
+        new = np.zeros(t.num_rows - 1, bool)
+        for c in key:
+            new |= pc.not_equal(t.column(c)[1:], t.column(c)[:-1]).to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(bounds) > 1:
+            yield t.slice(0, int(bounds[-1])).combine_chunks(), bounds
+        held = t.slice(int(bounds[-1]))
+    if held:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def _within(line: np.ndarray, vs: np.ndarray, ve: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many later lines of its run overlap each line, and the first of them; the lines of a run are in order. PAIRS pairs are compared at a time."""
+    n = len(line)
+    behind = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n) - 1
+    ends = np.cumsum(behind)
+    count, following = np.zeros(n, np.int64), np.full(n, _NONE)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        size = behind[at:to]
+        i = np.repeat(np.arange(at, to), size)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        meet = (line[j] > line[i]) & (vs[j] <= ve[i]) & (vs[i] <= ve[j])
+        of, first = np.unique(i[meet], return_index=True)
+        count[at:to] = np.bincount(i[meet] - at, minlength=to - at)
+        following[of] = line[j[meet][first]]
+        at = to
+    return count, following
+
+
+def _widened(x: np.ndarray, size: int, between: int) -> np.ndarray:
+    """Sums by verse for more verses; the last place, which stands for whole chapters, stays the last."""
+    return np.concatenate([x[:-1], np.full(size - len(x), between, np.int64), x[-1:]])
 
 
 def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -61,14 +108,21 @@ def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def _record(keys: pa.Table, names: list[str], made: list[pa.Array]) -> pa.RecordBatch:
+    """The key columns of rows with further ones, as one batch."""
+    t = keys.combine_chunks()
+    return pa.RecordBatch.from_arrays([*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns), *made], names=[*t.column_names, *names])
+
+
 def later_overlaps(refs: DataFrame, by: str, order: str, block: int = BLOCK) -> DataFrame:
     """(by, book, chapter, order, later, next) of refs (by, order and a reference): how many references of the same `by` that come after overlap
     each one, and the order of the first, null if there is none. Rows of equal order are not after each other.
 
-    Nothing is paired: lines are dealt to blocks by their order (whole numbers from 0, best without gaps). A block is summed up by verse: how many
-    start and end there and which line covers it first. Sums over all later blocks then give a line's count as all later ones less those
-    that end before it and those that start behind it; only lines of one block are compared with each other. So a chapter with very many
-    lines spreads over blocks, and what meets in one place is one row of sums for each block. Rows with a null `by`, order, book or chapter have no partner and are left out.
+    Nothing is paired across blocks: lines are dealt to blocks by their order (whole numbers from 0, best without gaps). Lines of one block and chapter are compared
+    with each other, those of many chapters at once. Where a chapter has several blocks, each is summed up by verse: how many
+    start and end there and which line covers it first. Sums over all later blocks then give a line's further count as all later ones less those
+    that end before it and those that start behind it. So a chapter with very many lines spreads over blocks, and what meets in one place is
+    a row of sums for each block. Rows with a null `by`, order, book or chapter have no partner and are left out.
     """
     key = [by, "book", "chapter"]
     rows = refs.withColumn("_order", F.col(order).cast("bigint")).withColumn("_block", F.floor(F.col("_order") / block))
@@ -77,63 +131,69 @@ def later_overlaps(refs: DataFrame, by: str, order: str, block: int = BLOCK) ->
         usable = usable & F.col(c).isNotNull()
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     keyed = ", ".join(f"`{c}` {kinds[c]}" for c in key)
-    least = rows.filter(usable).select(*key, "_block", "_order", "vs", "ve")
-
-    def summed(group: tuple, t: pa.Table) -> pa.Table:
-        line, vs, ve = _ends(t)
-        size = int(max(vs.max(), np.where(ve == _WHOLE, 0, ve).max())) + 2
-        last = np.minimum(ve, size - 1)  # the last place stands for whole chapters
-        first = np.full(size, np.iinfo(np.int64).max)
-        for i in np.argsort(-line, kind="stable").tolist():
-            first[vs[i] : last[i] + 1] = line[i]
-        row = {c: [v.as_py()] for c, v in zip([*key, "_block"], group)}
-        kept = t.schema
-        made = {"n": pa.array([len(line)], pa.int64())} | {
-            name: pa.array([x.tolist()], pa.list_(pa.int64())) for name, x in (("starts", np.bincount(vs, minlength=size)), ("ends", np.bincount(last, minlength=size)), ("first", first))
-        }
-        return pa.table({**{c: pa.array(v, kept.field(c).type) for c, v in row.items()}, **made})
-
-    sums = "n bigint, starts array<bigint>, ends array<bigint>, first array<bigint>"
-    blocks = least.groupBy(*key, "_block").applyInArrow(summed, f"{keyed}, _block bigint, {sums}")
-
-    def carried(group: tuple, t: pa.Table) -> pa.Table:
-        """For each block the sums over all later ones: how many there are, end before and start behind each verse, and the first that covers it."""
-        t = t.combine_chunks().sort_by([("_block", "descending")])
-        size = max(len(x) for x in t.column("starts"))
-        n, starts, ends, first = 0, np.zeros(size, np.int64), np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max)
-        out = []
-        for b in t.to_pylist():
-            out.append({**{c: b[c] for c in [*key, "_block"]}, "n": n, "starts": (starts.sum() - np.cumsum(starts)).tolist(), "ends": (np.cumsum(ends) - ends).tolist(), "first": first.tolist()})
-            width = len(b["starts"])
-            n += b["n"]
-            starts = starts + _padded(np.array(b["starts"]), size, 0)
-            # What stands in a block's last place is a whole chapter: it belongs in the last place of all.
-            ending = np.array(b["ends"])
-            ends[: width - 1] += ending[:-1]
-            ends[-1] += ending[-1]
-            covering = np.array(b["first"])
-            first = np.minimum(first, np.concatenate([covering[:-1], np.full(size - width + 1, covering[-1])]))
-        return pa.Table.from_pylist(out, t.schema)
-
-    later = blocks.groupBy(*key).applyInArrow(carried, f"{keyed}, _block bigint, {sums}")
-
-    def counted(group: tuple, t: pa.Table, after: pa.Table) -> pa.Table:
-        line, vs, ve = _ends(t)
-        count, following = np.zeros(len(line), np.int64), np.full(len(line), np.iinfo(np.int64).max)
-        for at in range(0, len(line), 512):
-            s = slice(at, at + 512)
-            meet = (line[None, :] > line[s, None]) & (vs[None, :] <= ve[s, None]) & (vs[s, None] <= ve[None, :])
-            count[s] += meet.sum(1)
-            following[s] = np.where(meet, line[None, :], np.iinfo(np.int64).max).min(1)
-        if len(after):
-            a = after.to_pylist()[0]
-            starts, ends, first = (np.array(a[c]) for c in ("starts", "ends", "first"))
-            top = len(starts) - 1
-            count += a["n"] - ends[np.minimum(vs, top)] - np.where(ve >= top, 0, starts[np.minimum(ve, top)])
-            following = np.minimum(following, _range_min(first, np.minimum(vs, top), np.minimum(ve, top)))
-        t = t.combine_chunks().select([*key, "_order"])
-        t = t.append_column("later", pa.array(count))
-        return t.append_column("next", pa.array(following, mask=count == 0))
-
-    found = least.groupBy(*key, "_block").cogroup(later.groupBy(*key, "_block")).applyInArrow(counted, f"{keyed}, _order bigint, later bigint, next bigint")
+    # Lines of equal order stay in the order of their rows.
+    least = kept_table(rows.filter(usable).select(*key, "_block", "_order", F.monotonically_increasing_id().alias("_row"), "vs", "ve"), "lines")
+    sums = "starts array<bigint>, ends array<bigint>, first array<bigint>"
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in _whole_runs(batches, [*key, "_block"]):
+            line, vs, ve = _ends(t)
+            starts, ends, firsts = [], [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                s, e = vs[lo:hi], ve[lo:hi]
+                size = int(max(s.max(), np.where(e == _WHOLE, 0, e).max())) + 2
+                e = np.minimum(e, size - 1)  # the last place stands for whole chapters
+                first = np.full(size, _NONE)
+                for i in range(hi - lo - 1, -1, -1):
+                    first[s[i] : e[i] + 1] = line[lo + i]
+                starts.append(np.bincount(s, minlength=size))
+                ends.append(np.bincount(e, minlength=size))
+                firsts.append(first)
+            made = [pa.array(np.diff(bounds)), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, ends, firsts))]
+            yield _record(t.take(pa.array(bounds[:-1])).select([*key, "_block"]), ["n", "starts", "ends", "first"], made)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block the sums over all later ones, which come before it: how many there are, end before and start behind each verse, and the first that covers it."""
+        of, n, starts, ends, first = None, 0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, _NONE)
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for k, m, *more in zip(zip(*(b.column(c).to_pylist() for c in key)), b.column("n").to_pylist(), *(b.column(c) for c in ("starts", "ends", "first"))):
+                if k != of:
+                    of, n, starts, ends, first = k, 0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, _NONE)
+                for x, made in zip(out, (n, starts.sum() - np.cumsum(starts), np.cumsum(ends) - ends, first)):
+                    x.append(made)
+                s, e, f = (np.asarray(x.values) for x in more)
+                size = max(len(s), len(starts))
+                n += m
+                starts = _widened(starts, size, 0) + _widened(s, size, 0)
+                ends = _widened(ends, size, 0) + _widened(e, size, 0)
+                first = np.minimum(_widened(first, size, first[-1]), _widened(f, size, f[-1]))
+            yield _record(pa.Table.from_batches([b]).select([*key, "_block"]), ["n", "starts", "ends", "first"], [pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in out[1:])])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in _whole_runs(batches, [*key, "_block"]):
+            is_line = t.column("n").is_null().to_numpy()
+            lines = t.filter(pa.array(is_line)).combine_chunks()
+            places = np.concatenate([[0], np.cumsum(is_line)])[bounds]
+            line, vs, ve = _ends(lines)
+            count, following = _within(line, vs, ve, places)
+            for at in np.flatnonzero(~is_line[bounds[:-1]]).tolist():  # a run's sums come first
+                lo, hi = int(places[at]), int(places[at + 1])
+                n = t.column("n")[int(bounds[at])].as_py()
+                starts, ends, first = (np.asarray(t.column(c)[int(bounds[at])].values) for c in ("starts", "ends", "first"))
+                top = len(starts) - 1
+                a, z = np.minimum(vs[lo:hi], top), np.minimum(ve[lo:hi], top)
+                count[lo:hi] += n - ends[a] - np.where(ve[lo:hi] >= top, 0, starts[z])
+                following[lo:hi] = np.minimum(following[lo:hi], _range_min(first, a, z))
+            yield _record(lines.select([*key, "_order"]), ["later", "next"], [pa.array(count), pa.array(following, mask=count == 0)])
+
+    several = kept_table(least.groupBy(*key).agg(F.min("_block").alias("a"), F.max("_block").alias("z")).filter("a < z").select(*key), "long-chapters")
+    place = [*key, "_block"]
+    met = least.withColumn("n", F.lit(None).cast("bigint")).withColumns({c: F.lit(None).cast("array<bigint>") for c in ("starts", "ends", "first")})
+    if several.head(1):
+        long = least.join(several, key, "left_semi").repartition(*place).sortWithinPartitions(*place, "_order", "_row")
+        blocks = long.mapInArrow(summed, f"{keyed}, _block bigint, n bigint, {sums}")
+        later = blocks.repartition(*key).sortWithinPartitions(*key, F.desc("_block")).mapInArrow(carried, f"{keyed}, _block bigint, n bigint, {sums}").filter("n > 0")
+        met = met.unionByName(later.withColumns({c: F.lit(None).cast("bigint") for c in ("_order", "_row")} | {c: F.lit(None).cast(kinds[c]) for c in ("vs", "ve")}))
+    found = met.repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("_order"), "_row").mapInArrow(counted, f"{keyed}, _order bigint, later bigint, next bigint")
     return found.select(by, "book", "chapter", F.col("_order").alias(order), "later", "next")
