@@ -133,12 +133,14 @@ def later_overlaps(refs: DataFrame, by: str, order: str, block: int = BLOCK) ->
     keyed = ", ".join(f"`{c}` {kinds[c]}" for c in key)
     # Lines of equal order stay in the order of their rows.
     least = kept_table(rows.filter(usable).select(*key, "_block", "_order", F.monotonically_increasing_id().alias("_row"), "vs", "ve"), "lines")
-    sums = "starts array<bigint>, ends array<bigint>, first array<bigint>"
+    # Sums travel as bytes: Spark's Arrow writer passes over all null arrays of a batch again for each row.
+    packed = lambda *x: np.stack(x).astype("<i8").tobytes()
+    unpacked = lambda x: np.frombuffer(x, "<i8").reshape(3, -1)  # noqa: E731  starts, ends and first
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _whole_runs(batches, [*key, "_block"]):
             line, vs, ve = _ends(t)
-            starts, ends, firsts = [], [], []
+            sums = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 s, e = vs[lo:hi], ve[lo:hi]
                 size = int(max(s.max(), np.where(e == _WHOLE, 0, e).max())) + 2
@@ -146,29 +148,26 @@ def later_overlaps(refs: DataFrame, by: str, order: str, block: int = BLOCK) ->
                 first = np.full(size, _NONE)
                 for i in range(hi - lo - 1, -1, -1):
                     first[s[i] : e[i] + 1] = line[lo + i]
-                starts.append(np.bincount(s, minlength=size))
-                ends.append(np.bincount(e, minlength=size))
-                firsts.append(first)
-            made = [pa.array(np.diff(bounds)), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, ends, firsts))]
-            yield _record(t.take(pa.array(bounds[:-1])).select([*key, "_block"]), ["n", "starts", "ends", "first"], made)
+                sums.append(packed(np.bincount(s, minlength=size), np.bincount(e, minlength=size), first))
+            yield _record(t.take(pa.array(bounds[:-1])).select([*key, "_block"]), ["n", "sums"], [pa.array(np.diff(bounds)), pa.array(sums, pa.binary())])
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each block the sums over all later ones, which come before it: how many there are, end before and start behind each verse, and the first that covers it."""
         of, n, starts, ends, first = None, 0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, _NONE)
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for k, m, *more in zip(zip(*(b.column(c).to_pylist() for c in key)), b.column("n").to_pylist(), *(b.column(c) for c in ("starts", "ends", "first"))):
+            counts, sums = [], []
+            for k, m, more in zip(zip(*(b.column(c).to_pylist() for c in key)), b.column("n").to_pylist(), b.column("sums").to_pylist()):
                 if k != of:
                     of, n, starts, ends, first = k, 0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, _NONE)
-                for x, made in zip(out, (n, starts.sum() - np.cumsum(starts), np.cumsum(ends) - ends, first)):
-                    x.append(made)
-                s, e, f = (np.asarray(x.values) for x in more)
+                counts.append(n)
+                sums.append(packed(starts.sum() - np.cumsum(starts), np.cumsum(ends) - ends, first))
+                s, e, f = unpacked(more)
                 size = max(len(s), len(starts))
                 n += m
                 starts = _widened(starts, size, 0) + _widened(s, size, 0)
                 ends = _widened(ends, size, 0) + _widened(e, size, 0)
                 first = np.minimum(_widened(first, size, first[-1]), _widened(f, size, f[-1]))
-            yield _record(pa.Table.from_batches([b]).select([*key, "_block"]), ["n", "starts", "ends", "first"], [pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in out[1:])])
+            yield _record(pa.Table.from_batches([b]).select([*key, "_block"]), ["n", "sums"], [pa.array(counts, pa.int64()), pa.array(sums, pa.binary())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _whole_runs(batches, [*key, "_block"]):
@@ -180,7 +179,7 @@ def later_overlaps(refs: DataFrame, by: str, order: str, block: int = BLOCK) ->
             for at in np.flatnonzero(~is_line[bounds[:-1]]).tolist():  # a run's sums come first
                 lo, hi = int(places[at]), int(places[at + 1])
                 n = t.column("n")[int(bounds[at])].as_py()
-                starts, ends, first = (np.asarray(t.column(c)[int(bounds[at])].values) for c in ("starts", "ends", "first"))
+                starts, ends, first = unpacked(t.column("sums")[int(bounds[at])].as_py())
                 top = len(starts) - 1
                 a, z = np.minimum(vs[lo:hi], top), np.minimum(ve[lo:hi], top)
                 count[lo:hi] += n - ends[a] - np.where(ve[lo:hi] >= top, 0, starts[z])
@@ -189,11 +188,11 @@ def later_overlaps(refs: DataFrame, by: str, order: str, block: int = BLOCK) ->
 
     several = kept_table(least.groupBy(*key).agg(F.min("_block").alias("a"), F.max("_block").alias("z")).filter("a < z").select(*key), "long-chapters")
     place = [*key, "_block"]
-    met = least.withColumn("n", F.lit(None).cast("bigint")).withColumns({c: F.lit(None).cast("array<bigint>") for c in ("starts", "ends", "first")})
+    met = least.withColumn("n", F.lit(None).cast("bigint")).withColumn("sums", F.lit(None).cast("binary"))
     if several.head(1):
         long = least.join(several, key, "left_semi").repartition(*place).sortWithinPartitions(*place, "_order", "_row")
-        blocks = long.mapInArrow(summed, f"{keyed}, _block bigint, n bigint, {sums}")
-        later = blocks.repartition(*key).sortWithinPartitions(*key, F.desc("_block")).mapInArrow(carried, f"{keyed}, _block bigint, n bigint, {sums}").filter("n > 0")
+        blocks = long.mapInArrow(summed, f"{keyed}, _block bigint, n bigint, sums binary")
+        later = blocks.repartition(*key).sortWithinPartitions(*key, F.desc("_block")).mapInArrow(carried, f"{keyed}, _block bigint, n bigint, sums binary").filter("n > 0")
         met = met.unionByName(later.withColumns({c: F.lit(None).cast("bigint") for c in ("_order", "_row")} | {c: F.lit(None).cast(kinds[c]) for c in ("vs", "ve")}))
     found = met.repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("_order"), "_row").mapInArrow(counted, f"{keyed}, _order bigint, later bigint, next bigint")
     return found.select(by, "book", "chapter", F.col("_order").alias(order), "later", "next")
