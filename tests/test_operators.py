@@ -89,6 +89,29 @@ def test_related_sources_golden(spark):
     assert [(r.source_id, r.rank) for r in links.related_sources(b, twice, known, most=2).orderBy("rank").collect()] == [("beta", 1), ("two", 2)]  # a source with two titles
 
 
+def test_related_sources_equal_all_pairs(spark):
+    """References with and without verses, also turned ones, and sources of two references; each bridge is led to few of many sources."""
+    rnd = random.Random(5)
+    ref = lambda: (rnd.choice("AB"), 1, None, None) if rnd.random() < 0.3 else (rnd.choice("AB"), 1, v := rnd.randrange(9), v + rnd.choice([0, 1, 4, -2]))
+    bridges = [(q, rank, *ref()) for q in range(12) for rank in range(rnd.randrange(5))]
+    sources = [(s, f"t{s % 7}", *ref()) for s in range(150) for _ in range(rnd.choice([1, 1, 2]))]
+    knows = sorted({(q, rnd.randrange(150)) for q in range(12) for _ in range(5 * q)})
+    kind = "book string, chapter int, vs int, ve int"
+    b, p = spark.createDataFrame(bridges, f"question int, rank int, {kind}"), spark.createDataFrame(sources, f"source_id int, title string, {kind}")
+    got = links.related_sources(b, p, spark.createDataFrame(knows, "question int, source_id int")).select("question", "source_id", "bridge", "rank")
+    assert "_place" in got._jdf.queryExecution().analyzed().toString()  # a bridge is led to a bounded number of sources
+    meet = lambda x, y: x[:2] == y[:2] and (x[2] is None or y[2] is None or (x[2] <= y[3] and y[2] <= x[3]))
+    want = set()
+    for q in range(12):
+        first = {}
+        for _, rank, *r in (x for x in bridges if x[0] == q):
+            for s, t, *other in sources:
+                if meet(tuple(r), tuple(other)) and (q, s) not in knows:
+                    first[s] = min(first.get(s, (rank, t)), (rank, t))
+        want |= {(q, s, rank, i + 1) for i, (rank, _, s) in enumerate(sorted((*v, s) for s, v in first.items())[:3])}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
 def test_best_window_golden(spark):
     refs = spark.createDataFrame([("r", "1 John", 3, 1, 3), ("whole", "1 John", 3, None, None), ("none", "1 John", 3, 90, 91), ("edge", "1 John", 3, 5, 9)], "ref_id string, book string, chapter int, vs int, ve int")
     w = spark.createDataFrame([("all", "1 John", 3, 1, 24), ("first", "1 John", 3, 1, 6), ("mid", "1 John", 3, 4, 8)], "window_id string, book string, chapter int, verse_start int, verse_end int")
