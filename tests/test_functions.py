@@ -95,3 +95,11 @@ def test_url_classes(spark):
     assert one(spark, U.dedup_key(F.lit(""), F.lit("wg"), F.lit(""), F.lit("http://e.org/a/"))) == "url:http://e.org/a"
     assert one(spark, U.dedup_key(F.lit(""), F.lit("wg"), F.lit("HTTP://E.org/A.mp3?_=1"), F.lit("x"))) == "audio:http://e.org/a.mp3"
     assert one(spark, U.audio_campus(F.lit("x/20200101WDW.mp3"))) == "wdw"
+
+
+def test_a_reference_is_taken_apart_once(spark):
+    found = spark.range(1).select(F.concat(F.lit("The first  john 2:1"), F.lit("-4")).alias("t")).select(R.parse_ref(F.col("t")).alias("r"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 4
+    assert found.first().r is None
+    names = spark.createDataFrame([("1 John 2:1-4",), ("1JN 2:1-4",), ("first john 2:1-4",), ("I John  2:1-4 ",)], "t string").select(R.parse_ref(F.col("t")).alias("r"))
+    assert {tuple(x.r) for x in names.collect()} == {("1JN", 2, 1, 4)}
