@@ -103,3 +103,9 @@ def test_a_reference_is_taken_apart_once(spark):
     assert found.first().r is None
     names = spark.createDataFrame([("1 John 2:1-4",), ("1JN 2:1-4",), ("first john 2:1-4",), ("I John  2:1-4 ",)], "t string").select(R.parse_ref(F.col("t")).alias("r"))
     assert {tuple(x.r) for x in names.collect()} == {("1JN", 2, 1, 4)}
+
+
+def test_what_running_text_yields_is_taken_apart_once(spark):
+    found = spark.range(1).select(F.concat(F.lit("In First John 3:2–4, "), F.lit("Psalm 9 and 1 John 3:2-4")).alias("t")).select(R.extract_refs(F.col("t")).alias("r"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 0
+    assert found.first().r == ["1 John 3:2-4", "Psalms 9"]
