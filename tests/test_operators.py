@@ -615,3 +615,14 @@ def test_search_brute(spark):
         assert said[q].endswith(f"QUESTION: Who is {q}?") and all(f"[{passages[i]['label']}]\n" + (c + "\n" if c else "") + passages[i]["text"] in said[q] for i, c in want)
         linked += sum(c != "" for _, c in want)
     assert linked > 4
+
+
+def test_packing_holds_few_texts_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs, taken = spark.createDataFrame([(1, "A b. C d.")], "k int, t string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    chunking.pack_sentences(docs, "k", "t", 3, 0)
+    out = list(taken[0](iter([pa.RecordBatch.from_pydict({"k": list(range(200)), "s": [["A b.", "C d."]] * 200, "n": [[2, 2]] * 200})])))
+    assert max(b.num_rows for b in out) <= 2 * chunking.BATCH_TEXTS < 400
+    assert [(r["k"], r["chunk"], r["text"]) for b in out for r in b.to_pylist()] == [(k, c, t) for k in range(200) for c, t in enumerate(["A b.", "C d."])]

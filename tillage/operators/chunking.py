@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tillage.functions.refs import extract_refs
 from tillage.functions.text import sentences, strip, token_count
 
+#: Texts whose sentences are Python objects at a time.
+BATCH_TEXTS = 64
+
 
 def windows_of(counts: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
     """[start, end) sentence ranges. A window closes before the sentence that would pass the target; the next one
@@ -38,7 +41,7 @@ def pack_sentences(docs: DataFrame, key: str, text: str, target: int, overlap: i
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, BATCH_TEXTS) for whole in batches for at in range(0, whole.num_rows, BATCH_TEXTS)):
             keys, chunk, texts, tokens = [], [], [], []
             for i, (s, n) in enumerate(zip(b.column("s").to_pylist(), b.column("n").to_pylist())):
                 for c, (a, z) in enumerate(windows_of(n, target, overlap)):
