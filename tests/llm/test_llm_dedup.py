@@ -215,6 +215,39 @@ def test_apart_pairs_brute(spark):
     assert simhash.apart_pairs(opened.limit(0), simhash.fine_fingerprints(rows_in)).count() == 0
 
 
+def rows_of_joins(df):
+    """The rows that each join of a plan makes, as Spark counts them."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df._jdf.queryExecution().executedPlan().executeCollect()
+        found, left = [], [df._jdf.queryExecution().executedPlan()]
+        while left:
+            node = left.pop()
+            if "Join" in node.nodeName():
+                found.append(node.metrics().apply("numOutputRows").value())
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        return found
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_meetings_are_not_joined_by_document(spark):
+    """A class's weight stands beside its meetings, and a fingerprint meets its document once, in however many buckets that is."""
+    met = [(e, i, 10, 1 + (i + e) % 4) for e in range(40) for i in range(30) if (i * 7 + e) % 3]
+    df = spark.createDataFrame(met, "entry long, id long, n int, size long")
+    w = {i: sum(m[3] for m in met if m[1] == i) for i in range(30)}
+    hub = {e: max((m[1] for m in met if m[0] == e), key=lambda i: (w[i], -i)) for e in range(40)}
+    pairs = simhash.hub_pairs(df)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted({(i, hub[e], w[hub[e]]) for e, i, *_ in met if i != hub[e]})
+    assert len(rows_of_joins(pairs)) == 1
+    dealt = spark.createDataFrame([(i, b) for i in range(20) for b in range(i % 5 + 1) for _ in range(2)], "id long, bucket long")
+    fine = spark.createDataFrame([(i, bytes([i])) for i in range(25)], "id long, fine binary")
+    prints = simhash._prints_of_buckets(dealt, fine)
+    assert sorted((r.id, r.bucket, r.fine[0]) for r in prints.collect()) == [(i, b, i) for i in range(20) for b in range(i % 5 + 1)]
+    assert rows_of_joins(prints) == [20]
+
+
 def test_repeated_ids(spark):
     """A doc_id with several texts is one document in both senses of a copy, and the row that stays is always the same."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")

@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillage.llm.common import written
@@ -389,9 +389,11 @@ def meetings(posted: DataFrame) -> DataFrame:
 
 
 def hub_pairs(met: DataFrame) -> DataFrame:
-    """(id, hub, w): each class with the one of each of its entries that meets most others, w being how many it meets."""
-    weights = met.groupBy("id").agg(F.sum("size").alias("w"))
-    hubs = met.join(weights, "id").groupBy("entry").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), F.col("n").alias("hn"))).alias("h"))
+    """(id, hub, w): each class with the one of each of its entries that meets most others, w being how many it meets.
+
+    A class has a meeting for each of its entries at most, so these are summed up side by side with them and joined with nothing."""
+    weighed = met.withColumn("w", F.sum("size").over(Window.partitionBy("id")))
+    hubs = weighed.groupBy("entry").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), F.col("n").alias("hn"))).alias("h"))
     pairs = met.join(hubs, "entry").select("id", "n", (-F.col("h.minus")).alias("hub"), "h.hn", "h.w")
     return pairs.filter(f"id <> hub and {SIMILAR[1]} * least(n, hn) >= {SIMILAR[0]} * greatest(n, hn)").select("id", "hub", "w").distinct()
 
@@ -446,6 +448,12 @@ def _close(fine: np.ndarray, n: np.ndarray, label: np.ndarray, i: int) -> np.nda
     return where[apart <= np.where(np.minimum(n[where], n[i]) < FINE_LEAST, FINE_BITS_FEW, FINE_BITS)]
 
 
+def _prints_of_buckets(dealt: DataFrame, fine: DataFrame) -> DataFrame:
+    """(bucket, id, fine): the longer fingerprint of each document of each bucket. A document meets its fingerprint once, with the list of its buckets."""
+    buckets = dealt.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    return buckets.join(fine, "id").select(F.explode("buckets").alias("bucket"), "id", "fine")
+
+
 def apart_pairs(opened: DataFrame, fine: DataFrame) -> DataFrame:
     """(a, b): classes that meet in an open entry and have other labels, where sizes and longer fingerprints allow the similarity.
 
@@ -476,8 +484,7 @@ def apart_pairs(opened: DataFrame, fine: DataFrame) -> DataFrame:
     buckets = opened.count() // BUCKET_ROWS + 1
     dealt = opened.withColumn("bucket", F.pmod(F.xxhash64("entry"), F.lit(buckets)))
     first = F.col("bucket") * F.lit(ENTRY_SPAN)
-    prints = dealt.select("bucket", "id").distinct().join(fine, "id")
-    ahead = prints.select("bucket", first.alias("key"), "id", F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("label"), "fine")
+    ahead = _prints_of_buckets(dealt, fine).select("bucket", first.alias("key"), "id", F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("label"), "fine")
     entries = dealt.select("bucket", (first + F.col("entry") + 1).alias("key"), "id", "n", "label", F.lit(None).cast("binary").alias("fine"))
     rows = ahead.unionByName(entries).repartition("bucket").sortWithinPartitions("key", "id")
     return rows.select("key", "id", "n", "label", "fine").mapInArrow(run, "a bigint, b bigint").distinct()
