@@ -78,3 +78,13 @@ def test_index_passages(spark, docs, tmp_path):
     (tmp_path / "bad").mkdir()
     with pytest.raises(ValueError, match="no model"):
         encode.Encoder.load(spark, str(tmp_path / "bad"))
+
+
+def test_one_python_worker_for_each_core(spark):
+    """Counting and weighing are one function in a task, and what a pass sums up is dealt to a stated number of tasks."""
+    docs = spark.createDataFrame([(i, f"one two w{i % 7} w{i % 3}") for i in range(40)], "id long, text string")
+    encoder = encode.fit_encoder(docs, dimension=4, terms=512)
+    made = encoder.encode(docs)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    chained = encode.term_counts(docs, "id", "text", 512)
+    assert made.count() == chained.count() == 40

@@ -45,14 +45,15 @@ def term_numbers(text: Column, terms: int = TERMS) -> Column:
 def term_counts(texts: DataFrame, key: str, text: str, terms: int = TERMS) -> DataFrame:
     """(key, terms, counts) of each row: its different terms and how often each occurs."""
     rows = texts.select(F.col(key).alias("key"), term_numbers(F.col(text), terms).alias("numbers"))
+    return rows.mapInArrow(_counted, f"key {rows.schema['key'].dataType.simpleString()}, terms array<int>, counts array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, BATCH_TEXTS) for whole in batches for at in range(0, whole.num_rows, BATCH_TEXTS)):
-            found = [np.unique(np.asarray(x.values), return_counts=True) for x in b.column(1)]
-            made = [pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["key", "terms", "counts"])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, terms array<int>, counts array<int>")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, terms, counts) of rows (key, term numbers), some hundred at a time."""
+    for b in (whole.slice(at, BATCH_TEXTS) for whole in batches for at in range(0, whole.num_rows, BATCH_TEXTS)):
+        found = [np.unique(np.asarray(x.values), return_counts=True) for x in b.column(1)]
+        made = [pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["key", "terms", "counts"])
 
 
 def _sparse(b: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,13 +104,14 @@ def _gram_times(counts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[block] = total.get(block, 0) + np.frombuffer(sums, "<f4").astype(np.float64)
+            for block, sums in zip(b.column(0).to_pylist(), b.column(1)):
+                total[block] = total.get(block, 0) + np.frombuffer(sums.as_buffer(), "<f4").astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
 
     kind = "block int, sums binary"
     out = np.zeros((terms, width))
-    for r in counts.mapInArrow(partial, kind).repartition("block").mapInArrow(summed, kind).collect():  # terms x width numbers
+    dealt = counts.mapInArrow(partial, kind).repartition(-(-terms // BLOCK), "block")  # a stated number, or small partitions would be joined into one task's batch
+    for r in dealt.mapInArrow(summed, kind).collect():  # terms x width numbers
         part = np.frombuffer(r["sums"]).reshape(-1, width)
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     return out
@@ -144,12 +146,14 @@ class Encoder:
         return hashlib.sha256(self.idf.astype("<f4").tobytes() + self.basis.astype("<f4").tobytes()).hexdigest()[:12]
 
     def encode(self, texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-        """(key, vector) of each row of texts, vectors of length one. A text without a known word, a null one too, gets zeros. Repeated rows get equal vectors."""
-        counts = term_counts(texts, key, text, len(self.idf))
+        """(key, vector) of each row of texts, vectors of length one. A text without a known word, a null one too, gets zeros. Repeated rows get equal vectors.
+
+        Terms are counted where they are weighed: two functions in a row would each have a worker of its own for each core."""
+        rows = texts.select(F.col(key).alias("key"), term_numbers(F.col(text), len(self.idf)).alias("numbers"))
         idf, basis = self.idf, self.basis
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _counted(batches):
                 y = np.zeros((0, basis.shape[1]))
                 for part in _sparse(b, idf):
                     used, rows = _dense(*part, len(idf))
@@ -159,7 +163,7 @@ class Encoder:
                 offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=[key, "vector"])
 
-        return counts.mapInArrow(run, f"`{key}` {counts.schema['key'].dataType.simpleString()}, vector array<float>")
+        return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, vector array<float>")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """The model as a table of terms and a manifest with its identity."""
