@@ -64,3 +64,35 @@ def test_a_silent_key_gives_a_row_once(spark, tmp_path):
     assert sorted((r.k, r.at, r.stalled) for r in got if not r.quiet)[:3] == [("x", at(0), 0), ("x", at(10), 1), ("x", at(80), 2)]
     with pytest.raises(ValueError):
         stalls.stall_stream(spark.readStream.schema("k string, at long, a int, b string").parquet(str(tmp_path / "in")), "k", "at", ["a"], quiet_seconds=1)
+
+
+class OneState:
+    """A key's state without Spark; a question whether it exists would be one more way to the JVM and back."""
+
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_batch_is_judged_as_one_by_one():
+    """Repeats, late cycles, ties and exempt ones, in batches of any size, against a loop over single cycles; the state is read once."""
+    rng = random.Random(4)
+    rows = [(1, i // 2 + rng.randrange(4), rng.randrange(3), rng.choice("aab"), rng.choice([True, False, False, None])) for i in range(150)]
+    guard = stalls._Guard(["k", "at", "n", "_signature"], "at", "n", 2, "_exempt", None)
+    guard.last, known, got, want, at = OneState(), (None, -1, -1, 0), [], [], 0
+    while at < len(rows):
+        part = rows[at : at + rng.randrange(1, 12)]
+        at += len(part)
+        for frame in guard.handleInputRows((1,), iter([pd.DataFrame(part[:3]), pd.DataFrame(part[3:])] if len(part) > 3 else [pd.DataFrame(part)]), None):
+            got += frame[["at", "n", "_signature", "same", "stalled", "stop"]].values.tolist()
+        for _, t, n, s, exempt in sorted(part, key=lambda r: r[1:3]):
+            if (t, n) > known[1:3]:
+                same = s == known[0]
+                known = (s, t, n, known[3] + (not exempt) if same else 0)
+                want.append([t, n, s, same, known[3], known[3] >= 2])
+    assert got == want and len(want) > 15
+    assert guard.last.value[:4] == (known[0], *known[1:])

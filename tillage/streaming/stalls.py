@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,43 +35,49 @@ def state_in_rocksdb(spark: SparkSession):
 
 
 class _Guard(StatefulProcessor):
-    def __init__(self, columns: list[str], order: str, tie: str | None, repeats: int, exempt: str | None, quiet_ms: int | None, timed: bool) -> None:
+    def __init__(self, columns: list[str], order: str, tie: str | None, repeats: int, exempt: str | None, quiet_ms: int | None) -> None:
         self.columns, self.order, self.tie = columns, order, tie
-        self.repeats, self.exempt, self.quiet_ms, self.timed = repeats, exempt, quiet_ms, timed
+        self.repeats, self.exempt, self.quiet_ms = repeats, exempt, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", LAST)
 
-    def _at(self, v: Any) -> int:
-        return int(pd.Timestamp(v).value // 1000) if self.timed else int(v)
+    def _whole(self, v: pd.Series) -> np.ndarray:
+        return v.to_numpy().astype("datetime64[us]").astype(np.int64) if v.dtype.kind == "M" else v.to_numpy().astype(np.int64)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows), ignore_index=True)
+        got = pd.concat(found, ignore_index=True) if len(found := list(rows)) > 1 else found[0]
         got.columns = [*self.columns, *([self.exempt] if self.exempt else [])]  # computed columns come without their names
-        got = got.sort_values([self.order, self.tie] if self.tie else [self.order], kind="stable")
-        known = self.last.get() if self.last.exists() else None
+        known = self.last.get()  # none for a new key
         signature, at, tie, stalled, cycles = known or (None, None, None, 0, 0)
-        out = []
-        for row in got.to_dict("records"):
-            place = self._at(row[self.order]), int(row[self.tie]) if self.tie else 0
-            if at is not None and place <= (at, tie):
-                continue  # a cycle that comes after a later one can't be judged any more
-            now = row["_signature"]
-            same = cycles > 0 and now == signature
-            if not same:
-                stalled = 0
-            elif not (self.exempt and row[self.exempt]):
-                stalled += 1
-            signature, (at, tie), cycles = now, place, cycles + 1
-            out.append({**{c: row[c] for c in self.columns}, "same": same, "stalled": stalled, "stop": stalled >= self.repeats, "quiet": False})
-        self.last.update((signature, at, tie, stalled, cycles))
-        if self.quiet_ms is not None and out:
+        ats, ties = self._whole(got[self.order]), self._whole(got[self.tie]) if self.tie else np.zeros(len(got), np.int64)
+        order = np.lexsort((ties, ats))
+        ats, ties = ats[order], ties[order]
+        # A cycle that comes after a later one can't be judged any more, nor can one at the place of another.
+        kept = np.ones(len(order), bool)
+        kept[1:] = (ats[1:] != ats[:-1]) | (ties[1:] != ties[:-1])
+        if at is not None:
+            kept &= (ats > at) | ((ats == at) & (ties > tie))
+        order = order[kept]
+        if not len(order):
+            return
+        ats, ties, now = ats[kept], ties[kept], got["_signature"].to_numpy(object)[order]
+        same = np.empty(len(now), bool)
+        same[0] = cycles > 0 and now[0] == signature
+        same[1:] = now[1:] == now[:-1]
+        counts = same & ~np.fromiter(map(bool, got[self.exempt]), bool, len(got))[order] if self.exempt else same
+        running = np.cumsum(counts)
+        reset = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))  # the last cycle that made progress, -1 if none of these did
+        running = (running - np.where(reset < 0, -stalled, running[reset])).astype(np.int32)
+        last = int(ats[-1])
+        self.last.update((now[-1], last, int(ties[-1]), int(running[-1]), cycles + len(now)))
+        if self.quiet_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(at // 1000 + self.quiet_ms)
-        if out:
-            yield pd.DataFrame(out, columns=[*self.columns, "same", "stalled", "stop", "quiet"])
+            self.handle.registerTimer(last // 1000 + self.quiet_ms)
+        out = {c: got[c].to_numpy()[order] for c in self.columns}
+        yield pd.DataFrame(out | {"same": same, "stalled": running, "stop": running >= self.repeats, "quiet": False})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.last.exists():
@@ -104,7 +111,7 @@ def stall_stream(
     rows = rows.select(*places, packed, *([F.col(exempt).alias("_exempt")] if exempt else []))
     made = [StructField("_signature", StringType()), StructField("same", BooleanType()), StructField("stalled", IntegerType()), StructField("stop", BooleanType()), StructField("quiet", BooleanType())]
     schema = StructType([StructField(c, cycles.schema[c].dataType) for c in places] + made)
-    guard = _Guard([*places, "_signature"], order, tie, repeats, "_exempt" if exempt else None, None if quiet_seconds is None else quiet_seconds * 1000, timed)
+    guard = _Guard([*places, "_signature"], order, tie, repeats, "_exempt" if exempt else None, None if quiet_seconds is None else quiet_seconds * 1000)
     judged = rows.groupBy(key).transformWithStateInPandas(guard, outputStructType=schema, outputMode="Append", timeMode="None" if quiet_seconds is None else "EventTime")
     back = F.from_json("_signature", kinds)
     return judged.select(*places, *[back[c].alias(c) for c in signature if c not in places], "same", "stalled", "stop", "quiet")
