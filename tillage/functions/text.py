@@ -10,6 +10,8 @@ SPACE = r"(?U)\s+"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 LONG_DATE = r"\b(" + "|".join(MONTHS) + r")\s+(\d{1,2}),\s*(\d{4})\b"
 ISO_DATE = r"\b(\d{4})-(\d{2})-(\d{2})\b"
+#: Characters of a passage that tell near-equal ones.
+HEAD = 160
 
 
 def strip(c: Column) -> Column:
@@ -43,7 +45,7 @@ def sentences(c: Column) -> Column:
 
 def fingerprint(c: Column) -> Column:
     """What tells near-equal passages: the first 160 characters, stripped and lower-cased in that order."""
-    return F.lower(strip(F.substring(c, 1, 160)))
+    return F.lower(strip(F.substring(c, 1, HEAD)))
 
 
 def join_nonempty(separator: str, *cols: Column) -> Column:
