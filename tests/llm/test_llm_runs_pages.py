@@ -229,6 +229,17 @@ def test_an_article_stays_whole_however_often_it_repeats(spark):
     assert (r.n_chars, r.n_outside) == (3, 0)
 
 
+def test_what_stands_beside_articles_tells_of_pages_without_one(spark):
+    """Pages with an article lose nothing by the array, but what they repeat outside it goes from a page of the host that has none."""
+    notice = "we use small files on your device to make this site work well"
+    pages = [(i, f"http://h.example/{i}", f"<div>{notice}</div><article><p>story {i}</p></article>") for i in range(3)]
+    pages += [(3, "http://h.example/3", f"<div>{notice}</div><div>plain story</div>"), (4, "http://other.example/4", f"<div>{notice}</div><div>plain story</div>")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    kept = f"{notice}\n\nplain story"
+    assert [r.text for r in maintext.main_text(table).orderBy("page_id").collect()] == ["story 0", "story 1", "story 2", "plain story", kept]
+    assert [r.text for r in maintext.main_text(table, min_pages=9).orderBy("page_id").collect()] == ["story 0", "story 1", "story 2", kept, kept]
+
+
 def test_pages_of_the_table_by_sql(spark):
     from compare import tables
 

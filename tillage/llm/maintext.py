@@ -4,11 +4,12 @@ A page becomes blocks of text. Elements and names of classes say of most blocks
 adverts, footers, comments). Those that they say nothing about are judged by repetition: the words of all blocks outside the
 article, with a mark between blocks, are the page's stream. The suffixes of all streams of a host are brought together by their first
 WINDOW tokens (a suffix array cut at that depth, whose equal neighbours are the repeated substrings). A place of a
-stream is covered if such a substring over it stands in MIN_PAGES different streams or more; substrings that overlap make up the long ones.
+stream is covered if such a substring over it stands in MIN_PAGES different pages or more; substrings that overlap make up the long ones.
 Covered words of undecided blocks go, unique runs stay.
 
-The array is dealt by host and first tokens, never by host alone, so a hot host spreads over all tasks; how many streams hold a
-substring is counted before any row of it is gathered. Copies of a page have one stream and count once. Only numbers are shuffled, no texts.
+The array is dealt by host and first tokens, never by host alone, so a hot host spreads over all tasks; how many pages hold a
+substring is counted before any row of it is gathered. Copies of a page count once, but pages with different articles count each, even where
+all else on them is the same and they have one stream. Only numbers are shuffled, no texts.
 """
 
 from __future__ import annotations
@@ -184,6 +185,7 @@ class _Page:
     """What the markup decides of a page, and the stream of the rest.
 
     kept: its text blocks in order; each is a finished text or, if undecided, its words and the place of the first in the stream.
+    digest: of host and stream. number: of these and the article, so only copies of a page share it.
     """
 
     def __init__(self, page: str | None, url: str | None) -> None:
@@ -210,6 +212,8 @@ class _Page:
         self.host = host_of(url)
         joined = "\n".join("" if w is None else w for w in self.stream)
         self.digest = xxhash.xxh3_128_digest(f"{self.host}\n{joined}".encode("utf-8", "surrogatepass"))
+        article = "\n".join(text for text, r in blocks if r == _ARTICLE)
+        self.number = np.uint64(xxhash.xxh3_64_intdigest(self.digest + article.encode("utf-8", "surrogatepass"))).view(np.int64)
 
     def suffixes(self, window: int) -> np.ndarray:
         """A number for the host and first window tokens of each suffix that has so many."""
@@ -229,20 +233,21 @@ class _Page:
 
 
 def _streams(pages: DataFrame, window: int) -> DataFrame:
-    """(suffix, stream, at): each suffix of each page's stream by the number of its host and first tokens."""
+    """(suffix, stream, page, at): each suffix of each page's stream by the number of its host and first tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: set[bytes] = set()
+            seen: set[int] = set()
             for url, page in zip(b.column(0).to_pylist(), b.column(1)):
                 p = _Page(page.as_py(), url)
-                found = p.suffixes(window) if p.digest not in seen else ()
-                seen.add(p.digest)
+                found = p.suffixes(window) if p.number not in seen else ()
+                seen.add(p.number)
                 if len(found):
                     of = pa.array([p.digest], pa.binary()).take(pa.array(np.zeros(len(found), np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(found), of, pa.array(np.arange(len(found), dtype=np.int32))], names=["suffix", "stream", "at"])
+                    made = [pa.array(found), of, pa.array(np.full(len(found), p.number)), pa.array(np.arange(len(found), dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays(made, names=["suffix", "stream", "page", "at"])
 
-    return pages.mapInArrow(_gathered(run), "suffix bigint, stream binary, at int")
+    return pages.mapInArrow(_gathered(run), "suffix bigint, stream binary, page bigint, at int")
 
 
 def _gathered(run):
@@ -264,11 +269,11 @@ def _gathered(run):
 
 
 def repeated_places(pages: DataFrame, window: int = WINDOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(stream, covered) of (url, html): for each stream with a substring of window tokens that stands in min_pages streams of
+    """(stream, covered) of (url, html): for each stream with a substring of window tokens that stands in min_pages different pages of
     its host or more, whether each place up to the last covered one is covered."""
     suffixes = written(_streams(pages, window), "suffixes")
-    counts = suffixes.groupBy("suffix").agg(F.count_distinct("stream").alias("n")).filter(F.col("n") >= min_pages).select("suffix")
-    starts = suffixes.join(counts, "suffix").groupBy("stream").agg(F.collect_set("at").alias("starts"))
+    counts = suffixes.groupBy("suffix").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages).select("suffix")
+    starts = suffixes.select("suffix", "stream", "at").join(counts, "suffix").groupBy("stream").agg(F.collect_set("at").alias("starts"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,7 +295,7 @@ def main_text(pages: DataFrame, html: str = "html", window: int = WINDOW, min_pa
     text: the blocks of the article in page order, joined by an empty line, with character references decoded and white space (Unicode's) as one space; `br` is
     white space. Blocks in an article element (or articleBody) stay whole, whatever repeats. A page without one gives the blocks of its
     main element, or without that all blocks that no element or class name excludes; of these the words go that substrings
-    of window tokens cover which stand in min_pages different streams of the host or more. Where both exist, those of main outside the article
+    of window tokens cover which stand in min_pages different pages of the host or more. Where both exist, those of main outside the article
     are judged so too. n_chars: code points. n_outside: words outside the article.
 
     A null html is an empty page and gives an empty text, as does a page without words. A null url is a host of its own. Unclosed and stray tags, comments and quotes are
