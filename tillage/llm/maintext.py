@@ -232,16 +232,21 @@ class _Page:
         return (sums * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _streams(pages: DataFrame, window: int) -> DataFrame:
-    """(suffix, stream, page, at): each suffix of each page's stream by the number of its host and first tokens."""
+def _streams(pages: DataFrame, window: int, min_pages: int) -> DataFrame:
+    """(suffix, stream, page, at): each suffix of each page's stream by the number of its host and first tokens.
+
+    Of pages with one stream a batch gives min_pages, as more don't change whether so many hold a substring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: set[int] = set()
+            seen: dict[bytes, set[int]] = {}
             for url, page in zip(b.column(0).to_pylist(), b.column(1)):
                 p = _Page(page.as_py(), url)
-                found = p.suffixes(window) if p.number not in seen else ()
-                seen.add(p.number)
+                same = seen.setdefault(p.digest, set())
+                if p.number in same or len(same) >= min_pages:
+                    continue
+                same.add(p.number)
+                found = p.suffixes(window)
                 if len(found):
                     of = pa.array([p.digest], pa.binary()).take(pa.array(np.zeros(len(found), np.int32)))
                     made = [pa.array(found), of, pa.array(np.full(len(found), p.number)), pa.array(np.arange(len(found), dtype=np.int32))]
@@ -271,7 +276,7 @@ def _gathered(run):
 def repeated_places(pages: DataFrame, window: int = WINDOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """(stream, covered) of (url, html): for each stream with a substring of window tokens that stands in min_pages different pages of
     its host or more, whether each place up to the last covered one is covered."""
-    suffixes = written(_streams(pages, window), "suffixes")
+    suffixes = written(_streams(pages, window, min_pages), "suffixes")
     counts = suffixes.groupBy("suffix").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages).select("suffix")
     starts = suffixes.select("suffix", "stream", "at").join(counts, "suffix").groupBy("stream").agg(F.collect_set("at").alias("starts"))
 
